@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, sentencepiece, simhash, urlfilter
+from . import capfilter, sentencepiece, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilter.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
