@@ -42,7 +42,7 @@ from .common import bounded_batches, strings
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Factors kept per Python worker, and the longest that is kept.
+#: Factors kept per Python worker (as many again while they grow old), and the longest that is kept.
 KEPT, KEPT_LENGTH = 400_000, 48
 
 
@@ -111,8 +111,20 @@ class Model:
         self.factor = re.compile(".+" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", re.DOTALL)
         self.legal: dict[tuple[str, str], bool] = {}
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        #: For BPE models: the trie as {symbol: (children, piece or -1)}, and legal transitions by numbers.
+        self.arcs = {c: self._numbered(node) for c, node in self.trie.items()}
+        self.lengths = [len(p) for p, *_ in pieces]
+        self.single = {p for p in self.ids if len(p) == 1}
+        self.moves: dict[int, bool] = {}
+        #: A piece's place in the order of merges (symbols before all), and its last merge's two sides.
+        self.rank = [-1 if n == 1 else -s for n, (_, s, _) in zip(self.lengths, pieces, strict=True)]
+        self.sides: dict[int, tuple[int, int] | None] = {}
         self.worst = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
 
+    def _numbered(self, node: dict) -> tuple[dict, int]:
+        return {c: self._numbered(x) for c, x in node.items() if c}, node.get("", -1)
+
     # -- weights -------------------------------------------------------------------------
 
     def merged(self, text: str) -> list[str]:
@@ -138,6 +150,39 @@ class Model:
             found = self.legal[key] = self.merged(a + b) == ([a, b] if a else [b])
         return found
 
+    def split(self, piece: int) -> tuple[int, int] | None:
+        """The two pieces whose merge makes this one; None if the merge rules never make it in this order."""
+        if piece not in self.sides:
+            parts = list(self.text[piece])
+            while len(parts) > 2:
+                pairs = [(-self.scores[j], i) for i in range(len(parts) - 1) if (j := self.ids.get(parts[i] + parts[i + 1])) is not None]
+                if not pairs:
+                    break
+                i = min(pairs)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            sides = tuple(self.ids.get(x, -1) for x in parts)
+            fine = len(sides) == 2 and min(sides) >= 0 and max(self.rank[x] for x in sides) < self.rank[piece] and all(self.lengths[x] == 1 or self.split(x) for x in sides)
+            self.sides[piece] = sides if fine else None
+        return self.sides[piece]
+
+    def joins(self, a: int, b: int) -> bool:
+        """transition() on numbers: undoes the two pieces' merges along their border, latest first, and looks whether a merge across it would have come before."""
+        for x in (a, b):
+            if self.lengths[x] > 1 and self.split(x) is None:
+                return self.transition(self.text[a], self.text[b])
+        rank, limit = self.rank, math.inf
+        while True:
+            across = self.ids.get(self.text[a] + self.text[b])
+            if across is not None and rank[across] < limit:
+                return False
+            if rank[a] > rank[b]:
+                limit, a = rank[a], self.split(a)[1]
+            elif self.lengths[b] > 1:
+                # at a tie the merge further left, across the border, comes first
+                limit, b = math.nextafter(rank[b], math.inf), self.split(b)[0]
+            else:
+                return True
+
     # -- shortest paths ------------------------------------------------------------------
 
     def path(self, text: str) -> list[str]:
@@ -177,7 +222,34 @@ class Model:
             n -= len(back[n])
         return out[::-1]
 
+    def bpe_path(self, text: str) -> list[int]:
+        """path() for a BPE model and a text of known symbols, on numbers: one legal piece ends at each place."""
+        lengths, moves, arcs, n = self.lengths, self.moves, self.arcs, len(text)
+        back, last = [-1] * n, len(self.text)
+        for i in range(n):
+            children, j = arcs, i
+            row = last << 20
+            while j < n and (found := children.get(text[j])):
+                children, piece = found
+                if piece >= 0 and back[j] < 0:
+                    legal = moves.get(row | piece)
+                    if legal is None:
+                        if len(moves) > 4 * KEPT:
+                            moves.clear()
+                        legal = moves[row | piece] = self.joins(last, piece) if i else self.lengths[piece] == 1 or self.split(piece) is not None or self.transition("", self.text[piece])
+                    if legal:
+                        back[j] = piece
+                j += 1
+            last = back[i]
+        out, i = [], len(text) - 1
+        while i >= 0:
+            out.append(back[i])
+            i -= lengths[back[i]]
+        return out[::-1]
+
     def _factor(self, text: str) -> bytes:
+        if self.kind == BPE and self.single.issuperset(text):
+            return struct.pack(f"<{len(p := self.bpe_path(text))}i", *p)
         ids: list[int] = []
         for p in self.path(text):
             i = self.ids.get(p)
@@ -190,10 +262,10 @@ class Model:
         return np.array(ids, "<i4").tobytes()
 
     def _missed(self, text: str) -> bytes:
-        found = self._factor(text)
+        found = self.old.get(text) or self._factor(text)
         if len(text) <= KEPT_LENGTH:
             if len(self.kept) >= KEPT:
-                self.kept.clear()
+                self.old, self.kept = self.kept, {}
             self.kept[text] = found
         return found
 
@@ -206,8 +278,14 @@ class Model:
 
     def encoded(self, text: str) -> bytes:
         """The ids of text as little-endian 32-bit integers."""
-        get, miss = self.kept.get, self._missed
-        return b"".join([get(w) or miss(w) for w in self.factor.findall(self.normalised(text))])
+        return self._encoded(self.normalised(text))
+
+    def _encoded(self, normalised: str) -> bytes:
+        get, miss, n = self.kept.get, self._missed, len(self.kept)
+        words = self.factor.findall(normalised)
+        if n + len(words) < KEPT:  # no change of generations meanwhile
+            return b"".join([get(w) or miss(w) for w in words])
+        return b"".join([self.kept.get(w) or miss(w) for w in words])
 
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encoded(text), "<i4").tolist()
@@ -247,13 +325,14 @@ def encode(df: DataFrame, data: bytes, *, key: str = "doc_id", text: str = "text
                 continue
             parts, n, digests, decoded, same = [], [], [], [], []
             for t in strings(b.column(1)):
-                ids = m.encoded(t)
+                t = m.normalised(t)
+                ids = m._encoded(t)
                 parts.append(ids)
                 n.append(len(ids) // 4)
                 digests.append(hashlib.sha256(ids).hexdigest())
                 back = m.decode(np.frombuffer(ids, "<i4").tolist())
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
-                same.append(back == (m.normalised(t).replace(SPACE, " ")[m.prefix :]))
+                same.append(back == t.replace(SPACE, " ")[m.prefix :])
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists, pa.array(digests), pa.array(decoded), pa.array(same)], names=[key, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])

@@ -44,6 +44,18 @@ def test_shortest_path_is_the_only_legal_one():
         assert ways(w, "") == [m.path(w)]
 
 
+def test_transitions_by_the_merge_rules():
+    m, r = S.Model(DATA), random.Random(4)
+    pieces = sorted(m.ids.values())
+    for _ in range(3000):
+        a, b = r.choice(pieces), r.choice(pieces)
+        assert m.joins(a, b) == (m.merged(m.text[a] + m.text[b]) == [m.text[a], m.text[b]])
+    short = [i for i in pieces if set(m.text[i]) <= set("aeth▁")]
+    for _ in range(3000):
+        a, b = r.choice(short), r.choice(short)
+        assert m.joins(a, b) == (m.merged(m.text[a] + m.text[b]) == [m.text[a], m.text[b]])
+
+
 def test_rows(spark, library):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (3, "", "y"), (4, "word " * 60_000, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
