@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, chat, mixing, pii, secrets, sentencepiece, simhash, toxicity, urlfilter
+from . import capfilter, chat, media, mixing, pii, secrets, sentencepiece, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -46,6 +46,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.query(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.query(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
