@@ -17,6 +17,11 @@ The index has three kinds of node, each a pattern that its members share on mask
   bound every member pair's from below: beyond the radius the whole pair of groups is pruned.
   So are pairs that lie in one component already, for only components are asked for.
 
+That is exact for any radius that leaves blocks wide enough. For looser similarities there are
+``trees``: fingerprints of several 64-bit lanes, with upper nodes that share ``factored`` bits
+drawn for each tree, so a pair that differs in a share p of its bits meets with probability
+1 - (1 - (1 - p) ** factored) ** trees, and below them the same index with the same exact test.
+
 It yields at most one link for each member of an upper node, never all its pairs. Equal
 fingerprints are one row before that. Upper nodes of more than HOT fingerprints are split into
 tiles that meet pairwise. Nothing is capped.
@@ -29,12 +34,13 @@ Repeated rows get repeated results. Only the named columns are used, so names ca
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, strings, written
@@ -46,11 +52,23 @@ HOT = 20_000
 SMALL = 48
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    """The 64-bit fingerprint of a whole text: A-Z lower-cased, split at ASCII white space."""
+#: Odd multipliers that make further lanes of a shingle's hash: a fixed sequence (multiples of the golden ratio's fraction).
+_ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(16)]
+
+
+def _lane(h: np.ndarray, k: int) -> np.ndarray:
+    if not k:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[k])
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[k + 1])
+    return h ^ (h >> np.uint64(32))
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of a whole text in 64-bit lanes: A-Z lower-cased, split at ASCII white space."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(lanes, np.uint64)
     joined = b" ".join(w)
     if len(w) <= words:
         h = [xxhash.xxh64_intdigest(joined, seed)]
@@ -59,24 +77,31 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
         begins = np.concatenate([[0], ends[:-1] + 1])
         f = xxhash.xxh64_intdigest
         h = [f(joined[a:b], seed) for a, b in zip(begins[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    total = np.zeros(64, np.int64)
+    total = np.zeros(64 * lanes, np.int64)
     for i in range(0, len(h), 1 << 16):
-        bits = np.array(h[i : i + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(bits, axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(np.packbits(total * 2 > len(h), bitorder="little").view("<u8")[0])
+        own = np.array(h[i : i + (1 << 16)], "<u8")
+        for k in range(lanes):
+            bits = np.unpackbits(_lane(own, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            total[64 * k : 64 * k + 64] += bits.sum(axis=0, dtype=np.int32)
+    return np.packbits(total * 2 > len(h), bitorder="little").view("<u8")
 
 
-def fingerprints(df: DataFrame, *, words: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and fp, the fingerprint as a signed long."""
+def lane_names(lanes: int) -> list[str]:
+    return [f"f{k}" for k in range(lanes)]
+
+
+def fingerprints(df: DataFrame, *, words: int = 4, lanes: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and f0, f1, ...: the fingerprint's lanes as signed longs."""
     bounded_batches(df.sparkSession)
+    names = lane_names(lanes)
 
     def over(it):
         for b in it:
             if b.num_rows:
-                fp = np.array([fingerprint(t, words) for t in strings(b.column(1))], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=[key, "fp"])
+                f = np.stack([fingerprint(t, words, 42, lanes) for t in strings(b.column(1))]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes))], names=[key, *names])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(over, f"`{key}` {df.schema[key].dataType.simpleString()}, fp long")
+    return df.select(F.col(key), F.col(text)).mapInArrow(over, f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -87,28 +112,41 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_order(codes: np.ndarray) -> np.ndarray:
+    """The order of codes (rows of lanes) by Gray rank."""
+    keys, odd = [], np.zeros(len(codes), bool)
+    for k in range(codes.shape[1]):
+        keys.append(np.where(odd, ~gray_rank(codes[:, k]), gray_rank(codes[:, k])))
+        odd ^= np.bitwise_count(codes[:, k]) % 2 == 1
+    return np.lexsort(keys[::-1])
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=-1, dtype=np.int32)
+
+
 class Tree:
-    """The nodes over codes that are sorted by Gray rank: per level the bits that are set in all and in any of a node's members."""
+    """The nodes over codes (rows of lanes) in Gray order: per level the bits that are set in all and in any of a node's members."""
 
     def __init__(self, codes: np.ndarray):
         self.levels = [(codes, codes)]
         while len(self.levels[-1][0]) > FAN:
             all_, any_ = self.levels[-1]
             at = np.arange(0, len(all_), FAN)
-            self.levels.append((np.bitwise_and.reduceat(all_, at), np.bitwise_or.reduceat(any_, at)))
+            self.levels.append((np.bitwise_and.reduceat(all_, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)))
 
     def apart(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Differences that all member pairs of the nodes i and j have."""
         all_, any_ = self.levels[level]
-        return np.bitwise_count((all_[i] & ~any_[j]) | (all_[j] & ~any_[i]))
+        return _bits((all_[i] & ~any_[j]) | (all_[j] & ~any_[i]))
 
 
 def join_tree(codes: np.ndarray, radius: int) -> np.ndarray:
-    """Labels of the components of codes (distinct, sorted by Gray rank) under links of up to radius bits."""
+    """Labels of the components of codes (distinct rows of lanes, in Gray order) under links of up to radius bits."""
     n = len(codes)
     tree, labels = Tree(codes), np.arange(n)
     for d in range(1, min(n, 5)):  # neighbours in Gray order first: most links, cheaply
-        i = np.flatnonzero(np.bitwise_count(codes[d:] ^ codes[:-d]) <= radius)
+        i = np.flatnonzero(_bits(codes[d:] ^ codes[:-d]) <= radius)
         merge(labels, i, i + d)
     top = len(tree.levels) - 1
     a, b = np.triu_indices(len(tree.levels[top][0]))
@@ -151,25 +189,25 @@ def join_tree(codes: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _links(it, radius: int):
-    """Links (u, v: node ids) in each upper node of a partition sorted by it; columns: tree, pattern, lo, hi, fp, node."""
-    for t in groups(it, 4):
-        tree, pattern, lo, hi, fp, node = (t.column(k).to_numpy() for k in range(6))
-        edge = np.ones(len(fp), bool)
-        edge[1:] = (tree[1:] != tree[:-1]) | (pattern[1:] != pattern[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    """Links (u, v: node ids) in each upper node of a partition sorted by it; columns: upper, lo, hi, node, lanes."""
+    for t in groups(it, 3):
+        upper, lo, hi, node, *lanes = (t.column(k).to_numpy() for k in range(t.num_columns))
+        edge = np.ones(len(node), bool)
+        edge[1:] = (upper[1:] != upper[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
         begin = np.flatnonzero(edge)
-        size = np.diff(np.append(begin, len(fp)))
-        codes = fp.view(np.uint64)
+        size = np.diff(np.append(begin, len(node)))
+        codes = np.stack(lanes, axis=1).view(np.uint64)
         us, vs = [], []
         small = np.repeat(np.where(size <= SMALL, size, 0), size)  # each row's group size
-        place = np.arange(len(fp)) - np.repeat(begin, size)
+        place = np.arange(len(node)) - np.repeat(begin, size)
         for d in range(1, int(small.max(initial=0))):
             i = np.flatnonzero(place + d < small)
-            i = i[np.bitwise_count(codes[i] ^ codes[i + d]) <= radius]
+            i = i[_bits(codes[i] ^ codes[i + d]) <= radius]
             us.append(node[i])
             vs.append(node[i + d])
         for b, n in zip(begin[size > SMALL], size[size > SMALL], strict=True):
             own, who = codes[b : b + n], node[b : b + n]
-            order = np.argsort(gray_rank(own), kind="stable")
+            order = gray_order(own)
             own, who = own[order], who[order]
             labels = join_tree(own, radius)
             off = np.flatnonzero(labels != np.arange(n))
@@ -188,28 +226,66 @@ def masks(radius: int, blocks: int) -> list[int]:
     return [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
 
 
-def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, key: str = "doc_id") -> DataFrame:
-    """fp and component_id for every distinct fingerprint of fps (key, fp).
+def drawn(lanes: int, trees: int, factored: int, seed: int = 5) -> list[list[int]]:
+    """For each of the trees, a mask per lane with factored bits in all, drawn from a seed."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(trees):
+        m = [0] * lanes
+        for b in r.permutation(64 * lanes)[:factored].tolist():
+            m[b // 64] |= 1 << (b % 64)
+        out.append(m)
+    return out
+
+
+def radius_for(similarity: float, lanes: int) -> int:
+    """The differing bits that texts of a Jaccard similarity of their shingles have, and one standard deviation."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = 64 * lanes
+    return int(n * p + math.sqrt(n * p * (1 - p)))
+
+
+def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, trees: list[list[int]] | None = None, key: str = "doc_id") -> DataFrame:
+    """The lanes and component_id for every distinct fingerprint of fps (key, f0, f1, ...).
 
     blocks: radius + 2 by default, which factors about 21 bits out; beyond some 10 million
-    fingerprints radius + 3 keeps the upper nodes small.
+    fingerprints radius + 3 keeps the upper nodes small. trees: masks in their place.
     """
     spark = fps.sparkSession
-    nodes = written(fps.groupBy("fp").agg(F.min(key).alias("node")), "nodes")
+    lanes = [c for c in fps.columns if c != key]
+    nodes = written(fps.groupBy(*lanes).agg(F.min(key).alias("node")), "nodes")
     known = nodes.filter("node is not null")
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, blocks or radius + 2)]
-    patterns = F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in signed])
-    rows = known.select(F.posexplode(patterns).alias("tree", "pattern"), "fp", "node")
-    rows = tiled(rows, ["tree", "pattern"], F.col("fp"), HOT)
-    by = ["tree", "pattern", "lo", "hi"]
-    rows = rows.select(*by, "fp", "node").repartition(partitions(spark), *by).sortWithinPartitions(*by)
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    trees = trees or [[m] for m in masks(radius, blocks or radius + 2)]
+    uppers = F.array(*[F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(signed(x)) for c, x in zip(lanes, m, strict=True) if x]) for k, m in enumerate(trees)])
+    rows = known.select(F.explode(uppers).alias("upper"), "node", *lanes)
+    rows = tiled(rows, ["upper"], F.col("node"), HOT)
+    by = ["upper", "lo", "hi"]
+    rows = rows.select(*by, "node", *lanes).repartition(partitions(spark), *by).sortWithinPartitions(*by)
     edges = rows.mapInArrow(lambda it: _links(it, radius), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "at")
-    return nodes.join(roots, F.col("node") == F.col("at"), "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return nodes.join(roots, F.col("node") == F.col("at"), "left").select(*lanes, F.coalesce("root", "node").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, *, words: int = 4, radius: int = 4, lanes: int = 1, blocks: int | None = None, trees: list[list[int]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fingerprint (16 hex digits a lane) and component_id for every row."""
+    fps = written(fingerprints(df, words=words, lanes=lanes, key=key, text=text), "fingerprints")
+    found = linked(fps, radius=radius, blocks=blocks, trees=trees, key=key)
+    names = lane_names(lanes)
+    return fps.join(found, names).select(key, F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]).alias("fingerprint"), "component_id")
+
+
+#: Similar texts: five-word shingles of a similarity of 0.8 or more, by 256-bit fingerprints.
+SIMILAR = {"words": 5, "lanes": 4, "radius": radius_for(0.8, 4), "trees": drawn(4, 40, 16)}
 
 
-def near_duplicates(df: DataFrame, *, words: int = 4, radius: int = 4, blocks: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (16 hex digits) and component_id for every row."""
-    fps = written(fingerprints(df, words=words, key=key, text=text), "fingerprints")
-    found = linked(fps, radius=radius, blocks=blocks, key=key)
-    return fps.join(found, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+def one_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """df with one row of each component: that of the smallest key. Rows without a key stay; of repeated rows of that key one stays."""
+    found = near_duplicates(df, key=key, text=text, **(how or SIMILAR))
+    kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
+    kept = written(kept, "kept")
+    out = df.join(kept, F.col(key) == F.col("_kept"))
+    if not kept.filter("_n > 1").isEmpty():
+        again = out.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(text)))
+        out = out.filter("_n = 1").select(*df.columns).union(again.filter("_k = 1").select(*df.columns))
+    return out.select(*df.columns).union(df.filter(F.col(key).isNull()))

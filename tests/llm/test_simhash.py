@@ -45,7 +45,8 @@ def _codes(r, n):
 def test_fingerprints():
     r = random.Random(5)
     for t in ["", " \n", "One two", "É B c d e", *(" ".join(r.choice("abc De\x0bfÉ ") for _ in range(r.randint(1, 90))) for _ in range(60))]:
-        assert S.fingerprint(t) == plain_fingerprint(t)
+        assert S.fingerprint(t)[0] == plain_fingerprint(t)
+        assert S.fingerprint(t, lanes=3)[0] == plain_fingerprint(t)
 
 
 def test_tree_against_all_pairs():
@@ -53,7 +54,26 @@ def test_tree_against_all_pairs():
     for n in (2, 17, 300):
         codes = _codes(r, n)
         codes = codes[np.argsort(S.gray_rank(codes))]
-        assert S.join_tree(codes, 4).tolist() == plain_labels(codes, 4)
+        assert S.join_tree(codes[:, None], 4).tolist() == plain_labels(codes, 4)
+    for n in (40, 300):
+        codes = np.stack([_codes(r, n)[:n], _codes(r, n)[:n]], axis=1)
+        codes[n // 2 :] = codes[: n - n // 2] ^ np.uint64(5)
+        codes = codes[S.gray_order(codes)]
+        assert S.join_tree(codes, 40).tolist() == plain_labels([int(a) << 64 | int(b) for a, b in codes], 40)
+
+
+def test_gray_order_is_that_of_the_whole_code():
+    r = random.Random(9)
+    codes = np.array([[r.getrandbits(64), r.getrandbits(64)] for _ in range(200)], np.uint64)
+
+    def rank(c):
+        x, s = int(c[0]) << 64 | int(c[1]), 1
+        while s < 128:
+            x ^= x >> s
+            s *= 2
+        return x
+
+    assert [rank(codes[i]) for i in S.gray_order(codes)] == sorted(map(rank, codes))
 
 
 def test_every_close_pair_shares_an_upper_node():
@@ -71,7 +91,7 @@ def test_rows(spark, monkeypatch):
     want = plain_labels(codes + [0], 4)
     for hot in (20_000, 7):
         monkeypatch.setattr(S, "HOT", hot)
-        got = {x.fp: x.component_id for x in S.linked(spark.createDataFrame(rows, "doc_id long, fp long")).collect()}
+        got = {x.f0: x.component_id for x in S.linked(spark.createDataFrame(rows, "doc_id long, f0 long")).collect()}
         smallest = {}
         for i, c in enumerate(codes + [0]):
             smallest.setdefault(want[i], 900 if i == len(codes) else i)
@@ -85,3 +105,33 @@ def test_texts(spark):
     got = sorted(((x.doc_id is None, x.doc_id, x.component_id) for x in S.near_duplicates(df).collect()), key=str)
     assert got == sorted([(False, 5, 3), (False, 3, 3), (False, 3, 3), (False, 9, 8), (False, 8, 8), (True, None, 3), (False, 7, 7)], key=str)
     assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def _edited(r, words, share):
+    out = list(words)
+    for _ in range(int(len(words) * share)):
+        out[r.randrange(len(out))] = "new%d" % r.randrange(10**6)
+    return out
+
+
+def test_similar_texts(spark):
+    r = random.Random(10)
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, near = [], 0
+    for k in range(60):
+        w = ["w%d" % r.randrange(10**6) for _ in range(300)]
+        rows.append((10 * k, " ".join(w)))
+        for j in range(1, 3):
+            e = _edited(r, w, 0.012)
+            a, b = shingles(w), shingles(e)
+            assert len(a & b) / len(a | b) >= 0.8
+            rows.append((10 * k + j, " ".join(e)))
+        half = w[:150] + ["w%d" % r.randrange(10**6) for _ in range(150)]
+        rows.append((10 * k + 5, " ".join(half)))
+    df = spark.createDataFrame([(*x, 1) for x in rows] + [(None, "w", 1)], "doc_id long, text string, f0 int")
+    kept = {x.doc_id for x in S.one_each(df).collect()}
+    clean = {i for i, _ in rows if i % 10 in (0, 5)}
+    assert clean <= kept and None in kept
+    assert len(kept - clean - {None}) <= 6  # recall of 0.95 of 120 copies
+    assert S.one_each(df.limit(0)).count() == 0
+    assert sorted((x.doc_id, x.text) for x in S.one_each(spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "")], "doc_id long, text string")).collect()) == [(1, "a"), (2, None)]
