@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "pos_count"
 
 #: Modules with QUERIES: dict of name -> (function of (spark, sf_dir), SQL or None).
-MODULES: tuple[str, ...] = ()
+MODULES = ("quillframe.operators.lexicon", "quillframe.operators.models", "quillframe.operators.components")
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
