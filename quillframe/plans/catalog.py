@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: The query that the smoke check runs.
-FLAGSHIP = "pos_count"
+FLAGSHIP = "decode_accuracy"
 
 #: Modules with QUERIES: dict of name -> (function of (spark, sf_dir), SQL or None).
-MODULES = ("quillframe.operators.lexicon", "quillframe.operators.models", "quillframe.operators.components")
+MODULES = (
+    "quillframe.operators.lexicon",
+    "quillframe.operators.models",
+    "quillframe.operators.components",
+    "quillframe.operators.matching",
+    "quillframe.operators.evaluate",
+    "quillframe.operators.vectors",
+)
 
 
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
