@@ -99,7 +99,7 @@ def tiled(df: DataFrame, keys: list[str], member: Column, cap: int) -> DataFrame
     return j.select(*df.columns, F.least("slab", "_j").alias("lo"), F.greatest("slab", "_j").alias("hi"), "slab")
 
 
-def groups(it, keys: int, rows: int = 500_000):
+def groups(it, keys: int, rows: int = 150_000):
     """Whole groups of a partition sorted by its first ``keys`` columns: tables that end with a group's last row, of about ``rows`` rows or one group's."""
     held: list[pa.RecordBatch] = []
     n = 0

@@ -43,7 +43,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Factors kept per Python worker (as many again while they grow old), and the longest that is kept.
-KEPT, KEPT_LENGTH = 400_000, 48
+KEPT, KEPT_LENGTH = 200_000, 40
 
 
 def _fields(data: bytes):
@@ -234,7 +234,7 @@ class Model:
                 if piece >= 0 and back[j] < 0:
                     legal = moves.get(row | piece)
                     if legal is None:
-                        if len(moves) > 4 * KEPT:
+                        if len(moves) > 2 * KEPT:
                             moves.clear()
                         legal = moves[row | piece] = self.joins(last, piece) if i else self.lengths[piece] == 1 or self.split(piece) is not None or self.transition("", self.text[piece])
                     if legal:
