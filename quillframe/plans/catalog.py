@@ -17,6 +17,9 @@ MODULES = (
     "quillframe.operators.matching",
     "quillframe.operators.evaluate",
     "quillframe.operators.vectors",
+    "quillframe.operators.gaps",
+    "quillframe.operators.ranking",
+    "quillframe.operators.raster",
 )
 
 
