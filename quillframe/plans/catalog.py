@@ -20,6 +20,7 @@ MODULES = (
     "quillframe.operators.gaps",
     "quillframe.operators.ranking",
     "quillframe.operators.raster",
+    "quillframe.operators.decode",
 )
 
 
