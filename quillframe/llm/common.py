@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,5 +61,19 @@ def batches(schema: pa.Schema, f):
     return over
 
 
+def trimmed(f):
+    """f (batches to batches) that gives freed memory back to the system behind its last batch: Python workers outlive their tasks."""
+
+    def over(it):
+        yield from f(it)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: nothing to trim
+            return
+
+    return over
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -37,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, strings
+from .common import bounded_batches, strings, trimmed
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Factors kept per Python worker (as many again while they grow old), and the longest that is kept.
-KEPT, KEPT_LENGTH = 200_000, 40
+KEPT, KEPT_LENGTH = 100_000, 40
 
 
 def _fields(data: bytes):
@@ -145,7 +145,7 @@ class Model:
         key = (a, b)
         found = self.legal.get(key)
         if found is None:
-            if len(self.legal) > 4 * KEPT:
+            if len(self.legal) > KEPT:
                 self.legal.clear()
             found = self.legal[key] = self.merged(a + b) == ([a, b] if a else [b])
         return found
@@ -338,7 +338,7 @@ def encode(df: DataFrame, data: bytes, *, key: str = "doc_id", text: str = "text
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists, pa.array(digests), pa.array(decoded), pa.array(same)], names=[key, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key), F.col(text)).mapInArrow(over, f"`{key}` {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    return df.select(F.col(key), F.col(text)).mapInArrow(trimmed(over), f"`{key}` {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")
 
 
 def decode(df: DataFrame, data: bytes, *, key: str = "doc_id", ids: str = "token_ids") -> DataFrame:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, strings, written
+from .common import bounded_batches, partitions, strings, trimmed, written
 from .graph import components, groups, merge, tiled
 
 FAN = 16
@@ -101,7 +101,7 @@ def fingerprints(df: DataFrame, *, words: int = 4, lanes: int = 1, key: str = "d
                 f = np.stack([fingerprint(t, words, 42, lanes) for t in strings(b.column(1))]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes))], names=[key, *names])
 
-    return df.select(F.col(key), F.col(text)).mapInArrow(over, f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
+    return df.select(F.col(key), F.col(text)).mapInArrow(trimmed(over), f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -262,7 +262,7 @@ def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, trees:
     rows = tiled(rows, ["upper"], F.col("node"), HOT)
     by = ["upper", "lo", "hi"]
     rows = rows.select(*by, "node", *lanes).repartition(partitions(spark), *by).sortWithinPartitions(*by)
-    edges = rows.mapInArrow(lambda it: _links(it, radius), "u long, v long")
+    edges = rows.mapInArrow(trimmed(lambda it: _links(it, radius)), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "at")
     return nodes.join(roots, F.col("node") == F.col("at"), "left").select(*lanes, F.coalesce("root", "node").alias("component_id"))
 
