@@ -214,12 +214,12 @@ WITH u AS (
     CASE WHEN ('.' || host) LIKE '%.casino-%' THEN '*.casino-*'
          WHEN ('.' || host) LIKE '%.%-bets.%' THEN '*.*-bets.*'
          WHEN ('.' || host) LIKE '%.spam-%' THEN '*.spam-*'
-         WHEN ('.' || host) LIKE '%.ads-%' THEN '*.ads-*' END AS glob
+         WHEN ('.' || host) LIKE '%.ads-%' THEN '*.ads-*' END AS other
   FROM h
 )
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-            WHEN glob IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-       coalesce(rule, glob) AS pattern
+            WHEN other IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       coalesce(rule, other) AS pattern
 FROM r
 """
