@@ -22,7 +22,7 @@ That is exact for any radius that leaves blocks wide enough. For looser similari
 drawn for each tree, so a pair that differs in a share p of its bits meets with probability
 1 - (1 - (1 - p) ** factored) ** trees, and below them the same index with the same exact test.
 
-It yields at most one link for each member of an upper node, never all its pairs. Equal
+It yields at most one link for each member of the upper nodes, never all their pairs. Equal
 fingerprints are one row before that. Upper nodes of more than HOT fingerprints are split into
 tiles that meet pairwise. Nothing is capped.
 
@@ -189,7 +189,11 @@ def join_tree(codes: np.ndarray, radius: int) -> np.ndarray:
 
 
 def _links(it, radius: int):
-    """Links (u, v: node ids) in each upper node of a partition sorted by it; columns: upper, lo, hi, node, lanes."""
+    """Links (u, v: node ids) in the upper nodes of a partition sorted by them; columns: upper, lo, hi, node, lanes.
+
+    Upper nodes that are read together are joined to components here, and each of their nodes
+    has one link at most: to the least of its component.
+    """
     for t in groups(it, 3):
         upper, lo, hi, node, *lanes = (t.column(k).to_numpy() for k in range(t.num_columns))
         edge = np.ones(len(node), bool)
@@ -197,26 +201,25 @@ def _links(it, radius: int):
         begin = np.flatnonzero(edge)
         size = np.diff(np.append(begin, len(node)))
         codes = np.stack(lanes, axis=1).view(np.uint64)
-        us, vs = [], []
+        labels = np.arange(len(node))  # of rows: those that links join have one
         small = np.repeat(np.where(size <= SMALL, size, 0), size)  # each row's group size
         place = np.arange(len(node)) - np.repeat(begin, size)
         for d in range(1, int(small.max(initial=0))):
             i = np.flatnonzero(place + d < small)
             i = i[_bits(codes[i] ^ codes[i + d]) <= radius]
-            us.append(node[i])
-            vs.append(node[i + d])
+            merge(labels, i, i + d)
         for b, n in zip(begin[size > SMALL], size[size > SMALL], strict=True):
-            own, who = codes[b : b + n], node[b : b + n]
-            order = gray_order(own)
-            own, who = own[order], who[order]
-            labels = join_tree(own, radius)
-            off = np.flatnonzero(labels != np.arange(n))
-            us.append(who[off])
-            vs.append(who[labels[off]])
-        if us:
-            u, v = np.concatenate(us), np.concatenate(vs)
-            if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            order = gray_order(codes[b : b + n])
+            own = join_tree(codes[b : b + n][order], radius)
+            off = np.flatnonzero(own != np.arange(n))
+            merge(labels, b + order[off], b + order[own[off]])
+        off = np.flatnonzero(labels != np.arange(len(node)))
+        nodes, at = np.unique(node, return_inverse=True)
+        roots = np.arange(len(nodes))
+        merge(roots, at[off], at[labels[off]])
+        off = np.flatnonzero(roots != np.arange(len(nodes)))
+        if len(off):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[off], pa.int64()), pa.array(nodes[roots[off]], pa.int64())], names=["u", "v"])
 
 
 def masks(radius: int, blocks: int) -> list[int]:
