@@ -287,7 +287,7 @@ def one_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -
     found = near_duplicates(df, key=key, text=text, **(how or SIMILAR))
     kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
     kept = written(kept, "kept")
-    out = df.join(kept, F.col(key) == F.col("_kept"))
+    out = df.join(kept.hint("merge"), F.col(key) == F.col("_kept"))  # both sides grow with the input: never broadcast
     if not kept.filter("_n > 1").isEmpty():
         again = out.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(text)))
         out = out.filter("_n = 1").select(*df.columns).union(again.filter("_k = 1").select(*df.columns))
