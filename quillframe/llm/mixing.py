@@ -111,7 +111,7 @@ def copies(rows: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), total: fl
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
     """docs with each row repeated as often as the mix takes it."""
-    found = written(copies(sizes(docs, key, text, source), **how).select("id", "sk", "size", "copies"), "copies")
+    found = written(copies(sizes(docs, key, text, source), **how).select("id", "sk", "size", "copies"), "copies").hint("merge")  # grows with docs: never broadcast
     twice = not found.groupBy("id").count().filter("count > 1").isEmpty()
     rows = docs.withColumn("_id", F.col(key))
     if not twice:
