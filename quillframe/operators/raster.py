@@ -149,6 +149,51 @@ def runs_components(docs: DataFrame, key: str = "doc_id", text: str = "text", ei
     return docs.select(key, text).mapInPandas(over, f"{key} long, comp int, l int, t int, r int, b int, ink int, kept boolean")
 
 
+def blocks(px: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, r and line of every row with ink: rows without an empty row between are one line, numbered from 0."""
+    by = Window.partitionBy(key).orderBy("r")
+    x = px.select(key, "r").distinct().withColumn("new", F.coalesce(F.col("r") - F.lag("r").over(by) > 1, F.lit(False)).cast("int"))
+    return x.select(key, "r", F.sum("new").over(by).cast("int").alias("line"))
+
+
+def absorbed(box: np.ndarray, most: int) -> np.ndarray:
+    """For each box (rows of l, t, r, b) of one line, the place of the box it ends in.
+
+    Boxes are walked in order; each that is left takes in the first other one left whose columns
+    hold or lie in its own, and whose rows do so too or are within `most` of touching. What was
+    taken in widens the box for those walked later.
+    """
+    box, into = box.copy(), np.arange(len(box))
+    left = np.ones(len(box), bool)
+    for i in range(len(box)):
+        if not left[i]:
+            continue
+        l, t, r, b = box[i]
+        wide = ((box[:, 0] >= l) & (box[:, 2] <= r)) | ((box[:, 0] <= l) & (box[:, 2] >= r))
+        near = (np.abs(box[:, 3] - t) <= most) | (np.abs(box[:, 1] - b) <= most)
+        high = ((box[:, 1] >= t) & (box[:, 3] <= b)) | ((box[:, 1] <= t) & (box[:, 3] >= b))
+        ok = left & wide & (near | high)
+        ok[i] = False
+        if ok.any():
+            j = int(ok.argmax())
+            box[i] = [min(l, box[j, 0]), min(t, box[j, 1]), max(r, box[j, 2]), max(b, box[j, 3])]
+            left[j] = False
+            into[into == j] = i
+    return into
+
+
+def diacritics(comps: DataFrame, most: int = 7, key: str = "doc_id") -> DataFrame:
+    """Components (key, line, comp, l, t, r, b, ink) with marks above or below joined to their symbol: the absorbing comp's number, the joint box, ink and the parts it has."""
+
+    def over(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("comp", ignore_index=True)
+        d["comp"] = d["comp"].to_numpy()[absorbed(d[["l", "t", "r", "b"]].to_numpy(np.int64), most)]
+        return d.groupby([key, "line", "comp"], as_index=False).agg(l=("l", "min"), t=("t", "min"), r=("r", "max"), b=("b", "max"), ink=("ink", "sum"), parts=("ink", "size"))
+
+    kept = comps.select(key, "line", "comp", "l", "t", "r", "b", "ink")
+    return kept.groupBy(key, "line").applyInPandas(over, f"{key} long, line int, comp int, l int, t int, r int, b int, ink int, parts int")
+
+
 def subimage(img: np.ndarray, sub: np.ndarray, share: float) -> tuple[int, int, float] | None:
     """The first best place of sub in img by mismatched ink plus mismatched blanks over sub's area, within share."""
     h, w = sub.shape
@@ -186,6 +231,12 @@ def _regions(docs: DataFrame) -> DataFrame:
     return docs.filter("doc_id % 2 = 0").select("doc_id", F.explode(q).alias("q")).select("doc_id", "q.*")
 
 
+def _lined(docs: DataFrame) -> DataFrame:
+    """Components with the line that their top row is in; no component goes beyond a line's rows."""
+    line = blocks(pixels(docs)).select("doc_id", F.col("r").alias("t"), "line")
+    return runs_components(docs).join(line, ["doc_id", "t"])
+
+
 def _width(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.array_max(F.transform(F.split("text", "\\n"), F.length)).alias("w"))
 
@@ -204,5 +255,7 @@ QUERIES = {
     "line_props": (lambda s, d: line_properties(pixels(_docs(s, d)), _width(_docs(s, d))), f"""WITH {PX}, wi AS (SELECT doc_id, max(length(l)) AS w FROM l1 GROUP BY 1), rw AS (SELECT doc_id, r, count(*) AS ink FROM px GROUP BY ALL), ba AS (SELECT doc_id, coalesce(max(r) FILTER (WHERE ink >= 0.2 * w), max(r)) AS baseline FROM rw JOIN wi USING (doc_id) GROUP BY 1),
       tp AS (SELECT doc_id, c, min(r) AS t FROM px JOIN ba USING (doc_id) WHERE r <= baseline GROUP BY ALL), md AS (SELECT doc_id, t FROM (SELECT doc_id, t, count(*) AS n FROM tp GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, t) = 1)
       SELECT doc_id, baseline, coalesce(t, baseline) AS xheight FROM ba LEFT JOIN md USING (doc_id)"""),
+    "line_blocks": (lambda s, d: blocks(pixels(_docs(s, d))), f"WITH {PX}, ir AS (SELECT DISTINCT doc_id, r FROM px), nr AS (SELECT *, (r - lag(r) OVER (PARTITION BY doc_id ORDER BY r) > 1)::INT AS nw FROM ir) SELECT doc_id, r, (sum(coalesce(nw, 0)) OVER (PARTITION BY doc_id ORDER BY r))::INT AS line FROM nr"),
+    "diacritic_merge": (lambda s, d: diacritics(_lined(_docs(s, d))), None),
     "components": (lambda s, d: runs_components(_docs(s, d)), None),
 }

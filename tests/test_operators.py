@@ -142,3 +142,33 @@ def test_components_against_labels(spark):
     got = raster.runs_components(_docs(spark, *texts)).groupBy("doc_id").count().collect()
     want = {i: raster.label(np.array([[c != " " for c in line] for line in t.split("\n")])).max() for i, t in enumerate(texts)}
     assert {x.doc_id: x["count"] for x in got} == {k: v for k, v in want.items() if v}
+
+
+def test_diacritics(spark):
+    def plain(boxes, most):
+        live = {i: (list(b), [i]) for i, b in enumerate(boxes)}
+        for i in range(len(boxes)):
+            if i not in live:
+                continue
+            (l, t, r, b), own = live[i]
+            for j in sorted(live):
+                L, T_, R, B = live[j][0]
+                wide = l <= L and R <= r or L <= l and r <= R
+                high = t <= T_ and B <= b or T_ <= t and b <= B
+                if j != i and wide and (high or abs(t - B) <= most or abs(T_ - b) <= most):
+                    own += live.pop(j)[1]
+                    live[i] = [min(l, L), min(t, T_), max(r, R), max(b, B)], own
+                    break
+        return {m: i for i, (_, own) in live.items() for m in own}
+
+    r = random.Random(8)
+    for n in [0, 1, 2, 7, 30] * 6:
+        boxes = [(a, t, a + r.randrange(8), t + r.randrange(6)) for a, t in ((r.randrange(30), r.randrange(40)) for _ in range(n))]
+        got = raster.absorbed(np.array(boxes, np.int64).reshape(-1, 4), 3)
+        assert dict(enumerate(got.tolist())) == plain(boxes, 3)
+    # a dot above a stem, a far symbol, and the same dot in another line
+    rows = [(1, 0, 1, 5, 0, 5, 0, 1), (1, 0, 2, 4, 3, 6, 9, 12), (1, 0, 3, 20, 3, 24, 9, 9), (1, 1, 4, 5, 12, 5, 12, 1)]
+    c = spark.createDataFrame(rows, "doc_id long, line int, comp int, l int, t int, r int, b int, ink int")
+    assert sorted(map(tuple, raster.diacritics(c).collect())) == [(1, 0, 1, 4, 0, 6, 9, 13, 2), (1, 0, 3, 20, 3, 24, 9, 9, 1), (1, 1, 4, 5, 12, 5, 12, 1, 1)]
+    assert raster.diacritics(c.limit(0)).count() == 0
+    assert [(x.r, x.line) for x in raster.blocks(raster.pixels(_docs(spark, "a\n b\n\n\nc"))).orderBy("r").collect()] == [(0, 0), (1, 0), (4, 1)]
