@@ -1,11 +1,14 @@
 """Decoding by a mapping and its accuracy: by text, symbol class, word, cluster and prefix length.
 
 The mapping that queries use gives a text's cluster the symbol of the same frequency rank in
-all texts of its language. The cipher keeps lengths, so alignment is by place.
+all texts of its language. The cipher keeps lengths, so alignment is by place; where a reader
+loses or adds symbols, lines are aligned by edit distance.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,6 +87,42 @@ def position_variance(docs: DataFrame) -> DataFrame:
     return g.select("c", "len", "pos", "seen", F.round((F.col("q") - F.col("s") * F.col("s") / F.col("docs")) / (F.col("docs") - 1), 9).alias("var"))
 
 
+def edits(truth: str, read: str) -> tuple[int, int]:
+    """The edit distance, and the most equal symbols that an alignment of that distance has.
+
+    One row of costs is held at a time, with distance * unit - equal symbols in one number.
+    """
+    x, y = (np.array([ord(c) for c in v], np.int64) for v in (truth, read))
+    unit = len(x) + len(y) + 1
+    step = np.arange(len(y) + 1, dtype=np.int64) * unit
+    row = step.copy()
+    for c in x:
+        now = row + unit
+        now[1:] = np.minimum(now[1:], row[:-1] + np.where(y == c, -1, unit))
+        row = np.minimum.accumulate(now - step) + step  # symbols that only the reader has
+    distance = -int(-row[-1] // unit)
+    return distance, distance * unit - int(row[-1])
+
+
+def aligned_accuracy(texts: DataFrame, key: str = "doc_id", truth: str = "text", read: str = "decoded") -> DataFrame:
+    """key, total (symbols of the truth), seen (those read), errors, matched and acc (1 - errors / total; null without symbols), line by line. Nulls are empty; a line that one side lacks is empty there."""
+
+    def aligned(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([edits(*v) for v in zip(a, b, strict=True)], columns=["errors", "matched"], dtype="int64")
+
+    line = lambda c: F.split(F.coalesce(F.col(c), F.lit("")), "\n")
+    x = texts.select(key, F.explode(F.arrays_zip(line(truth).alias("a"), line(read).alias("b"))).alias("q"))
+    x = x.select(key, F.coalesce("q.a", F.lit("")).alias("a"), F.coalesce("q.b", F.lit("")).alias("b"))
+    x = x.select("*", F.pandas_udf(aligned, "errors long, matched long")("a", "b").alias("e"))
+    g = x.groupBy(key).agg(F.sum(F.length("a")).alias("total"), F.sum(F.length("b")).alias("seen"), F.sum("e.errors").alias("errors"), F.sum("e.matched").alias("matched"))
+    return g.select("*", F.when(F.col("total") > 0, F.round(1 - F.col("errors") / F.col("total"), 9)).alias("acc"))
+
+
+def squeezed(read: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Decoded texts as a reader gives them that sees no more than one blank: runs of blanks are one, none at a line's ends."""
+    return read.select(key, F.regexp_replace(F.regexp_replace("decoded", "[ \t]+", " "), "(?m)^ | $", "").alias("decoded"))
+
+
 _docs = lambda s, d: table(s, d, "documents")
 MAP = f"WITH {CL}, cg AS (SELECT cl.*, lang FROM cl JOIN documents USING (doc_id)), sy AS (SELECT lang, c AS sym, (row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, c))::INT AS clust FROM cg GROUP BY lang, c), mp AS (SELECT doc_id, lang, clust, cg.c, n, sym FROM cg JOIN sy USING (lang, clust))"
 ACC = "sum(n)::BIGINT AS total, coalesce(sum(n) FILTER (WHERE c = sym), 0)::BIGINT AS correct, round(coalesce(sum(n) FILTER (WHERE c = sym), 0) / sum(n), 9) AS acc"
@@ -101,6 +140,7 @@ QUERIES = {
     "decode_text": (lambda s, d: decoded(_docs(s, d), rank_mapping(_docs(s, d))), f"{MAP} SELECT doc_id, replace(string_agg(coalesce(sym, c0.c), '' ORDER BY i), '_', ' ') AS decoded FROM c0 LEFT JOIN mp USING (doc_id, c) GROUP BY doc_id"),
     "word_accuracy": (lambda s, d: word_accuracy(_docs(s, d), rank_mapping(_docs(s, d))), f"{WACC} {WSEL} GROUP BY 1"),
     "valid_word_accuracy": (lambda s, d: word_accuracy(_docs(s, d), rank_mapping(_docs(s, d)), word_counts(table(s, d, "conversations"))), WACC + r", vw AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS word FROM conversations) " + WSEL + " WHERE word IN (SELECT word FROM vw WHERE word <> '') GROUP BY 1"),
+    "aligned_accuracy": (lambda s, d: aligned_accuracy(_docs(s, d).select("doc_id", "text").join(squeezed(decoded(_docs(s, d), rank_mapping(_docs(s, d)))), "doc_id")), None),
     "doc_stats": (lambda s, d: spread(accuracy(rank_mapping(_docs(s, d)), "doc_id")), f"{MAP}, a AS (SELECT doc_id, {ACC} FROM mp GROUP BY 1) SELECT count(*)::BIGINT AS docs, min(acc) AS low, round(median(acc), 6) AS median, round(avg(acc), 6) AS mean, max(acc) AS high FROM a"),
     "accuracy_by_length": (lambda s, d: by_length(_docs(s, d)), f"{MAP}, pf AS (SELECT doc_id, lang, text, unnest([{', '.join(map(str, LENGTHS))}])::INT AS length FROM documents), pd AS (SELECT doc_id, lang, length, unnest(string_split(text[1:length], '')) AS c, generate_subscripts(string_split(text[1:length], ''), 1) AS i FROM pf WHERE length(text) >= length), pe AS (SELECT doc_id, lang, length, c, count(*) AS n, min(i) AS f FROM pd WHERE c <> chr(10) GROUP BY ALL), pg AS (SELECT *, row_number() OVER (PARTITION BY doc_id, length ORDER BY n DESC, f) AS clust FROM pe), sx AS (SELECT DISTINCT lang, clust, sym FROM mp), ph AS (SELECT doc_id, length, {ACC.replace('sum(n)::BIGINT AS total, ', '').split(', round')[0]}, round(coalesce(sum(n) FILTER (WHERE c = sym), 0) / sum(n), 9) AS acc FROM pg JOIN sx USING (lang, clust) GROUP BY ALL) SELECT length, count(*)::BIGINT AS docs, round(avg(acc), 9) AS acc FROM ph GROUP BY 1"),
     "cluster_purity": (lambda s, d: misplaced(_docs(s, d), "source", "lang"), "WITH g AS (SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY ALL), h AS (SELECT *, (sum(n) OVER (PARTITION BY source))::BIGINT AS total FROM g) SELECT source, total, lang AS modal, total - n AS misplaced FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1"),

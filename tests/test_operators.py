@@ -172,3 +172,28 @@ def test_diacritics(spark):
     assert sorted(map(tuple, raster.diacritics(c).collect())) == [(1, 0, 1, 4, 0, 6, 9, 13, 2), (1, 0, 3, 20, 3, 24, 9, 9, 1), (1, 1, 4, 5, 12, 5, 12, 1, 1)]
     assert raster.diacritics(c.limit(0)).count() == 0
     assert [(x.r, x.line) for x in raster.blocks(raster.pixels(_docs(spark, "a\n b\n\n\nc"))).orderBy("r").collect()] == [(0, 0), (1, 0), (4, 1)]
+
+
+def test_alignment(spark):
+    def plain(a, b):
+        if not a or not b:
+            return max(len(a), len(b)), 0
+        same = a[-1] == b[-1]
+        d, m = plain(a[:-1], b[:-1])
+        ways = [(d + (not same), -(m + same))]
+        for x, y in ((a[:-1], b), (a, b[:-1])):
+            d, m = plain(x, y)
+            ways.append((d + 1, -m))
+        d, m = min(ways)
+        return d, -m
+
+    r = random.Random(9)
+    for _ in range(150):
+        a, b = ("".join(r.choice("abé") for _ in range(r.randrange(6))) for _ in range(2))
+        assert evaluate.edits(a, b) == plain(a, b)
+    rows = [(1, "abc\nde", "ac\ndxe"), (2, "", "x"), (3, None, None), (4, "a\nb", "a"), (5, "same", "same")]
+    got = evaluate.aligned_accuracy(spark.createDataFrame(rows, "doc_id long, text string, decoded string")).orderBy("doc_id").collect()
+    assert [tuple(x) for x in got] == [(1, 5, 5, 2, 4, 0.6), (2, 0, 1, 1, 0, None), (3, 0, 0, 0, 0, None), (4, 2, 1, 1, 1, 0.5), (5, 4, 4, 0, 4, 1.0)]
+    assert evaluate.aligned_accuracy(spark.createDataFrame([], "doc_id long, text string, decoded string")).count() == 0
+    s = evaluate.squeezed(spark.createDataFrame([(1, " a  b \n  c")], "doc_id long, decoded string")).first()
+    assert s.decoded == "a b\nc"
