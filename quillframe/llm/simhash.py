@@ -26,8 +26,13 @@ It yields at most one link for each member of the upper nodes, never all their p
 fingerprints are one row before that. Upper nodes of more than HOT fingerprints are split into
 tiles that meet pairwise. Nothing is capped.
 
+``similar`` asks for texts instead of fingerprints: the index only finds candidates, by a radius
+and trees that let few pairs go, and what it links loosely is compared shingle by shingle. A
+link is then a Jaccard similarity (of the sets of shingles, as XXH64 values) of at least the
+threshold, whatever the fingerprints say, and components are those of such links.
+
 Defined results: a null text is an empty one; without words the fingerprint is zero and is
-linked like any other; with fewer words than a shingle the whole sequence is the one shingle.
+linked like any other (``similar`` links it to its equals only); with fewer words than a shingle the whole sequence is the one shingle.
 Rows whose doc_id is null link nothing and get the component of their fingerprint, or null.
 Repeated rows get repeated results. Only the named columns are used, so names can't clash.
 """
@@ -64,19 +69,32 @@ def _lane(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
-    """The fingerprint of a whole text in 64-bit lanes: A-Z lower-cased, split at ASCII white space."""
+def hashes(text: str, words: int = 4, seed: int = 42) -> list[int]:
+    """The hash of each shingle of a whole text: A-Z lower-cased, split at ASCII white space."""
     w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return np.zeros(lanes, np.uint64)
+        return []
     joined = b" ".join(w)
+    f = xxhash.xxh64_intdigest
     if len(w) <= words:
-        h = [xxhash.xxh64_intdigest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
-        begins = np.concatenate([[0], ends[:-1] + 1])
-        f = xxhash.xxh64_intdigest
-        h = [f(joined[a:b], seed) for a, b in zip(begins[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return [f(joined, seed)]
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    begins = np.concatenate([[0], ends[:-1] + 1])
+    return [f(joined[a:b], seed) for a, b in zip(begins[: len(w) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)]
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The set of a text's shingle hashes, sorted."""
+    return np.unique(np.array(hashes(text, words), "<u8"))
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42, lanes: int = 1) -> np.ndarray:
+    """The fingerprint of a whole text in 64-bit lanes."""
+    return majority(hashes(text, words, seed), lanes)
+
+
+def majority(h: list[int] | np.ndarray, lanes: int) -> np.ndarray:
+    """The bits that are set in over half of the hashes, in 64-bit lanes."""
     total = np.zeros(64 * lanes, np.int64)
     for i in range(0, len(h), 1 << 16):
         own = np.array(h[i : i + (1 << 16)], "<u8")
@@ -241,11 +259,11 @@ def drawn(lanes: int, trees: int, factored: int, seed: int = 5) -> list[list[int
     return out
 
 
-def radius_for(similarity: float, lanes: int) -> int:
-    """The differing bits that texts of a Jaccard similarity of their shingles have, and one standard deviation."""
+def radius_for(similarity: float, lanes: int, deviations: float = 1) -> int:
+    """The differing bits that texts of a Jaccard similarity of their shingles have, and so many standard deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     n = 64 * lanes
-    return int(n * p + math.sqrt(n * p * (1 - p)))
+    return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
 def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, trees: list[list[int]] | None = None, key: str = "doc_id") -> DataFrame:
@@ -278,13 +296,124 @@ def near_duplicates(df: DataFrame, *, words: int = 4, radius: int = 4, lanes: in
     return fps.join(found, names).select(key, F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]).alias("fingerprint"), "component_id")
 
 
-#: Similar texts: five-word shingles of a similarity of 0.8 or more, by 256-bit fingerprints.
-SIMILAR = {"words": 5, "lanes": 4, "radius": radius_for(0.8, 4), "trees": drawn(4, 40, 16)}
+def set_prints(df: DataFrame, *, words: int, lanes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, f0, f1, ... (the fingerprint of the set of shingles) and set (a hash of that set)."""
+    bounded_batches(df.sparkSession)
+    names = lane_names(lanes)
+
+    def over(it):
+        for b in it:
+            if b.num_rows:
+                own = [shingles(t, words) for t in strings(b.column(1))]
+                f = np.stack([majority(h, lanes) for h in own]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(f[:, k])) for k in range(lanes)), pa.array([_set_hash(h) for h in own], pa.int64())], names=[key, *names, "set"])
+
+    return df.select(F.col(key), F.col(text)).mapInArrow(trimmed(over), f"`{key}` {df.schema[key].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, set long")
+
+
+def _set_hash(h: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+
+
+def join_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels of the components of sets (of distinct values) under links of a Jaccard similarity of at least that much.
+
+    A set is held against the larger ones that its size allows and that lie in other components.
+    """
+    n = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    order = np.argsort(size, kind="stable")
+    size = size[order]
+    end = np.cumsum(size)
+    begin = end - size
+    values, flat = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    labels, mark = np.arange(n), np.zeros(len(values), bool)
+    for i in range(n - 1):
+        if not size[i]:
+            continue
+        top = int(np.searchsorted(size, size[i] / similarity + 1e-6, "right"))
+        j = i + 1 + np.flatnonzero(labels[i + 1 : top] != labels[i])
+        if not len(j):
+            continue
+        own = flat[begin[i] : end[i]]
+        mark[own] = True
+        if len(j) == top - i - 1:
+            hit = mark[flat[begin[i + 1] : end[top - 1]]]
+        else:
+            hit = mark[flat[np.repeat(begin[j] - np.cumsum(size[j]) + size[j], size[j]) + np.arange(size[j].sum())]]
+        mark[own] = False
+        both = np.add.reduceat(hit, np.cumsum(size[j]) - size[j], dtype=np.int64)
+        j = j[both >= similarity * (size[i] + size[j] - both) - 1e-6]
+        merge(labels, np.full(len(j), i), j)
+    out = np.empty(n, np.int64)
+    out[order] = order[labels]
+    return out
+
+
+def _verified(it, similarity: float):
+    """Links (u, v: node ids) in the tiles of a partition sorted by them; columns: component_id, lo, hi, node, shingles.
+
+    As in _links, a tile's nodes have one link at most, to one of their component.
+    """
+    for t in groups(it, 3, 2000):
+        *by, node = (t.column(k).to_numpy() for k in range(4))
+        sets = t.column(4)
+        edge = np.ones(len(node), bool)
+        edge[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in by])
+        begin = np.append(np.flatnonzero(edge), len(node))
+        u, v = [], []
+        for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            if b - a > 1:
+                labels = a + join_sets([np.frombuffer(x, "<u8") for x in sets.slice(a, b - a).to_pylist()], similarity)
+                off = np.flatnonzero(labels != np.arange(a, b))
+                u.append(node[a + off])
+                v.append(node[labels[off]])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
+
+
+def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius: int, trees: list[list[int]], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and component_id for every row: the smallest key that links of at least that Jaccard similarity of shingles reach."""
+    spark = df.sparkSession
+    names = lane_names(lanes)
+    fps = written(set_prints(df, words=words, lanes=lanes, key=key, text=text), "fingerprints")
+    loose = linked(fps.select(key, *names), radius=radius, trees=trees, key=key)
+    sets = fps.groupBy(*names, "set").agg(F.min(key).alias("node")).join(loose, names)
+    sets = written(sets.select(*names, "set", "component_id", F.col("node").cast("long").alias("node")), "sets")
+    known = sets.filter("node is not null")
+    many = known.groupBy("component_id").count().filter("count > 1").select("component_id")
+    asked = written(known.select("component_id", "node", "set").join(many, "component_id"), "asked")
+    asked = tiled(asked, ["component_id"], F.xxhash64("node", "set"), SETS)
+    by = ["component_id", "lo", "hi"]
+    asked = asked.select(*by, "node", "set")
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = asked.hint("merge").join(texts, F.col("node") == F.col("_key")).select(*by, "node", "set", "_text")  # both sides grow with the input: never broadcast
+
+    def sought(it):
+        for b in it:
+            own = [shingles(t, words) for t in strings(b.column(5))]
+            is_it = pa.array([_set_hash(h) == s for h, s in zip(own, b.column(4).to_pylist(), strict=True)], pa.bool_())
+            out = [*b.columns[:4], pa.array([h.tobytes() for h in own], pa.binary())]
+            yield pa.RecordBatch.from_arrays(out, names=[*by, "node", "shingles"]).filter(is_it)
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in [*by, "node"])
+    rows = rows.mapInArrow(trimmed(sought), f"{kinds}, shingles binary")
+    rows = rows.repartition(partitions(spark), *by).sortWithinPartitions(*by)
+    edges = rows.mapInArrow(trimmed(lambda it: _verified(it, similarity)), "u long, v long")
+    roots = components(edges).withColumnRenamed("node", "at")
+    labelled = sets.join(roots, F.col("node") == F.col("at"), "left").select(*names, "set", F.coalesce("root", "node").alias("component_id"))
+    return fps.join(labelled, [*names, "set"]).select(key, "component_id")
+
+
+#: Sets of shingles of a loose component that one slab holds.
+SETS = 1000
+#: Similar texts: five-word shingles of a similarity of 0.8 or more; candidates by 256-bit fingerprints, five standard deviations beyond it.
+SIMILAR = {"similarity": 0.8, "words": 5, "lanes": 4, "radius": radius_for(0.8, 4, 5), "trees": drawn(4, 80, 16)}
 
 
 def one_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df with one row of each component: that of the smallest key. Rows without a key stay; of repeated rows of that key one stays."""
-    found = near_duplicates(df, key=key, text=text, **(how or SIMILAR))
+    """df with one row of each component of similar texts: that of the smallest key. Rows without a key stay; of repeated rows of that key one stays."""
+    found = similar(df, key=key, text=text, **(how or SIMILAR))
     kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
     kept = written(kept, "kept")
     out = df.join(kept.hint("merge"), F.col(key) == F.col("_kept"))  # both sides grow with the input: never broadcast

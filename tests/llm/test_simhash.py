@@ -135,3 +135,58 @@ def test_similar_texts(spark):
     assert len(kept - clean - {None}) <= 6  # recall of 0.95 of 120 copies
     assert S.one_each(df.limit(0)).count() == 0
     assert sorted((x.doc_id, x.text) for x in S.one_each(spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "")], "doc_id long, text string")).collect()) == [(1, "a"), (2, None)]
+
+
+def _similarity(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_families_under_the_similarity_stay(spark):
+    r = random.Random(11)
+    word = lambda: "w%d" % r.randrange(10**6)
+    rows, at = {}, 0
+    for new in (0.12, 0.15, 0.18, 0.21, 0.25):  # similarities from 0.6 to 0.79: a shared passage, and a tail of its own
+        shared = [word() for _ in range(round(300 * (1 - new)))]
+        family = [shared + [word() for _ in range(300 - len(shared))] for _ in range(25)]
+        assert 0.59 < _similarity(*family[:2]) < 0.8
+        for w in family:
+            rows[at] = " ".join(w)
+            at += 1
+    copy = rows[7].split()
+    copy[150] = word()
+    assert _similarity(rows[7].split(), copy) >= 0.8
+    rows[1000] = " ".join(copy)
+    for i in (2000, 2001):  # a repeated line gives equal fingerprints of occurrences, not of sets
+        rows[i] = " ".join(["one line that is repeated here"] * 400 + [word() for _ in range(60)])
+    df = spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")
+    assert {x.doc_id for x in S.one_each(df).collect()} == set(rows) - {1000}
+
+
+def test_sets_against_all_pairs(spark, monkeypatch):
+    r = random.Random(12)
+    texts = []
+    for _ in range(12):
+        w = ["w%d" % r.randrange(10**6) for _ in range(r.choice([4, 6, 60, 120]))]
+        texts += [_edited(r, w, r.choice([0, 0.01, 0.03, 0.05])) for _ in range(8)]
+    sets = [S.shingles(" ".join(w), 5) for w in texts] + [S.shingles("", 5)]
+    n = len(sets)
+    label = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            for j in range(i):
+                both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+                if both and both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                    label[i] = label[j] = min(label[i], label[j])
+        if not _:
+            first = list(label)
+        elif label == first:
+            break
+        first = list(label)
+    same = lambda x: [[a == b for b in x] for a in x]
+    assert same(S.join_sets(sets, 0.8).tolist()) == same(label)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for most in (1000, 3):
+        monkeypatch.setattr(S, "SETS", most)
+        got = {x.doc_id: x.component_id for x in S.similar(df, **S.SIMILAR).collect()}
+        assert [got[i] for i in range(n - 1)] == label[:-1]
