@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -197,3 +198,21 @@ def test_alignment(spark):
     assert evaluate.aligned_accuracy(spark.createDataFrame([], "doc_id long, text string, decoded string")).count() == 0
     s = evaluate.squeezed(spark.createDataFrame([(1, " a  b \n  c")], "doc_id long, decoded string")).first()
     assert s.decoded == "a b\nc"
+
+
+def test_lookup_takes_all_symbols():
+    r = random.Random(21)
+    words = {"".join(r.choice("abcdeA") for _ in range(r.randint(1, 5))) for _ in range(60)}
+    lex, symbols = decode.Lexicon(sorted(words)), list("abcdeABCDE.")
+    for _ in range(400):
+        w = "".join(r.choice("uvwxy") for _ in range(r.randint(1, 6)))
+        mapping = {x: r.choice(symbols) for x in "uvwxy" if r.random() < 0.4}
+        c = r.choice(w)
+        mapping.pop(c, None)
+        assert lex.letters(w, c, mapping) == {s for s in [*symbols, *"xyz"] if lex.known(w, mapping | {c: s})}
+    order = decode._order(list("zyx"), symbols)
+    assert order["z"] == symbols and order["x"] == list("cbdaeABCDE.")
+    assert all(sorted(x) == sorted(symbols) for x in order.values())
+    far = list("etaoinshr") + ["q"]  # the only fitting symbol is far from the cluster's rank
+    for f in (decode.lookup_map, decode.simultaneous_map):
+        assert f(["z"], Counter({"z": 3}), decode._order(["z"], far), decode.Lexicon(["q"])) == {"z": "q"}
