@@ -216,3 +216,11 @@ def test_lookup_takes_all_symbols():
     far = list("etaoinshr") + ["q"]  # the only fitting symbol is far from the cluster's rank
     for f in (decode.lookup_map, decode.simultaneous_map):
         assert f(["z"], Counter({"z": 3}), decode._order(["z"], far), decode.Lexicon(["q"])) == {"z": "q"}
+
+
+def test_hmm_decodes_every_printable_symbol(spark, tmp_path):
+    others = [chr(x) for x in range(33, 95) if chr(x) != "Q"]  # each likely behind itself; Q only begins lines
+    texts = ["\n".join(["Q"] * 300), *(c * 200 for c in others)]
+    _docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in decode.QUERIES["hmm_viterbi"][0](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts) and (got[0].lines, got[0].correct) == (300, 300)
