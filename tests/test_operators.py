@@ -224,3 +224,26 @@ def test_hmm_decodes_every_printable_symbol(spark, tmp_path):
     _docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r for r in decode.QUERIES["hmm_viterbi"][0](spark, str(tmp_path)).collect()}
     assert len(got) == len(texts) and (got[0].lines, got[0].correct) == (300, 300)
+
+
+def test_line_map_against_all_maps():
+    r = random.Random(22)
+    g = np.random.default_rng(22)
+    for _ in range(30):
+        pairs, start = np.log(g.dirichlet(np.full(7, 0.3), 7) + 1e-9), np.log(g.dirichlet(np.ones(7)))
+        k = r.randint(1, 6)
+        lines = [[r.randrange(k) for _ in range(r.randint(0, 12))] for _ in range(4)] + [list(range(k))]
+        candidates = [r.sample(range(7), 3) for _ in range(k)]
+
+        def score(m):
+            return sum(start[m[x[0]]] + sum(pairs[m[a], m[b]] for a, b in zip(x, x[1:], strict=False)) for x in lines if x)
+
+        m, v = decode.line_map(lines, candidates, start, pairs)
+        assert v == pytest.approx(max(map(score, itertools.product(*candidates)))) and v == pytest.approx(score(m))
+
+
+def test_bnb_map_maps_all_clusters(spark, tmp_path):
+    _docs(spark, "abcdefg").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "xxx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = decode.QUERIES["bnb_map"][0](spark, str(tmp_path)).first()
+    assert (r.correct, r.score) == (0, round(math.log(2 / 96) + 6 * math.log(3 / 97), 3))
