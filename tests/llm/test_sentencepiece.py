@@ -1,4 +1,5 @@
 import random
+import struct
 
 import pytest
 
@@ -32,6 +33,14 @@ def test_decoding_is_the_inverse(library):
         assert m.decode(m.encode(t)) == library.decode(library.encode(t))
 
 
+def _pieces(m, text):
+    out, at = [], 0
+    for k in m.shortest(text):
+        out.append(text[at : at + int(m.length[k])])
+        at += len(out[-1])
+    return out
+
+
 def test_shortest_path_is_the_only_legal_one():
     m = S.Model(DATA)
 
@@ -41,7 +50,71 @@ def test_shortest_path_is_the_only_legal_one():
         return [[text[:i], *rest] for i in range(1, len(text) + 1) if (text[:i] in m.ids or i == 1) and m.transition(last, text[:i]) for rest in ways(text[i:], text[:i])]
 
     for w in ("▁there", "▁zzqthing", "▁é漢a"):
-        assert ways(w, "") == [m.path(w)]
+        assert ways(w, "") == [_pieces(m, w)]
+
+
+def test_many_inputs_at_once():
+    m, r = S.Model(DATA), random.Random(3)
+    texts = [m.rewritten(_random(r)) for _ in range(500)] + ["", "\x00", "▁"]
+    numbers, ends = m.shortest_of(texts)
+    assert [numbers[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)] == [m.shortest(t) for t in texts]
+
+
+def test_a_small_table_changes_nothing(monkeypatch):
+    m, r = S.Model(DATA), random.Random(6)
+    texts = [_random(r) for _ in range(200)]
+    want = [m.encoded(t) for t in texts]
+    monkeypatch.setattr(S, "KEPT", 20)
+    monkeypatch.setattr(S, "TEXTS", 7)
+    for _ in range(2):
+        assert [x for x, _ in m.encoded_all(texts)] == want
+
+
+def _number(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    if isinstance(value, int):
+        return _number(number << 3) + _number(value)
+    return _number(number << 3 | 2) + _number(len(value)) + value
+
+
+def _unigram(scores, squeeze):
+    """A unigram model file with byte pieces."""
+    rows = [("<unk>", 0.0, S.UNKNOWN), *((f"<0x{b:02X}>", 0.0, S.BYTE) for b in range(256)), *((p, s, S.NORMAL) for p, s in scores.items())]
+    piece = lambda p, s, k: _field(1, p.encode()) + bytes([2 << 3 | 5]) + struct.pack("<f", s) + _field(3, k)
+    return b"".join(_field(1, piece(*x)) for x in rows) + _field(2, _field(3, S.UNIGRAM)) + _field(3, _field(3, 1) + _field(4, int(squeeze)))
+
+
+def test_unigram_against_all_segmentations():
+    scores = {"▁": -2.0, "a": -1.5, "b": -2.25, "ab": -2.5, "ba": -3.125, "▁a": -2.75, "▁ab": -4.0, "aba": -4.5, "bb": -8.0}
+    worst, r = 10 - min(scores.values()), random.Random(5)
+
+    def ways(t):
+        if not t:
+            return [(0.0, [])]
+        out = [(worst + c, [t[0], *w]) for c, w in ways(t[1:])] if t[0] not in scores else []
+        return out + [(c - scores[t[:i]], [t[:i], *w]) for i in range(1, len(t) + 1) if t[:i] in scores for c, w in ways(t[i:])]
+
+    for squeeze in (False, True):
+        m = S.Model(_unigram(scores, squeeze))
+        for t in [" ", "", "  a  b ", "é", *("".join(r.choice("aabb é") for _ in range(r.randint(0, 9))) for _ in range(150))]:
+            normal = " ".join(t.split(" ")) if not squeeze else " ".join(x for x in t.split(" ") if x)
+            normal = "▁" + normal.replace(" ", "▁") if normal else ""
+            assert m.rewritten(t) == normal
+            cost, best = min(ways(normal))
+            got = m.encode(t)
+            assert abs(sum(worst if len(p) == 1 and p not in scores else -scores[p] for p in _pieces(m, normal)) - cost) < 1e-9
+            assert m.decode(got).encode() == m.lossless(t)
+            if len({round(c, 6) for c, _ in ways(normal)}) == len(ways(normal)):
+                want = []
+                for p in best:
+                    want += [m.ids[p]] if p in m.ids else [1 + b for b in p.encode()]
+                assert got == want
 
 
 def test_transitions_by_the_merge_rules():
