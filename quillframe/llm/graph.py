@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import partitions, written
 
 
 def merge(labels: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -99,6 +99,20 @@ def tiled(df: DataFrame, keys: list[str], member: Column, cap: int) -> DataFrame
     return j.select(*df.columns, F.least("slab", "_j").alias("lo"), F.greatest("slab", "_j").alias("hi"), "slab")
 
 
+def joined_back(rows: DataFrame, found: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """rows joined with found on keys; found is a written table of one row a key, and count its number of rows.
+
+    A key that holds more than one in 4 x partitions of all rows is joined by broadcast, so its
+    rows stay where they are; there can be 4 x partitions such keys at most. The others shuffle.
+    """
+    share = 4 * partitions(rows.sparkSession)
+    total = found.agg(F.sum(count)).first()[0] or 0
+    hot = found.filter(F.col(count) * share > total)
+    rest = found.filter(F.col(count) * share <= total)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
+
+
 def groups(it, keys: int, rows: int = 150_000):
     """Whole groups of a partition sorted by its first ``keys`` columns: tables that end with a group's last row, of about ``rows`` rows or one group's."""
     held: list[pa.RecordBatch] = []

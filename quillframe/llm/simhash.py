@@ -6,21 +6,24 @@ component is the smallest doc_id that links reach.
 
 The index has three kinds of node, each a pattern that its members share on masked bits:
 
-* The upper nodes factor whole blocks out: the 64 bits fall into ``blocks`` blocks, and there
-  is a tree for each choice of blocks - radius of them. Fingerprints within the radius agree
-  on all of at least one choice, so they share an upper node of its tree at an accumulated
-  difference of 0. Spark deals fingerprints to upper nodes by (tree, pattern).
+* The upper nodes factor bits of whole blocks out: the 64 bits fall into blocks, and there is
+  a tree for each choice of blocks - radius of them. Fingerprints within the radius agree on
+  all of at least one choice, so they share an upper node of its tree at an accumulated
+  difference of 0. As many of a choice's bits are factored as leave some NODE fingerprints to
+  an upper node; where one block (radius + 1 of them) hasn't that many bits there are more blocks.
+  Spark deals fingerprints to upper nodes by (tree, pattern).
 * Under an upper node, fingerprints are sorted by Gray rank, which puts codes of few
-  differences side by side. Runs of 16 make a leaf, runs of 16 leaves a node above, and so on;
-  each keeps the bits that all its members share.
+  differences side by side. Runs of 4 make a leaf, runs of 4 leaves a node above, and so on (16
+  for fingerprints of several lanes); each keeps the bits that all its members share.
 * The search walks pairs of nodes from the top. A pair's differences on bits that both share
   bound every member pair's from below: beyond the radius the whole pair of groups is pruned.
   So are pairs that lie in one component already, for only components are asked for.
 
-That is exact for any radius that leaves blocks wide enough. For looser similarities there are
-``trees``: fingerprints of several 64-bit lanes, with upper nodes that share ``factored`` bits
-drawn for each tree, so a pair that differs in a share p of its bits meets with probability
-1 - (1 - (1 - p) ** factored) ** trees, and below them the same index with the same exact test.
+That is exact for any radius that leaves blocks wide enough. For looser similarities the
+fingerprints have several 64-bit lanes and there are drawn trees, whose upper nodes share
+``factored`` bits drawn for each, chosen from the count likewise: a pair that differs in a share
+p of its bits meets with probability 1 - (1 - (1 - p) ** factored) ** trees, so there are as
+many trees as bring that to MEET. Below them is the same index with the same exact test.
 
 It yields at most one link for each member of the upper nodes, never all their pairs. Equal
 fingerprints are one row before that. Upper nodes of more than HOT fingerprints are split into
@@ -48,13 +51,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, strings, trimmed, written
-from .graph import components, groups, merge, tiled
+from .common import bounded_batches, fresh, partitions, strings, trimmed, written
+from .graph import components, groups, joined_back, merge, tiled
 
-FAN = 16
 HOT = 20_000
-#: Groups of up to this many are compared row by row over a whole partition at once.
-SMALL = 48
+#: A node's children, and the fingerprints that an upper node holds on average at most: of one lane, whose groups are pruned, and of several, where a wide radius prunes little.
+FAN, NODE = (4, 16), (4096, 512)
+#: The chance to meet in a drawn tree.
+MEET = 0.998
 
 
 #: Odd multipliers that make further lanes of a shingle's hash: a fixed sequence (multiples of the golden ratio's fraction).
@@ -144,14 +148,15 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 class Tree:
-    """The nodes over codes (rows of lanes) in Gray order: per level the bits that are set in all and in any of a node's members."""
+    """The nodes over codes (rows of lanes) in Gray order: per level the bits that are set in all and in any of a node's members; level 0 are leaves of fan codes."""
 
-    def __init__(self, codes: np.ndarray):
-        self.levels = [(codes, codes)]
-        while len(self.levels[-1][0]) > FAN:
-            all_, any_ = self.levels[-1]
-            at = np.arange(0, len(all_), FAN)
-            self.levels.append((np.bitwise_and.reduceat(all_, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)))
+    def __init__(self, codes: np.ndarray, fan: int):
+        all_ = any_ = codes
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        while not self.levels or len(all_) > fan:
+            at = np.arange(0, len(all_), fan)
+            all_, any_ = np.bitwise_and.reduceat(all_, at, axis=0), np.bitwise_or.reduceat(any_, at, axis=0)
+            self.levels.append((all_, any_))
 
     def apart(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Differences that all member pairs of the nodes i and j have."""
@@ -161,48 +166,56 @@ class Tree:
 
 def join_tree(codes: np.ndarray, radius: int) -> np.ndarray:
     """Labels of the components of codes (distinct rows of lanes, in Gray order) under links of up to radius bits."""
-    n = len(codes)
-    tree, labels = Tree(codes), np.arange(n)
+    n, lanes = codes.shape
+    fan = FAN[lanes > 1]
+    tree, labels = Tree(codes, fan), np.arange(n)
     for d in range(1, min(n, 5)):  # neighbours in Gray order first: most links, cheaply
         i = np.flatnonzero(_bits(codes[d:] ^ codes[:-d]) <= radius)
         merge(labels, i, i + d)
     top = len(tree.levels) - 1
+    member = np.minimum(np.arange(len(tree.levels[0][0]) * fan), n - 1).reshape(-1, fan)  # a leaf's codes; the last one's repeat
+    leaves = codes[member]
     a, b = np.triu_indices(len(tree.levels[top][0]))
     todo = [(top, a, b)]
-    spans = [(labels, labels)]
+    spans: list[tuple[np.ndarray, np.ndarray]] = []
 
     def refresh():
         del spans[:]
-        spans.append((labels, labels))
-        for _ in range(top):
-            low, high = spans[-1]
-            at = np.arange(0, len(low), FAN)
-            spans.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+        low = high = labels
+        for _ in range(top + 1):
+            at = np.arange(0, len(low), fan)
+            low, high = np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
+            spans.append((low, high))
 
     refresh()
+    da, db = np.divmod(np.arange(fan * fan), fan)
     while todo:
         level, i, j = todo.pop()
-        if len(i) > 1 << 14 and level:
-            todo += [(level, i[k : k + (1 << 14)], j[k : k + (1 << 14)]) for k in range(0, len(i), 1 << 14)]
+        most = (1 << 18) // fan**2 if level else (1 << 19) // (fan**2 * lanes)
+        if len(i) > most:
+            todo += [(level, i[k : k + most], j[k : k + most]) for k in range(0, len(i), most)]
             continue
         low, high = spans[level]
-        one = (np.minimum(low[i], low[j]) == np.maximum(high[i], high[j])) if level else labels[i] == labels[j]
-        near = ~one
+        near = np.minimum(low[i], low[j]) != np.maximum(high[i], high[j])  # else one component already
         near[near] = tree.apart(level, i[near], j[near]) <= radius
         i, j = i[near], j[near]
         if not len(i):
             continue
-        if not level:
-            k = i != j
-            if k.any():
-                merge(labels, i[k], j[k])
-                refresh()
+        if level:
+            m = len(tree.levels[level - 1][0])
+            x, y = (i[:, None] * fan + da).ravel(), (j[:, None] * fan + db).ravel()
+            keep = (x < m) & (y < m) & (x <= y)
+            todo.append((level - 1, x[keep], y[keep]))
             continue
-        m = len(tree.levels[level - 1][0])
-        da, db = np.divmod(np.arange(FAN * FAN), FAN)
-        x, y = (i[:, None] * FAN + da).ravel(), (j[:, None] * FAN + db).ravel()
-        keep = (x < m) & (y < m) & (x <= y)
-        todo.append((level - 1, x[keep], y[keep]))
+        differ = np.zeros((len(i), fan, fan), np.uint16)
+        for lane in range(lanes):
+            differ += np.bitwise_count(leaves[i, :, None, lane] ^ leaves[j, None, :, lane])
+        k, x, y = np.nonzero(differ <= radius)
+        x, y = member[i[k], x], member[j[k], y]
+        open_ = labels[x] != labels[y]
+        if open_.any():
+            merge(labels, x[open_], y[open_])
+            refresh()
     return labels
 
 
@@ -220,13 +233,7 @@ def _links(it, radius: int):
         size = np.diff(np.append(begin, len(node)))
         codes = np.stack(lanes, axis=1).view(np.uint64)
         labels = np.arange(len(node))  # of rows: those that links join have one
-        small = np.repeat(np.where(size <= SMALL, size, 0), size)  # each row's group size
-        place = np.arange(len(node)) - np.repeat(begin, size)
-        for d in range(1, int(small.max(initial=0))):
-            i = np.flatnonzero(place + d < small)
-            i = i[_bits(codes[i] ^ codes[i + d]) <= radius]
-            merge(labels, i, i + d)
-        for b, n in zip(begin[size > SMALL], size[size > SMALL], strict=True):
+        for b, n in zip(begin[size > 1], size[size > 1], strict=True):
             order = gray_order(codes[b : b + n])
             own = join_tree(codes[b : b + n][order], radius)
             off = np.flatnonzero(own != np.arange(n))
@@ -240,11 +247,27 @@ def _links(it, radius: int):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[off], pa.int64()), pa.array(nodes[roots[off]], pa.int64())], names=["u", "v"])
 
 
-def masks(radius: int, blocks: int) -> list[int]:
-    """The masks of the upper nodes' trees: each choice of blocks - radius of the blocks."""
+def masks(radius: int, blocks: int, factored: int = 64) -> list[int]:
+    """The masks of the upper nodes' trees: for each choice of blocks - radius of the blocks, up to factored of their bits, evenly taken."""
     ends = [round(64 * i / blocks) for i in range(blocks + 1)]
-    block = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(ends, ends[1:], strict=False)]
-    return [sum(block[i] for i in c) for c in combinations(range(blocks), blocks - radius)]
+    out = []
+    for c in combinations(range(blocks), blocks - radius):
+        bits = [b for i in c for b in range(ends[i], ends[i + 1])]
+        at = {bits[len(bits) * k // factored] for k in range(factored)} if factored < len(bits) else bits
+        out.append(sum(1 << b for b in at))
+    return list(dict.fromkeys(out))
+
+
+def factored_for(count: int, lanes: int) -> int:
+    """Bits to factor out so that upper nodes hold NODE of count fingerprints or fewer on average."""
+    return max(0, math.ceil(math.log2(max(count, 1) / NODE[lanes > 1])))
+
+
+def masks_for(count: int, radius: int) -> list[int]:
+    """The masks for so many fingerprints: with as few blocks as have the bits to factor out."""
+    factored = factored_for(count, 1)
+    blocks = next((b for b in range(radius + 1, radius + 4) if (64 // b) * (b - radius) >= factored), radius + 4)
+    return masks(radius, blocks, factored)
 
 
 def drawn(lanes: int, trees: int, factored: int, seed: int = 5) -> list[list[int]]:
@@ -259,25 +282,36 @@ def drawn(lanes: int, trees: int, factored: int, seed: int = 5) -> list[list[int
     return out
 
 
+def differing(similarity: float) -> float:
+    """The share of differing bits that texts of a Jaccard similarity of their shingles have."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def drawn_for(count: int, lanes: int, similarity: float) -> list[list[int]]:
+    """Drawn trees for so many fingerprints, in which a pair of that similarity meets with probability MEET."""
+    factored = factored_for(count, lanes)
+    once = (1 - differing(similarity)) ** factored
+    return drawn(lanes, math.ceil(math.log(1 - MEET) / math.log(1 - once)) if once < 1 else 1, factored)
+
+
 def radius_for(similarity: float, lanes: int, deviations: float = 1) -> int:
     """The differing bits that texts of a Jaccard similarity of their shingles have, and so many standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = 64 * lanes
+    p, n = differing(similarity), 64 * lanes
     return int(n * p + deviations * math.sqrt(n * p * (1 - p)))
 
 
-def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, trees: list[list[int]] | None = None, key: str = "doc_id") -> DataFrame:
-    """The lanes and component_id for every distinct fingerprint of fps (key, f0, f1, ...).
+def linked(fps: DataFrame, *, radius: int = 4, similarity: float | None = None, key: str = "doc_id") -> DataFrame:
+    """The lanes, component_id and rows (how many) for every distinct fingerprint of fps (key, f0, f1, ...), a written table.
 
-    blocks: radius + 2 by default, which factors about 21 bits out; beyond some 10 million
-    fingerprints radius + 3 keeps the upper nodes small. trees: masks in their place.
+    Exact without a similarity (one lane); with one, pairs of that similarity meet in drawn trees.
     """
     spark = fps.sparkSession
     lanes = [c for c in fps.columns if c != key]
-    nodes = written(fps.groupBy(*lanes).agg(F.min(key).alias("node")), "nodes")
+    nodes = written(fps.groupBy(*lanes).agg(F.min(key).alias("node"), F.count("*").alias("rows")), "nodes")
     known = nodes.filter("node is not null")
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
-    trees = trees or [[m] for m in masks(radius, blocks or radius + 2)]
+    count = known.count()
+    trees = drawn_for(count, len(lanes), similarity) if similarity else [[m] for m in masks_for(count, radius)]
     uppers = F.array(*[F.xxhash64(F.lit(k), *[F.col(c).bitwiseAND(signed(x)) for c, x in zip(lanes, m, strict=True) if x]) for k, m in enumerate(trees)])
     rows = known.select(F.explode(uppers).alias("upper"), "node", *lanes)
     rows = tiled(rows, ["upper"], F.col("node"), HOT)
@@ -285,15 +319,14 @@ def linked(fps: DataFrame, *, radius: int = 4, blocks: int | None = None, trees:
     rows = rows.select(*by, "node", *lanes).repartition(partitions(spark), *by).sortWithinPartitions(*by)
     edges = rows.mapInArrow(trimmed(lambda it: _links(it, radius)), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "at")
-    return nodes.join(roots, F.col("node") == F.col("at"), "left").select(*lanes, F.coalesce("root", "node").alias("component_id"))
+    return written(nodes.join(roots, F.col("node") == F.col("at"), "left").select(*lanes, F.coalesce("root", "node").alias("component_id"), "rows"), "linked")
 
 
-def near_duplicates(df: DataFrame, *, words: int = 4, radius: int = 4, lanes: int = 1, blocks: int | None = None, trees: list[list[int]] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, fingerprint (16 hex digits a lane) and component_id for every row."""
-    fps = written(fingerprints(df, words=words, lanes=lanes, key=key, text=text), "fingerprints")
-    found = linked(fps, radius=radius, blocks=blocks, trees=trees, key=key)
-    names = lane_names(lanes)
-    return fps.join(found, names).select(key, F.concat(*[F.lower(F.lpad(F.hex(c), 16, "0")) for c in names]).alias("fingerprint"), "component_id")
+def near_duplicates(df: DataFrame, *, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, fingerprint (16 hex digits) and component_id for every row."""
+    fps = written(fingerprints(df, words=words, key=key, text=text), "fingerprints")
+    found = linked(fps, radius=radius, key=key)
+    return joined_back(fps, found, ["f0"], "rows").select(key, F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def set_prints(df: DataFrame, *, words: int, lanes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -372,14 +405,14 @@ def _verified(it, similarity: float):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
 
 
-def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius: int, trees: list[list[int]], key: str = "doc_id", text: str = "text") -> DataFrame:
+def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id for every row: the smallest key that links of at least that Jaccard similarity of shingles reach."""
     spark = df.sparkSession
     names = lane_names(lanes)
     fps = written(set_prints(df, words=words, lanes=lanes, key=key, text=text), "fingerprints")
-    loose = linked(fps.select(key, *names), radius=radius, trees=trees, key=key)
-    sets = fps.groupBy(*names, "set").agg(F.min(key).alias("node")).join(loose, names)
-    sets = written(sets.select(*names, "set", "component_id", F.col("node").cast("long").alias("node")), "sets")
+    loose = linked(fps.select(key, *names), radius=radius, similarity=similarity, key=key)
+    sets = fps.groupBy(*names, "set").agg(F.min(key).alias("node"), F.count("*").alias("rows")).join(loose.drop("rows"), names)
+    sets = written(sets.select(*names, "set", "component_id", F.col("node").cast("long").alias("node"), "rows"), "sets")
     known = sets.filter("node is not null")
     many = known.groupBy("component_id").count().filter("count > 1").select("component_id")
     asked = written(known.select("component_id", "node", "set").join(many, "component_id"), "asked")
@@ -401,23 +434,24 @@ def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius:
     rows = rows.repartition(partitions(spark), *by).sortWithinPartitions(*by)
     edges = rows.mapInArrow(trimmed(lambda it: _verified(it, similarity)), "u long, v long")
     roots = components(edges).withColumnRenamed("node", "at")
-    labelled = sets.join(roots, F.col("node") == F.col("at"), "left").select(*names, "set", F.coalesce("root", "node").alias("component_id"))
-    return fps.join(labelled, [*names, "set"]).select(key, "component_id")
+    labelled = sets.join(roots, F.col("node") == F.col("at"), "left").select(*names, "set", F.coalesce("root", "node").alias("component_id"), "rows")
+    return joined_back(fps, written(labelled, "labelled"), [*names, "set"], "rows").select(key, "component_id")
 
 
 #: Sets of shingles of a loose component that one slab holds.
 SETS = 1000
 #: Similar texts: five-word shingles of a similarity of 0.8 or more; candidates by 256-bit fingerprints, five standard deviations beyond it.
-SIMILAR = {"similarity": 0.8, "words": 5, "lanes": 4, "radius": radius_for(0.8, 4, 5), "trees": drawn(4, 80, 16)}
+SIMILAR = {"similarity": 0.8, "words": 5, "lanes": 4, "radius": radius_for(0.8, 4, 5)}
 
 
 def one_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """df with one row of each component of similar texts: that of the smallest key. Rows without a key stay; of repeated rows of that key one stays."""
     found = similar(df, key=key, text=text, **(how or SIMILAR))
-    kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
+    id_, n, k = fresh(df.columns, "kept", "n", "k")
+    kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(id_)).agg(F.count("*").alias(n))
     kept = written(kept, "kept")
-    out = df.join(kept.hint("merge"), F.col(key) == F.col("_kept"))  # both sides grow with the input: never broadcast
-    if not kept.filter("_n > 1").isEmpty():
-        again = out.filter("_n > 1").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(text)))
-        out = out.filter("_n = 1").select(*df.columns).union(again.filter("_k = 1").select(*df.columns))
+    out = df.join(kept.hint("merge"), F.col(key) == F.col(id_))  # both sides grow with the input: never broadcast
+    if not kept.filter(F.col(n) > 1).isEmpty():
+        again = out.filter(F.col(n) > 1).withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(text)))
+        out = out.filter(F.col(n) == 1).select(*df.columns).union(again.filter(F.col(k) == 1).select(*df.columns))
     return out.select(*df.columns).union(df.filter(F.col(key).isNull()))

@@ -78,10 +78,42 @@ def test_gray_order_is_that_of_the_whole_code():
 
 def test_every_close_pair_shares_an_upper_node():
     r = random.Random(7)
-    for radius, blocks in ((4, 6), (3, 6), (4, 7)):
+    for radius, count in ((4, 10), (4, 10_000), (4, 10**6), (3, 10**7), (4, 10**9), (4, 10**12)):
+        made = S.masks_for(count, radius)
+        assert all(m.bit_count() == made[0].bit_count() for m in made) and count / 2 ** made[0].bit_count() <= max(S.NODE[0], count / 2**32)
         for _ in range(500):
             d = sum(1 << b for b in r.sample(range(64), radius))
-            assert any(d & m == 0 for m in S.masks(radius, blocks))
+            assert any(d & m == 0 for m in made)
+
+
+def test_upper_nodes_are_searched_in_gray_order(spark, monkeypatch):
+    """The production query hands groups of some hundred fingerprints to the tree, and the tree prunes pairs of groups."""
+    r = random.Random(13)
+    codes = _codes(r, 6000)
+    sizes, pruned = [], [0, 0]
+
+    class Counted(S.Tree):
+        def apart(self, level, i, j):
+            out = super().apart(level, i, j)
+            pruned[0] += int((out > 4).sum())
+            pruned[1] += len(out)
+            return out
+
+    monkeypatch.setattr(S, "Tree", Counted)
+    signed = codes.view(np.int64)
+    for m in S.masks_for(len(codes), 4):
+        upper = codes & np.uint64(m)
+        for u in np.unique(upper):
+            own = codes[upper == u]
+            sizes.append(len(own))
+            S.join_tree(own[S.gray_order(own[:, None])][:, None], 4)
+    assert np.mean(sizes) > 100 and pruned[0] > 0.4 * pruned[1]
+    rows = spark.createDataFrame([(i, int(c)) for i, c in enumerate(signed)], "doc_id long, f0 long")
+    label = np.arange(len(codes))
+    for i in range(len(codes)):
+        near = np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 4)
+        S.merge(label, np.full(len(near), i), near)
+    assert {x.f0: x.component_id for x in S.linked(rows).collect()} == dict(zip(signed.tolist(), label.tolist(), strict=True))
 
 
 def test_rows(spark, monkeypatch):
@@ -190,3 +222,28 @@ def test_sets_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(S, "SETS", most)
         got = {x.doc_id: x.component_id for x in S.similar(df, **S.SIMILAR).collect()}
         assert [got[i] for i in range(n - 1)] == label[:-1]
+
+
+def test_recall_at_the_similarity(spark):
+    """Pairs of a Jaccard similarity of exactly 0.8: nine in ten at least are found."""
+    r = random.Random(14)
+    word = lambda: "w%d" % r.randrange(10**7)
+    rows, pairs = {}, 160
+    for k in range(pairs):
+        n = r.choice([90, 180, 360, 720])  # shingles of a text; 8 n / 9 shared of 10 n / 9 are 0.8
+        w = [word() for _ in range(n + 4)]
+        new = n // 9 - 4 if k % 2 else n // 9  # a passage inside, which takes four more shingles with it, or at the end
+        at = r.randrange(4, n - new) if k % 2 else n + 4 - new
+        e = [*w[:at], *(word() for _ in range(new)), *w[at + new :]]
+        assert _similarity(w, e) == 0.8
+        rows[2 * k], rows[2 * k + 1] = " ".join(w), " ".join(e)
+    kept = {x.doc_id for x in S.one_each(spark.createDataFrame(sorted(rows.items()), "doc_id long, text string")).collect()}
+    assert set(range(0, 2 * pairs, 2)) <= kept
+    assert len(kept) - pairs <= 0.1 * pairs
+    meets = lambda count: 1 - (1 - (1 - S.differing(0.8)) ** S.factored_for(count, 4)) ** len(S.drawn_for(count, 4, 0.8))
+    assert all(meets(c) >= 0.998 for c in (10, 10**4, 10**6, 10**9))
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "a b", 1, 2, 3, 4), (2, "a b", 1, 2, 3, 5), (3, "c", 1, 2, 3, 4)], "doc_id long, text string, _n int, _kept int, __kept int, _k int")
+    assert sorted(tuple(x) for x in S.one_each(df).collect()) == [(1, "a b", 1, 2, 3, 4), (3, "c", 1, 2, 3, 4)]
