@@ -7,17 +7,20 @@ stored. A gear hash rolls over its bytes::
 
 and a chunk ends where the hash's top bits are zero, at LEAST bytes or more and at MOST at the
 latest. Cuts depend on content alone, so an insertion moves only the cuts around it. Chunks are
-named by their SHA-256. ``put`` deduplicates them by name: within a task by a set, against an
-existing store by a Spark anti-join, and across tasks behind an exchange by name. A medium is
-the ordered list of its chunks' names; ``get`` joins lists with the store, puts the chunks in
-order again and verifies name, length and order by the medium's own SHA-256.
-
-Chunks are stored compressed with a dictionary that is trained on a bounded sample of payloads
+named by the first half of their SHA-256.
+
+``put`` writes each medium's ordered list of chunks, and Spark deduplicates their names: exact
+copies of a medium are one row, each name has one owner (the least medium and place that holds it, by
+``groupBy``), and names that an existing store holds are left out by an anti-join. Only then do
+bytes move, once: media to their owners' plan. What a medium owns is stored as a pack, one
+compressed frame of its chunks in order, so a stream's chunks stay together. ``get`` joins lists with
+the store: a medium that owns all of its chunks is read where its pack lies; for the others the chunks
+that they ask for (a pack knows which it lends) are joined by name, put in order, one medium at
+a time. Both ways every medium is verified by its own SHA-256.
+
+Frames are compressed with a dictionary that is trained on a bounded sample of payloads
 (DICTIONARY_ROWS); that changes the size of the store, never a result.
 
-A medium of one chunk is that chunk, so it is read back where it lies. Only chunks of longer
-media (``part``) are joined with lists and gathered by medium, one medium at a time.
-
 Defined results: a null text is an empty one: no bytes, one block of padding. Equal texts have
 equal values. Rows of any length are stored whole. Repeated rows get repeated results. A chunk
 that is missing or differs raises an error. Only the named columns are used, so names can't clash.
@@ -37,7 +40,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, partitions, strings, written
 
 BLOCK, PAD, COLUMNS = 576, b"\xff", 24
-LEAST, BITS, MOST = 16 << 10, 16, 256 << 10
+#: Chunks have 256 bytes at least, some 1.3 kB on average and 8 KiB at most.
+LEAST, BITS, MOST = 256, 10, 8 << 10
 DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 400, 64 << 10, 7
 
 #: The gear table: 256 numbers of a fixed generator.
@@ -72,8 +76,6 @@ def gear(data: bytes) -> np.ndarray:
 
 def chunks(data: bytes, least: int = LEAST, bits: int = BITS, most: int = MOST) -> list[bytes]:
     """data in content-defined chunks; least is 64 or more."""
-    if len(data) <= least:
-        return [data]
     ends = np.flatnonzero(gear(data) >> np.uint64(64 - bits) == 0) + 1
     out, a = [], 0
     while a < len(data):
@@ -111,70 +113,91 @@ def _codec(dictionary: bytes):
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=d), zstandard.ZstdDecompressor(dict_data=d)
 
 
-_LISTS = "n_bytes long, medium binary, chunks array<binary>"
+def _sha(b: bytes) -> bytes:
+    return hashlib.sha256(b).digest()
+
+
+_PACK = "id binary, names array<binary>, sizes array<int>, whole boolean, lent array<int>, data binary"
 
 
-def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFrame | None = None, how: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame, bytes]:
+def _ids(medium) -> F.Column:
+    """A medium's name in joins: the first half of its SHA-256."""
+    return F.substring(medium, 1, 16).alias("id")
+
+
+def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFrame | None = None, dictionary: bytes | None = None, how: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame, bytes]:
     """(lists, store, dictionary) of df's media.
 
-    lists: key, n_bytes, medium (SHA-256) and chunks (their names, in order; empty where the
-    medium is its only chunk). store: name, part, data; with an existing store only chunks
-    that it doesn't hold are added.
+    lists: key, n_bytes, medium (SHA-256), chunks (their names, in order) and sizes. store: packs of
+    a medium's own chunks: id, names, sizes, whole (all of the medium's chunks), lent (places of
+    chunks that media which aren't whole ask for) and data. With an existing store, and its
+    dictionary, only chunks that it doesn't hold are added.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    dictionary = _dictionary(df, key, text)
+    if (store is None) != (dictionary is None):
+        raise ValueError("an existing store comes with its dictionary")
+    dictionary = _dictionary(df, key, text) if dictionary is None else dictionary
     shipped = spark.sparkContext.broadcast(dictionary)  # DICTIONARY_BYTES at most
     how = how or (LEAST, BITS, MOST)
     rows = df.select(F.col(key), F.col(text))
-    sha = lambda b: hashlib.sha256(b).digest()
 
     def listed(it):
         for b in it:
             if b.num_rows:
-                n, names, lists = [], [], []
+                n, names, lists, sizes = [], [], [], []
                 for t in strings(b.column(1)):
                     data = t.encode("utf-8", "surrogatepass")
                     m = medium(payload(data))
                     c = chunks(m, *how)
                     n.append(len(data))
-                    names.append(sha(m))
-                    lists.append([sha(x) for x in c] if len(c) > 1 else [])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=[key, "n_bytes", "medium", "chunks"])
+                    names.append(_sha(m))
+                    lists.append([_sha(x)[:16] for x in c])
+                    sizes.append([len(x) for x in c])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(names, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(sizes, pa.list_(pa.int32()))], names=[key, "n_bytes", "medium", "chunks", "sizes"])
 
-    def stored(it):
+    def bodies(it):
         press, _ = _codec(shipped.value)
-        seen: set[bytes] = set()
         for b in it:
-            names, part, data = [], [], []
-            for t in strings(b.column(1)):
-                c = chunks(medium(payload(t.encode("utf-8", "surrogatepass"))), *how)
-                for x in c:
-                    name = sha(x)
-                    if (mark := name + bytes([len(c) > 1])) not in seen:
-                        seen.add(mark)
-                        names.append(name)
-                        part.append(len(c) > 1)
-                        data.append(press.compress(x))
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(part), pa.array(data, pa.binary())], names=["name", "part", "data"])
+            if b.num_rows:
+                media = [medium(payload(t.encode("utf-8", "surrogatepass"))) for t in strings(b.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array([_sha(m)[:16] for m in media], pa.binary()), pa.array([press.compress(m) for m in media], pa.binary())], names=["id", "body"])
 
-    def once(it):
-        seen: set[bytes] = set()
+    def packed(it):
+        press, unpress = _codec(shipped.value)
         for b in it:
-            names, part = b.column(0).to_pylist(), b.column(1).to_pylist()
-            marks = [n + bytes([p]) for n, p in zip(names, part, strict=True)]
-            keep = [m not in seen and not seen.add(m) for m in marks]
-            if any(keep):
-                yield b.filter(pa.array(keep))
-
-    lists = rows.mapInArrow(listed, f"`{key}` {df.schema[key].dataType.simpleString()}, {_LISTS}")
-    new = rows.mapInArrow(stored, "name binary, part boolean, data binary")
+            if b.num_rows:
+                ids, names, sizes, own, lent, whole, body = (c.to_pylist() for c in b.columns)
+                packs = []
+                for i, c, z, o, w, x in zip(ids, names, sizes, own, whole, body, strict=True):
+                    if not w:
+                        m, ends = unpress.decompress(x), np.cumsum(z).tolist()
+                        c, x = [c[k] for k in o], press.compress(b"".join([m[ends[k] - z[k] : ends[k]] for k in o]))
+                        z = [z[k] for k in o]
+                    packs.append((i, c, z, w, x))
+                at = [[o.index(k) for k in x] if x and not w else x or [] for x, o, w in zip(lent, own, whole, strict=True)]
+                cols = list(zip(*packs, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.binary())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.bool_()), pa.array(at, pa.list_(pa.int32())), pa.array(cols[4], pa.binary())], names=["id", "names", "sizes", "whole", "lent", "data"])
+
+    lists = rows.mapInArrow(listed, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, medium binary, chunks array<binary>, sizes array<int>")
+    lists = written(lists, "lists")
+    media = lists.groupBy(_ids("medium")).agg(F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
+    refs = media.select("id", F.posexplode("chunks").alias("at", "name"))
     if store is not None:
-        new = new.join(store.select("name", "part"), ["name", "part"], "left_anti")
-    new = new.repartition(partitions(spark), "name").mapInArrow(once, "name binary, part boolean, data binary")
-    new = written(new, "chunks", compression="none")
-    return lists, new if store is None else store.unionByName(new), dictionary
+        refs = refs.join(store.select(F.explode("names").alias("name")), "name", "left_anti")
+    owner = refs.groupBy("name").agg(F.min(F.struct("id", "at")).alias("o")).select("name", "o.id", "o.at")
+    owner = written(owner, "owner")
+    own = owner.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("own"))
+    plan = media.join(own, "id", "left").withColumn("whole", F.coalesce(F.size("own") == F.size("chunks"), F.lit(False)))
+    asked = plan.filter("not whole").select(F.explode("chunks").alias("name")).distinct()
+    lent = owner.join(asked, "name").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("lent"))
+    plan = plan.filter("own is not null").join(lent, "id", "left")
+    found = rows.select(text).mapInArrow(bodies, "id binary, body binary").groupBy("id").agg(F.first("body").alias("body"))
+    packs = plan.hint("merge").join(found, "id").select("id", "chunks", "sizes", "own", "lent", "whole", "body").mapInArrow(packed, _PACK)
+    packs = written(packs, "packs", compression="none")
+    if store is not None:  # new media may ask for any of its chunks
+        packs = store.withColumn("lent", F.expr("sequence(0, size(names) - 1)")).unionByName(packs)
+    return lists, packs, dictionary
 
 
 def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
@@ -190,7 +213,7 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(c, t) for c, (*_, t) in zip(cols, fields, strict=True))], names=["medium", *(n for n, *_ in fields)])
 
     def verified(m: bytes, name: bytes) -> bytes:
-        if hashlib.sha256(m).digest() != name:
+        if _sha(m)[: len(name)] != name:
             raise ValueError(f"the stored bytes of {name.hex()} differ or are missing")
         return m
 
@@ -198,8 +221,20 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         _, unpress = _codec(shipped.value)
         for b in it:
             if b.num_rows:
-                names = b.column(0).to_pylist()
-                yield made(names, [verified(unpress.decompress(d), n) for n, d in zip(names, b.column(1).to_pylist(), strict=True)])
+                media = [verified(unpress.decompress(d), n) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                yield made([_sha(m) for m in media], media)
+
+    def lending(it):
+        press, unpress = _codec(shipped.value)
+        for b in it:
+            names, data = [], []
+            for own, sizes, lent, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                m, ends = unpress.decompress(d), np.cumsum(sizes).tolist()
+                for k in lent:
+                    names.append(own[k])
+                    data.append(press.compress(m[ends[k] - sizes[k] : ends[k]]))
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], names=["name", "data"])
 
     def joined(it):
         _, unpress = _codec(shipped.value)
@@ -216,12 +251,19 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         if now is not None:
             yield made([now], [verified(b"".join(parts), now)])
 
-    single = store.filter("not part").select("name", "data").mapInArrow(alone, schema)
-    long = lists.filter("size(chunks) > 0").select("medium", "chunks").groupBy("medium").agg(F.first("chunks").alias("chunks"))
-    refs = long.select("medium", F.posexplode("chunks").alias("at", "name"))
-    parts = refs.join(store.filter("part").select("name", "data"), "name", "left")
+    whole = store.filter("whole")
+    alike = whole.select("id", "data").mapInArrow(alone, schema)
+    others = lists.groupBy("medium").agg(F.first("chunks").alias("chunks")).join(whole.select(F.col("id").alias("_id")), F.substring("medium", 1, 16) == F.col("_id"), "left_anti")
+    refs = others.select("medium", F.posexplode("chunks").alias("at", "name"))
+    lent = store.filter("size(lent) > 0").select("names", "sizes", "lent", "data").mapInArrow(lending, "name binary, data binary")
+    # a chunk that more than one in 4 x partitions of all references ask for is broadcast: 4 x partitions of MOST bytes at most
+    share = 4 * partitions(spark)
+    hot = refs.groupBy("name").count().filter(F.col("count") * share > refs.count()).select("name")
+    refs = refs.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "name", "left")
+    common = F.broadcast(lent.join(F.broadcast(hot), "name", "left_semi"))
+    parts = refs.filter("hot").join(common, "name", "left").union(refs.filter("hot is null").join(lent.hint("merge"), "name", "left"))
     parts = parts.select("medium", "at", "data").repartition(partitions(spark), "medium").sortWithinPartitions("medium", "at")
-    return single.union(parts.select("medium", "data").mapInArrow(joined, schema))
+    return alike.union(parts.select("medium", "data").mapInArrow(joined, schema))
 
 
 def _described(m: bytes) -> tuple:
@@ -231,7 +273,6 @@ def _described(m: bytes) -> tuple:
 
 def query(docs: DataFrame) -> DataFrame:
     lists, store, dictionary = put(docs)
-    lists = written(lists, "lists")
     fields = [("payload_bytes", "long", pa.int64()), ("payload", "binary", pa.binary()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("feature", "string", pa.string())]
     found = get(lists, store, dictionary, (_described, fields))
     out = lists.select("doc_id", "n_bytes", "medium").join(found, "medium")

@@ -17,6 +17,7 @@ def test_gear_and_cuts():
     for i, b in enumerate(data):
         h = ((h << 1) + int(M.GEAR[b])) % 2**64
         assert int(got[i]) == h
+    assert M.chunks(b"", *HOW) == [] and M.chunks(b"abc", *HOW) == [b"abc"]
     parts = M.chunks(data, *HOW)
     assert b"".join(parts) == data and all(64 <= len(p) <= 400 for p in parts[:-1]) and len(parts) > 10
     other = M.chunks(data[:700] + b"inserted" + data[700:], *HOW)
@@ -40,13 +41,28 @@ def test_round_trip(spark):
     got = {bytes(x.medium): bytes(x.data) for x in M.get(lists, store, d).collect()}
     media = {M.medium(M.payload((t or "").encode())) for _, t, _ in rows}
     assert set(got.values()) == media and all(hashlib.sha256(v).digest() == k for k, v in got.items())
-    names = [(bytes(x.name), x.part) for x in store.collect()]
-    assert len(names) == len(set(names))
-    # a second put adds nothing that is there
-    _, again, _ = M.put(df, how=HOW, store=store)
-    assert again.count() == len(names)
+    names = [bytes(n) for x in store.collect() for n in x.names]
+    assert len(names) == len(set(names)) and set(names) == {hashlib.sha256(c).digest()[:16] for m in media for c in M.chunks(m, *HOW)}
+    # a second put adds nothing that is there, and its lists are read from the store
+    more = spark.createDataFrame([(7, texts[2] + texts[3], 1), (8, texts[4], 1)], "doc_id long, text string, medium int")
+    again, both, _ = M.put(df.union(more), how=HOW, store=store, dictionary=d)
+    after = [bytes(n) for x in both.collect() for n in x.names]
+    assert len(after) == len(set(after)) and set(names) < set(after) and len(after) < len(names) + 20
+    media.add(M.medium(M.payload((texts[2] + texts[3]).encode())))
+    assert {bytes(x.data) for x in M.get(again, both, d).collect()} == media
     with pytest.raises(Exception, match="missing|differ"):
-        M.get(lists, store.filter("not (part and hex(name) > '8')"), d).collect()
+        M.get(lists, store.filter("hex(id) > '4'"), d).collect()
+
+
+def test_most_media_have_many_chunks(spark):
+    """On the documents of the test tables the chunker cuts, and near copies and shared passages share chunks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lists, store, _ = M.put(docs)
+    row = lists.selectExpr("avg(size(chunks))", "avg(cast(size(chunks) > 1 as int))", "sum(size(chunks))").first()
+    names = store.selectExpr("sum(size(names))").first()[0]
+    distinct = lists.selectExpr("explode(chunks) n").distinct().count()
+    assert row[0] > 1.5 and row[1] > 0.4 and names == distinct < row[2]
+    assert store.filter("not whole").count() > 0
 
 
 def test_rows(spark):
