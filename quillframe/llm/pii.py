@@ -1,16 +1,21 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field that adds spans.
 
-The field labels whole segments. A text's score of a segmentation is the sum over segments of
-weights of features of the whole span: its digits, separators and grouping, checksum, part
-ranges, at-signs and domain, the words before it and the symbols on both sides. The best
-segmentation is found by dynamic programming over token boundaries, entities bounded to
-LONGEST tokens, which chooses boundaries and types jointly; segments of no type are single
-tokens. Every feature of an entity needs a digit or an at-sign inside it, so tokens away from
-these can only be of no type, and the program runs over the windows around them alone: that is
-the whole text's optimum.
-
-Weights are trained by the averaged structured perceptron on sentences made by rule from a
-seed (TRAINING of them), so any run on any machine has the same model.
+The field gives a probability to every segmentation of a text's tokens into entities and single
+tokens of no type. Its exponent sums, over segments, weights of features of the whole span (its
+digits, separators and grouping, checksum, part ranges, at-signs and domain, the symbols on both
+sides, the nearest cue word in the CUE_TOKENS before) and a weight of the previous segment's type
+and this one's. Candidates for entities are spans of up to LONGEST tokens within a line that no letter or digit
+touches: with an at-sign, without white space, between two letters or digits (email); or of
+digits, spaces and ``().+-`` alone, with four digits or more (the other kinds).
+
+Weights maximise the likelihood of TRAINING sentences made by rule from a seed, less an L2 term:
+gradients are observed less expected features, and the expectations come from forward and
+backward sums over all segmentations. Any run on any machine has the same model.
+
+``decode`` finds the best segmentation by dynamic programming over (token border, previous
+type), which chooses boundaries and types jointly. Away from candidates all tokens are of no type,
+so the program runs over clusters of candidates that lie on each other or side by side; between
+clusters lies a token of no type, so the clusters' best paths are the whole text's.
 
 Base spans, leftmost and not overlapping per kind, always stay; the field's spans are added
 where they overlap no base span.
@@ -25,8 +30,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from bisect import bisect
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +41,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, strings
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST, TRAINING = 16, 450
+#: Tokens of an entity at most, tokens before it that are searched for a cue, and made sentences to train on.
+LONGEST, CUE_TOKENS, TRAINING = 16, 8, 450
 
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -90,29 +98,117 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
 CUES = {"mail": 0, "email": 0, "contact": 0, "ip": 1, "host": 1, "address": 1, "card": 2, "visa": 2, "credit": 2, "phone": 3, "tel": 3, "call": 3, "mobile": 3, "fax": 3}
 
 
-def _windows(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs: whole words with them, up to two words before, and words with them that follow closely."""
+_NUMERIC = frozenset("0123456789 ().+-")
+NONE = len(KINDS)
+
+
+def _kind_of(c: str) -> str:
+    """A symbol's class; tokens are runs of letters, digits or white space, or single others."""
+    if "0" <= c <= "9":
+        return "digit"
+    if c.isspace():
+        return "space"
+    return "letter" if c.isalnum() and not c.isdecimal() else ""
+
+
+def _before(text: str, at: int) -> int:
+    """The begin of the token that ends at a border."""
+    kind, a = _kind_of(text[at - 1]), at - 1
+    while kind and a and _kind_of(text[a - 1]) == kind:
+        a -= 1
+    return a
+
+
+def _cue(text: str, at: int) -> int | None:
+    """The kind that the nearest cue word before a border announces."""
+    for _ in range(CUE_TOKENS):
+        if not at:
+            return None
+        a = _before(text, at)
+        if (found := CUES.get(text[a:at].lower())) is not None:
+            return found
+        at = a
+    return None
+
+
+def _regions(text: str) -> list[list[int]]:
+    """Token borders of the stretches that candidates can lie in: LONGEST tokens around digits and at-signs, to the ends of the line."""
     out: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        a, b = m.span()
-        if out and a < out[-1][1]:
-            continue
-        while a > 0 and not text[a - 1].isspace() and m.start() - a < 100:
-            a -= 1
-        for _ in range(2):
-            c = a
-            while c > 0 and text[c - 1].isspace() and a - c < 3:
-                c -= 1
-            while c > 0 and not text[c - 1].isspace() and a - c < 24:
-                c -= 1
-            a = c
-        while b < len(text) and not text[b].isspace() and b - m.end() < 300:
-            b += 1
-        if out and a <= out[-1][1]:
-            out[-1][1] = b
+        if out and m.start() < out[-1][-1] and (m.end() <= out[-1][-1]):
+            begin = out[-1]
+        else:
+            floor, at, left = out[-1][-1] if out else 0, m.start(), [m.start()]
+            for _ in range(LONGEST - 1):
+                if at <= floor:
+                    break
+                at = _before(text, at)
+                if "\n" in text[at : left[-1]]:
+                    break
+                left.append(at)
+            if out and left[-1] <= floor:
+                begin = out[-1]
+                begin += [x for x in left[::-1] if x > floor]
+            else:
+                out.append(begin := left[::-1])
+        # up to LONGEST - 1 tokens behind the trigger's last one
+        at, n = begin[-1], 0
+        if at < m.end():
+            for t in _TOKEN.finditer(text, at):
+                if "\n" in t.group() or n == LONGEST - 1 and t.start() >= m.end():
+                    break
+                begin.append(t.end())
+                n += t.start() >= m.end()
         else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
+            n = sum(1 for x in begin if x > m.end())
+            for t in _TOKEN.finditer(text, at):
+                if "\n" in t.group() or n >= LONGEST - 1:
+                    break
+                begin.append(t.end())
+                n += 1
+    return out
+
+
+def _candidates(text: str) -> list[tuple[list[int], list[tuple[int, int, int]]]]:
+    """The clusters of candidates: token borders, and candidates (kind, first border's number, last one's)."""
+    out: list[tuple[list[int], list[tuple[int, int, int]]]] = []
+    for ends in _regions(text):
+        found: list[tuple[int, int, int]] = []
+        for i in range(len(ends) - 1):
+            first = text[ends[i]]
+            if ends[i] and text[ends[i] - 1].isalnum():
+                continue
+            if first.isalnum():  # an email's begin, perhaps
+                sign = False
+                for j in range(i + 1, min(len(ends) - 1, i + LONGEST) + 1):
+                    t = text[ends[j - 1]]
+                    if t.isspace():
+                        break
+                    sign |= t == "@"
+                    if sign and t.isalnum() and not text[ends[j] : ends[j] + 1].isalnum():
+                        found.append((0, i, j))
+            if first in "+(" or "0" <= first <= "9":
+                digits = 0
+                for j in range(i + 1, min(len(ends) - 1, i + LONGEST) + 1):
+                    t = text[ends[j - 1] : ends[j]]
+                    if not _NUMERIC.issuperset(t):
+                        break
+                    if "0" <= t[0] <= "9":
+                        digits += len(t)
+                        if digits >= 4 and not text[ends[j] : ends[j] + 1].isalnum():
+                            found += [(k, i, j) for k in (1, 2, 3)]
+        last, at = -1, 0
+        for kind, i, j in sorted(found, key=lambda x: x[1]):
+            if i > last:
+                out.append((ends, []))
+                at = i
+            last = max(last, j)
+            out[-1][1].append((kind, i, j))
+    clusters = []
+    for ends, found in out:
+        at, last = min(i for _, i, _ in found), max(j for *_, j in found)
+        clusters.append((ends[at : last + 1], [(k, i - at, j - at) for k, i, j in found]))
+    return clusters
 
 
 def _span_features(kind: int, s: str, before: str, after: str, cue: int | None) -> list[str]:
@@ -145,75 +241,91 @@ def _span_features(kind: int, s: str, before: str, after: str, cue: int | None)
     return f
 
 
-def _possible(kind: int, s: str, before: str, after: str) -> bool:
-    """Features of weight minus infinity: a span inside a word, an address without its sign, a card without its checksum."""
-    if before.isalnum() or after.isalnum() or ("@" in s) != (kind == 0):
-        return False
-    return kind != 2 or (13 <= len(d := _digits(s)) <= 19 and luhn(d))
-
-
-def _tokens(text: str) -> list[int]:
-    return [0, *(m.end() for m in _TOKEN.finditer(text))]
-
-
-def decode(text: str, weights: dict[str, float]) -> list[tuple[int, int, int]]:
-    """The best segmentation's entities (kind, start, end) of a window."""
-    ends = _tokens(text)
-    n = len(ends) - 1
-    best: list[float] = [0.0] + [-1e18] * n
-    back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-    cue, cues = None, [None] * (n + 1)
-    for i in range(n):
-        cues[i] = cue
-        word = text[ends[i] : ends[i + 1]].lower()
-        if word in CUES:
-            cue = CUES[word]
-    for i in range(n):
-        here = best[i]
-        if here > best[i + 1]:
-            best[i + 1], back[i + 1] = here, (i, -1)
-        first = text[ends[i]]
-        if first.isspace():
-            continue
-        live = False
-        for j in range(i + 1, min(n, i + LONGEST) + 1):
-            t = text[ends[j - 1] : ends[j]]
-            live |= t[0] == "@" or "0" <= t[0] <= "9"
-            if not live or t[0].isspace():
-                continue
-            s = text[ends[i] : ends[j]]
-            if len(s) > 120 or "\n" in s:
-                break
-            before, after = text[ends[i] - 1] if ends[i] else "", text[ends[j]] if ends[j] < len(text) else ""
-            for kind in range(4):
-                if not _possible(kind, s, before, after):
-                    continue
-                score = here
-                for f in _span_features(kind, s, before, after, cues[i]):
-                    score += weights.get(f, 0.0)
-                if score > best[j]:
-                    best[j], back[j] = score, (i, kind)
-    out, j = [], n
-    while j:
-        i, kind = back[j]
-        if kind >= 0:
-            out.append((kind, ends[i], ends[j]))
-        j = i
-    return out[::-1]
-
-
-def _features(text: str, spans) -> dict[str, float]:
-    ends = _tokens(text)
-    total: dict[str, float] = defaultdict(float)
-    for kind, a, b in spans:
-        cue = None
-        for i in range(len(ends) - 1):
-            if ends[i] >= a:
-                break
-            cue = CUES.get(text[ends[i] : ends[i + 1]].lower(), cue)
-        for f in _span_features(kind, text[a:b], text[a - 1] if a else "", text[b] if b < len(text) else "", cue):
-            total[f] += 1
-    return total
+def _featured(text: str, ends: list[int], found: list[tuple[int, int, int]]) -> list[list[str]]:
+    """Each candidate's features."""
+    cues: dict[int, int | None] = {}
+    out = []
+    for kind, i, j in found:
+        a, b = ends[i], ends[j]
+        if i not in cues:
+            cues[i] = _cue(text, a)
+        out.append(_span_features(kind, text[a:b], text[a - 1] if a else "", text[b] if b < len(text) else "", cues[i]))
+    return out
+
+
+def _turn(before: int, after: int) -> str:
+    """The feature of two neighbouring segments' types; two of no type have none."""
+    return f"turn{before}{after}"
+
+
+def decode(text: str, w: dict[str, float]) -> list[tuple[int, int, int]]:
+    """The best segmentation's entities (kind, start, end) of a whole text."""
+    turns = [[w.get(_turn(x, y), 0.0) for y in range(NONE + 1)] for x in range(NONE + 1)]
+    out = []
+    for ends, found in _candidates(text):
+        n = len(ends) - 1
+        ending: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+        for (kind, i, j), f in zip(found, _featured(text, ends, found), strict=True):
+            ending[j].append((i, kind, sum([w.get(x, 0.0) for x in f])))
+        low = float("-inf")
+        best = [[low] * (NONE + 1) for _ in range(n + 1)]
+        back: list[list[tuple[int, int]]] = [[(0, NONE)] * (NONE + 1) for _ in range(n + 1)]
+        best[0][NONE] = 0.0
+        for j in range(1, n + 1):
+            for i, kind, score in [(j - 1, NONE, 0.0), *ending[j]]:
+                for y, here in enumerate(best[i]):
+                    if here > low and here + turns[y][kind] + score > best[j][kind]:
+                        best[j][kind], back[j][kind] = here + turns[y][kind] + score, (i, y)
+        y = max(range(NONE + 1), key=lambda y: best[n][y] + turns[y][NONE])
+        j, own = n, []
+        while j:
+            i, x = back[j][y]
+            if y != NONE:
+                own.append((y, ends[i], ends[j]))
+            j, y = i, x
+        out += own[::-1]
+    return out
+
+
+def _sum(x: np.ndarray, axis: int) -> np.ndarray:
+    """The logarithm of a sum of exponentials; some of them may be 0."""
+    top = np.maximum(x.max(axis=axis, keepdims=True), -1e300)
+    return np.log(np.exp(x - top).sum(axis=axis)) + np.squeeze(top, axis)
+
+
+def expected(n: int, found: list[tuple[int, int, int]], scores: np.ndarray, turns: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(log of the sum over all segmentations, each candidate's probability, expected turns) of a cluster of n tokens."""
+    with np.errstate(divide="ignore"):
+        ending: list[list[int]] = [[] for _ in range(n + 1)]
+        starting: list[list[int]] = [[] for _ in range(n + 1)]
+        for c, (_, i, j) in enumerate(found):
+            ending[j].append(c)
+            starting[i].append(c)
+        alpha, into = np.full((n + 1, NONE + 1), -np.inf), np.empty((n + 1, NONE + 1))
+        alpha[0, NONE] = 0.0
+        for j in range(n + 1):
+            if j:
+                alpha[j, NONE] = into[j - 1, NONE]
+                for c in ending[j]:
+                    kind, i, _ = found[c]
+                    alpha[j, kind] = np.logaddexp(alpha[j, kind], scores[c] + into[i, kind])
+            into[j] = _sum(alpha[j][:, None] + turns, 0)
+        total = into[n, NONE]
+        beta, chance = np.empty((n + 1, NONE + 1)), np.zeros(len(found))
+        beta[n] = turns[:, NONE]
+        count = np.exp(alpha[n] + turns[:, NONE] - total)[:, None] * np.eye(NONE + 1)[NONE]
+        for i in range(n - 1, -1, -1):
+            ways = np.full(NONE + 1, -np.inf)  # by the next segment's type: all that follows
+            ways[NONE] = beta[i + 1, NONE]
+            for c in starting[i]:
+                kind, _, j = found[c]
+                w = scores[c] + beta[j, kind]
+                ways[kind] = np.logaddexp(ways[kind], w)
+                chance[c] = np.exp(into[i, kind] + w - total)
+            both = turns + ways[None, :]
+            beta[i] = _sum(both, 1)
+            count += np.exp(alpha[i][:, None] + both - total)
+    return float(total), chance, count
 
 
 def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
@@ -266,25 +378,51 @@ def _sentence(r: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
     return text, spans
 
 
-def train(n: int = TRAINING, seed: int = 11, epochs: int = 4) -> dict[str, float]:
-    """Averaged structured perceptron over made sentences."""
+def _lattice(text: str, gold, index: dict[str, int]):
+    """A text's clusters for training: (n, candidates, their features' numbers, which are gold, gold's turns)."""
+    out = []
+    for ends, found in _candidates(text):
+        number = lambda f: index.setdefault(f, len(index))
+        features = [np.array([number(x) for x in f]) for f in _featured(text, ends, found)]
+        spans = [(k, ends[i], ends[j]) for k, i, j in found]
+        is_gold = np.array([x in gold for x in spans])
+        path, at = [NONE], 0
+        for (k, i, j), g in sorted(zip(found, is_gold, strict=True), key=lambda x: x[0][1]):
+            if g:
+                path += [NONE] * (i - at) + [k]
+                at = j
+        path += [NONE] * (len(ends) - 1 - at) + [NONE]
+        turns = np.zeros((NONE + 1, NONE + 1))
+        np.add.at(turns, (path[:-1], path[1:]), 1)
+        out.append((len(ends) - 1, found, features, is_gold, turns))
+    return out
+
+
+def train(n: int = TRAINING, seed: int = 11, epochs: int = 8, rate: float = 0.5, penalty: float = 0.02) -> dict[str, float]:
+    """Weights of the greatest penalised likelihood of made sentences, by adaptive gradient steps."""
     r = random.Random(seed)
-    data = [_sentence(r) for _ in range(n)]
-    w: dict[str, float] = defaultdict(float, {f"{k}:bias": -1.0 for k in KINDS})
-    total: dict[str, float] = defaultdict(float)
-    at = 1
+    index: dict[str, int] = {}
+    data = [x for text, gold in (_sentence(r) for _ in range(n)) for x in _lattice(text, set(gold), index)]
+    w, past = np.zeros(len(index)), np.full(len(index), 1e-2)
+    turns, turns_past = np.zeros((NONE + 1, NONE + 1)), np.full((NONE + 1, NONE + 1), 1e-2)
+    order = list(range(len(data)))
     for _ in range(epochs):
-        for text, gold in data:
-            found = decode(text, w)
-            if found != gold:
-                for f, v in _features(text, gold).items():
-                    w[f] += v
-                    total[f] += at * v
-                for f, v in _features(text, found).items():
-                    w[f] -= v
-                    total[f] -= at * v
-            at += 1
-    return {f: w[f] - total[f] / at for f in w}
+        r.shuffle(order)
+        for k in order:
+            size, found, features, gold, path = data[k]
+            _, chance, count = expected(size, found, np.array([w[f].sum() for f in features]), turns)
+            g = np.zeros(len(index))
+            for f, p, y in zip(features, chance, gold, strict=True):
+                g[f] += p - y
+            g += penalty / len(data) * w
+            past += g * g
+            w -= rate * g / np.sqrt(past)
+            g = count - path + penalty / len(data) * turns
+            g[NONE, NONE] = 0.0
+            turns_past += g * g
+            turns -= rate * g / np.sqrt(turns_past)
+    out = {f: float(w[k]) for f, k in index.items()}
+    return out | {_turn(x, y): float(turns[x, y]) for x in range(NONE + 1) for y in range(NONE + 1) if (x, y) != (NONE, NONE)}
 
 
 _WEIGHTS: list[dict[str, float]] = []
@@ -303,11 +441,12 @@ def all_spans(text: str, w: dict[str, float]) -> tuple[list, list]:
         return [], []
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
+    furthest = list(accumulate((b for _, b in taken), max))
     added = []
-    for a, b in _windows(text):
-        for kind, s, e in decode(text[a:b], w):
-            if all(e + a <= x or s + a >= y for x, y in taken):
-                added.append((kind, s + a, e + a))
+    for kind, a, b in decode(text, w):
+        k = bisect(taken, (a, b))  # taken spans of different kinds may overlap, so begins and ends are kept apart
+        if (k == len(taken) or taken[k][0] >= b) and (not k or furthest[k - 1] <= a):
+            added.append((kind, a, b))
     return base, sorted(base + added)
 
 
