@@ -15,7 +15,7 @@ from quillframe.llm.common import table, written
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under their language's threshold; rows of any id, also null, are judged."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id")).filter("not rejected").select(*docs.columns)
+    return toxicity.accepted(docs, model)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -89,7 +89,7 @@ def _rows(it, codes: int, blocks: int, words: int, alpha: float):
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 for k, code in enumerate(made[n]):
                     row, direction = code.decode(x, alpha)
-                    f = (direction * codes + k) * 4099 + n
+                    f = (n * words**blocks + direction) * codes + k
                     yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(node[rows[row]], pa.int64()), part.take(pa.array(row))], names=["filter", "node", "v"])
 
 

@@ -31,12 +31,19 @@ def fresh(columns: list[str], *names: str) -> list[str]:
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Arrow batches of whole texts small; a smaller setting of the session stays."""
+    """Keep Arrow batches of whole texts small: one value for all operators, which the session keeps, for results are lazy; a smaller one stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
 
 
+def sliced(it: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows at most."""
+    for b in it:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir; one of our own only where that is unset and all of the session is on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

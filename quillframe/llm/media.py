@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, partitions, strings, written
+from .common import bounded_batches, partitions, sliced, strings, written
 
 BLOCK, PAD, COLUMNS = 576, b"\xff", 24
 #: Chunks have 256 bytes at least, some 1.3 kB on average and 8 KiB at most.
@@ -203,7 +203,7 @@ def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFr
 def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
     """medium (SHA-256) and what features (bytes -> tuple) makes of each distinct medium's verified bytes; by default the bytes."""
     spark = store.sparkSession
-    bounded_batches(spark, 200)
+    bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(dictionary)
     f, fields = features or ((lambda m: (m,)), [("data", "binary", pa.binary())])
     schema = "medium binary, " + ", ".join(f"{n} {t}" for n, t, _ in fields)
@@ -219,7 +219,7 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
 
     def alone(it):
         _, unpress = _codec(shipped.value)
-        for b in it:
+        for b in sliced(it, 200):
             if b.num_rows:
                 media = [verified(unpress.decompress(d), n) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 yield made([_sha(m) for m in media], media)

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 BUCKET = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,17 +113,18 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     """docs with each row repeated as often as the mix takes it."""
     found = written(copies(sizes(docs, key, text, source), **how).select("id", "sk", "size", "copies"), "copies").hint("merge")  # grows with docs: never broadcast
     twice = not found.groupBy("id").count().filter("count > 1").isEmpty()
-    rows = docs.withColumn("_id", F.col(key))
+    id_, size_, sk_, k_, f_id, f_size, f_sk, f_k, n_, each_ = fresh(docs.columns, "id", "size", "sk", "k", "f_id", "f_size", "f_sk", "f_k", "copies", "each")
+    rows = docs.withColumn(id_, F.col(key))
     if not twice:
-        out = rows.join(found.select(F.col("id").alias("_found"), F.col("copies").alias("_copies")), F.col("_id").eqNullSafe(F.col("_found")))
+        out = rows.join(found.select(F.col("id").alias(f_id), F.col("copies").alias(n_)), F.col(id_).eqNullSafe(F.col(f_id)))
     else:  # rows that share an id are told apart by their order within it
         n = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
         sk = F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source).cast("string")))
-        rows = rows.withColumns({"_size": n, "_sk": sk})
-        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_id", "_sk", "_size").orderBy(text)))
-        own = found.withColumn("_n", F.row_number().over(Window.partitionBy("id", "sk", "size").orderBy("copies"))).select(F.col("id").alias("_found"), F.col("sk").alias("_s"), F.col("size").alias("_z"), "_n", F.col("copies").alias("_copies"))
-        out = rows.join(own, F.col("_id").eqNullSafe(F.col("_found")) & (F.col("_sk") == F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_k") == F.col("_n")))
-    return out.filter("_copies > 0").withColumn("_each", F.explode(F.expr("sequence(1, _copies)"))).select(*docs.columns)
+        rows = rows.withColumns({size_: n, sk_: sk})
+        rows = rows.withColumn(k_, F.row_number().over(Window.partitionBy(id_, sk_, size_).orderBy(text)))
+        own = found.withColumn(f_k, F.row_number().over(Window.partitionBy("id", "sk", "size").orderBy("copies"))).select(F.col("id").alias(f_id), F.col("sk").alias(f_sk), F.col("size").alias(f_size), f_k, F.col("copies").alias(n_))
+        out = rows.join(own, F.col(id_).eqNullSafe(F.col(f_id)) & (F.col(sk_) == F.col(f_sk)) & (F.col(size_) == F.col(f_size)) & (F.col(k_) == F.col(f_k)))
+    return out.filter(F.col(n_) > 0).withColumn(each_, F.explode(F.sequence(F.lit(1), F.col(n_)))).select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

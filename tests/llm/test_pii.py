@@ -67,9 +67,9 @@ def plain_best(t, w):
 
 
 def _texts(r):
-    for _ in range(60):
+    for _ in range(30):
         yield " ".join(P._sentence(r)[0] for _ in range(r.randint(1, 3)))
-    for _ in range(150):
+    for _ in range(80):
         yield "".join(r.choice(["a", "@", "b.c", "12", "345", "6789", " ", ".", "-", "(", "+", ")", "\n", "  ", "é", "mail ", "tel: ", "٣", "_"]) for _ in range(r.randint(0, 45)))
     yield "x" * 5000 + "@" + "y" * 5000 + ".com 555-123-4567"
     yield "-".join(["12"] * 200) + " mail " + "a." * 50 + "b@c.d"

@@ -64,3 +64,52 @@ def test_stages(spark, tmp_path):
     for r in seen["sentencepiece"]:
         assert r.round_trip and list(r.token_ids) == m.encode(by[r.doc_id] or "")
     assert P.run(spark, str(tmp_path)).count() == len(seen["sentencepiece"])
+
+
+AWKWARD = "doc_id long, text string, lang string, source string, n_chars long, score double, rejected boolean, threshold int, _copies int, _n int, _kept int, _id int, _k int, id int, size int, sk int, spans string, node long, upper long, component_id long"
+
+
+def _awkward(spark, folder, rows):
+    spark.createDataFrame([(*d, len(d[1] or ""), 0.5, True, 1, 9, 9, 9, 9, 9, 9, 9, 9, "s", 9, 9, 9) for d in rows], AWKWARD).write.parquet(f"{folder}/documents.parquet")
+
+
+def _through(spark, folder):
+    now, seen = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    columns = now.columns
+    for name, stage in P.STAGES:
+        stage(spark, now, str(folder)).write.parquet(f"{folder}/{name}")
+        now = spark.read.parquet(f"{folder}/{name}")
+        seen[name] = now
+        assert name == "sentencepiece" or now.columns == columns
+    return seen
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, null and very long texts, one source, and columns named like all that the stages add."""
+    r = random.Random(4)
+    text = lambda n: " ".join("w%d" % r.randrange(50_000) for _ in range(n))
+    long = text(60_000) + " bob@site.example.org " + "é" * 50_000
+    rows = [(1, long, "en", "a"), (2, long, "en", "a"), (None, text(50), None, "a"), (None, text(50), None, None), (7, text(80), "en", "a"), (7, text(70), "en", "a"), (8, None, None, "a"), (9, "", "en", "a"), (10, "one", "de", "a"), (10, "one", "de", "a")]
+    rows += [(20 + i, text(60), "en", "a") for i in range(40)]
+    _awkward(spark, tmp_path, rows)
+    spark.createDataFrame([(20 + i, i % 2) for i in range(30)] + [(None, 1), (3, None)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = _through(spark, tmp_path)
+    kept = [x.doc_id for x in seen["simhash_dedup"].collect()]
+    before = [x.doc_id for x in seen["toxicity"].collect()]
+    assert kept.count(None) == before.count(None) and kept.count(2) == 0 and kept.count(7) == min(1, before.count(7)) and kept.count(10) == min(1, before.count(10))
+    assert sorted(x.doc_id or 0 for x in seen["pii"].collect()) == sorted(i or 0 for i in kept)
+    assert seen["pii"].filter("text like '%bob@%'").count() == 0
+    assert all(x.n_chars == len(x.text) for x in seen["mixing"].collect() if x.text is not None)
+    assert seen["sentencepiece"].count() == seen["mixing"].count() and seen["sentencepiece"].filter("not round_trip").count() == 0
+
+
+def test_empty_tables(spark, tmp_path):
+    _awkward(spark, tmp_path, [])
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert all(x.count() == 0 for x in _through(spark, tmp_path).values())
+
+
+def test_no_labels_reject_nothing(spark, tmp_path):
+    _awkward(spark, tmp_path, [(i, f"a b c {i}", None, None) for i in range(5)])
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert _through(spark, tmp_path)["toxicity"].count() == 5
