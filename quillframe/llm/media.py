@@ -9,14 +9,14 @@ and a chunk ends where the hash's top bits are zero, at LEAST bytes or more and
 latest. Cuts depend on content alone, so an insertion moves only the cuts around it. Chunks are
 named by the first half of their SHA-256.
 
-``put`` writes each medium's ordered list of chunks, and Spark deduplicates their names: exact
-copies of a medium are one row, each name has one owner (the least medium and place that holds it, by
+``put`` lists the names of each row's chunks, and Spark deduplicates them: exact copies of a
+medium are one row, each name has one owner (the least medium and place that holds it, by
 ``groupBy``), and names that an existing store holds are left out by an anti-join. Only then do
-bytes move, once: media to their owners' plan. What a medium owns is stored as a pack, one
-compressed frame of its chunks in order, so a stream's chunks stay together. ``get`` joins lists with
-the store: a medium that owns all of its chunks is read where its pack lies; for the others the chunks
-that they ask for (a pack knows which it lends) are joined by name, put in order, one medium at
-a time. Both ways every medium is verified by its own SHA-256.
+bytes move, once: media to their owners' plan. The store has a pack for each distinct medium: the ordered list of
+its chunks' names, and one compressed frame of the chunks it owns, so a stream's chunks stay
+together. ``get`` reads a medium that owns all of its chunks where its pack lies; for the others
+the chunks that they ask for (a pack knows which it lends) are joined by name, put in order, one
+medium at a time. Both ways every medium is verified by its own SHA-256.
 
 Frames are compressed with a dictionary that is trained on a bounded sample of payloads
 (DICTIONARY_ROWS); that changes the size of the store, never a result.
@@ -117,7 +117,8 @@ def _sha(b: bytes) -> bytes:
     return hashlib.sha256(b).digest()
 
 
-_PACK = "id binary, names array<binary>, sizes array<int>, whole boolean, lent array<int>, data binary"
+_PACK = "medium binary, chunks array<binary>, own array<int>, sizes array<int>, whole boolean, lent array<int>, data binary"
+_OWNED = "transform(own, k -> chunks[k])"
 
 
 def _ids(medium) -> F.Column:
@@ -128,10 +129,10 @@ def _ids(medium) -> F.Column:
 def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFrame | None = None, dictionary: bytes | None = None, how: tuple[int, int, int] | None = None) -> tuple[DataFrame, DataFrame, bytes]:
     """(lists, store, dictionary) of df's media.
 
-    lists: key, n_bytes, medium (SHA-256), chunks (their names, in order) and sizes. store: packs of
-    a medium's own chunks: id, names, sizes, whole (all of the medium's chunks), lent (places of
-    chunks that media which aren't whole ask for) and data. With an existing store, and its
-    dictionary, only chunks that it doesn't hold are added.
+    lists: key, n_bytes, medium (SHA-256), chunks (their names, in order) and sizes. store: packs,
+    one a medium: medium, chunks, own (places of the chunks it owns), sizes (of those), whole
+    (whether it owns all), lent (which of its own, by their order, media that aren't whole ask for)
+    and data. With an existing store, and its dictionary, only media and chunks that it doesn't hold are added.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -167,41 +168,41 @@ def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFr
         press, unpress = _codec(shipped.value)
         for b in it:
             if b.num_rows:
-                ids, names, sizes, own, lent, whole, body = (c.to_pylist() for c in b.columns)
-                packs = []
-                for i, c, z, o, w, x in zip(ids, names, sizes, own, whole, body, strict=True):
+                sizes, own, whole, lent, body = (b.column(k).to_pylist() for k in range(2, 7))
+                for k, (z, o, w, x) in enumerate(zip(sizes, own, whole, body, strict=True)):
                     if not w:
                         m, ends = unpress.decompress(x), np.cumsum(z).tolist()
-                        c, x = [c[k] for k in o], press.compress(b"".join([m[ends[k] - z[k] : ends[k]] for k in o]))
-                        z = [z[k] for k in o]
-                    packs.append((i, c, z, w, x))
-                at = [[o.index(k) for k in x] if x and not w else x or [] for x, o, w in zip(lent, own, whole, strict=True)]
-                cols = list(zip(*packs, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.list_(pa.binary())), pa.array(cols[2], pa.list_(pa.int32())), pa.array(cols[3], pa.bool_()), pa.array(at, pa.list_(pa.int32())), pa.array(cols[4], pa.binary())], names=["id", "names", "sizes", "whole", "lent", "data"])
+                        body[k] = press.compress(b"".join([m[ends[i] - z[i] : ends[i]] for i in o]))
+                        sizes[k] = [z[i] for i in o]
+                        lent[k] = [o.index(i) for i in lent[k]]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), b.column(4), pa.array(lent, pa.list_(pa.int32())), pa.array(body, pa.binary())], names=["medium", "chunks", "own", "sizes", "whole", "lent", "data"])
 
     lists = rows.mapInArrow(listed, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, medium binary, chunks array<binary>, sizes array<int>")
     lists = written(lists, "lists")
-    media = lists.groupBy(_ids("medium")).agg(F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
+    media = lists.groupBy(_ids("medium")).agg(F.first("medium").alias("medium"), F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
+    if store is not None:
+        media = media.join(store.select(_ids("medium")), "id", "left_anti")
     refs = media.select("id", F.posexplode("chunks").alias("at", "name"))
     if store is not None:
-        refs = refs.join(store.select(F.explode("names").alias("name")), "name", "left_anti")
+        refs = refs.join(store.select(F.explode(F.expr(_OWNED)).alias("name")), "name", "left_anti")
     owner = refs.groupBy("name").agg(F.min(F.struct("id", "at")).alias("o")).select("name", "o.id", "o.at")
     owner = written(owner, "owner")
     own = owner.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("own"))
-    plan = media.join(own, "id", "left").withColumn("whole", F.coalesce(F.size("own") == F.size("chunks"), F.lit(False)))
+    none = F.array().cast("array<int>")
+    plan = media.join(own, "id", "left").withColumn("own", F.coalesce("own", none)).withColumn("whole", F.size("own") == F.size("chunks"))
     asked = plan.filter("not whole").select(F.explode("chunks").alias("name")).distinct()
     lent = owner.join(asked, "name").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("lent"))
-    plan = plan.filter("own is not null").join(lent, "id", "left")
+    plan = plan.join(lent, "id", "left").withColumn("lent", F.coalesce("lent", none))
     found = rows.select(text).mapInArrow(bodies, "id binary, body binary").groupBy("id").agg(F.first("body").alias("body"))
-    packs = plan.hint("merge").join(found, "id").select("id", "chunks", "sizes", "own", "lent", "whole", "body").mapInArrow(packed, _PACK)
+    packs = plan.hint("merge").join(found, "id").select("medium", "chunks", "sizes", "own", "whole", "lent", "body").mapInArrow(packed, _PACK)
     packs = written(packs, "packs", compression="none")
     if store is not None:  # new media may ask for any of its chunks
-        packs = store.withColumn("lent", F.expr("sequence(0, size(names) - 1)")).unionByName(packs)
+        packs = store.withColumn("lent", F.expr("filter(sequence(0, size(own)), k -> k < size(own))")).unionByName(packs)
     return lists, packs, dictionary
 
 
-def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
-    """medium (SHA-256) and what features (bytes -> tuple) makes of each distinct medium's verified bytes; by default the bytes."""
+def get(store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
+    """medium (SHA-256) and what features (bytes -> tuple) makes of the verified bytes of each medium of the store; by default the bytes."""
     spark = store.sparkSession
     bounded_batches(spark)
     shipped = spark.sparkContext.broadcast(dictionary)
@@ -213,7 +214,7 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), *(pa.array(c, t) for c, (*_, t) in zip(cols, fields, strict=True))], names=["medium", *(n for n, *_ in fields)])
 
     def verified(m: bytes, name: bytes) -> bytes:
-        if _sha(m)[: len(name)] != name:
+        if _sha(m) != name:
             raise ValueError(f"the stored bytes of {name.hex()} differ or are missing")
         return m
 
@@ -221,8 +222,8 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         _, unpress = _codec(shipped.value)
         for b in sliced(it, 200):
             if b.num_rows:
-                media = [verified(unpress.decompress(d), n) for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                yield made([_sha(m) for m in media], media)
+                names = b.column(0).to_pylist()
+                yield made(names, [verified(unpress.decompress(d), n) for n, d in zip(names, b.column(1).to_pylist(), strict=True)])
 
     def lending(it):
         press, unpress = _codec(shipped.value)
@@ -251,11 +252,9 @@ def get(lists: DataFrame, store: DataFrame, dictionary: bytes, features=None) ->
         if now is not None:
             yield made([now], [verified(b"".join(parts), now)])
 
-    whole = store.filter("whole")
-    alike = whole.select("id", "data").mapInArrow(alone, schema)
-    others = lists.groupBy("medium").agg(F.first("chunks").alias("chunks")).join(whole.select(F.col("id").alias("_id")), F.substring("medium", 1, 16) == F.col("_id"), "left_anti")
-    refs = others.select("medium", F.posexplode("chunks").alias("at", "name"))
-    lent = store.filter("size(lent) > 0").select("names", "sizes", "lent", "data").mapInArrow(lending, "name binary, data binary")
+    alike = store.filter("whole").select("medium", "data").mapInArrow(alone, schema)
+    refs = store.filter("not whole").select("medium", F.posexplode("chunks").alias("at", "name"))
+    lent = store.filter("size(lent) > 0").select(F.expr(_OWNED).alias("names"), "sizes", "lent", "data").mapInArrow(lending, "name binary, data binary")
     # a chunk that more than one in 4 x partitions of all references ask for is broadcast: 4 x partitions of MOST bytes at most
     share = 4 * partitions(spark)
     hot = refs.groupBy("name").count().filter(F.col("count") * share > refs.count()).select("name")
@@ -274,6 +273,6 @@ def _described(m: bytes) -> tuple:
 def query(docs: DataFrame) -> DataFrame:
     lists, store, dictionary = put(docs)
     fields = [("payload_bytes", "long", pa.int64()), ("payload", "binary", pa.binary()), ("tail_crc32", "long", pa.int64()), ("media_bytes", "long", pa.int64()), ("feature", "string", pa.string())]
-    found = get(lists, store, dictionary, (_described, fields))
+    found = get(store, dictionary, (_described, fields))
     out = lists.select("doc_id", "n_bytes", "medium").join(found, "medium")
     return out.select("doc_id", "n_bytes", "payload_bytes", F.lower(F.hex("payload")).alias("payload_sha256"), "tail_crc32", "media_bytes", F.lower(F.hex("medium")).alias("media_sha256"), "feature")

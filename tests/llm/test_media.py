@@ -38,20 +38,20 @@ def test_round_trip(spark):
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(100, None, 1), (101, "", 1), (102, texts[0], 1), (102, texts[0], 1), (None, texts[1] + "x", 1), (103, "😀" * 100_000, 2)]
     df = spark.createDataFrame(rows, "doc_id long, text string, medium int")
     lists, store, d = M.put(df, how=HOW)
-    got = {bytes(x.medium): bytes(x.data) for x in M.get(lists, store, d).collect()}
+    got = {bytes(x.medium): bytes(x.data) for x in M.get(store, d).collect()}
     media = {M.medium(M.payload((t or "").encode())) for _, t, _ in rows}
     assert set(got.values()) == media and all(hashlib.sha256(v).digest() == k for k, v in got.items())
-    names = [bytes(n) for x in store.collect() for n in x.names]
+    names = [bytes(x.chunks[k]) for x in store.collect() for k in x.own]
     assert len(names) == len(set(names)) and set(names) == {hashlib.sha256(c).digest()[:16] for m in media for c in M.chunks(m, *HOW)}
     # a second put adds nothing that is there, and its lists are read from the store
     more = spark.createDataFrame([(7, texts[2] + texts[3], 1), (8, texts[4], 1)], "doc_id long, text string, medium int")
     again, both, _ = M.put(df.union(more), how=HOW, store=store, dictionary=d)
-    after = [bytes(n) for x in both.collect() for n in x.names]
+    after = [bytes(x.chunks[k]) for x in both.collect() for k in x.own]
     assert len(after) == len(set(after)) and set(names) < set(after) and len(after) < len(names) + 20
     media.add(M.medium(M.payload((texts[2] + texts[3]).encode())))
-    assert {bytes(x.data) for x in M.get(again, both, d).collect()} == media
+    assert {bytes(x.data) for x in M.get(both, d).collect()} == media
     with pytest.raises(Exception, match="missing|differ"):
-        M.get(lists, store.filter("hex(id) > '4'"), d).collect()
+        M.get(store.filter("not whole or hex(medium) > '4'"), d).collect()
 
 
 def test_most_media_have_many_chunks(spark):
@@ -59,7 +59,7 @@ def test_most_media_have_many_chunks(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lists, store, _ = M.put(docs)
     row = lists.selectExpr("avg(size(chunks))", "avg(cast(size(chunks) > 1 as int))", "sum(size(chunks))").first()
-    names = store.selectExpr("sum(size(names))").first()[0]
+    names = store.selectExpr("sum(size(own))").first()[0]
     distinct = lists.selectExpr("explode(chunks) n").distinct().count()
     assert row[0] > 1.5 and row[1] > 0.4 and names == distinct < row[2]
     assert store.filter("not whole").count() > 0
