@@ -42,7 +42,7 @@ from .common import bounded_batches, partitions, sliced, strings, written
 BLOCK, PAD, COLUMNS = 576, b"\xff", 24
 #: Chunks have 256 bytes at least, some 1.3 kB on average and 8 KiB at most.
 LEAST, BITS, MOST = 256, 10, 8 << 10
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 400, 64 << 10, 7
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 15
 
 #: The gear table: 256 numbers of a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 2**64, 256, dtype=np.uint64)
@@ -174,7 +174,7 @@ def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFr
                         m, ends = unpress.decompress(x), np.cumsum(z).tolist()
                         body[k] = press.compress(b"".join([m[ends[i] - z[i] : ends[i]] for i in o]))
                         sizes[k] = [z[i] for i in o]
-                        lent[k] = [o.index(i) for i in lent[k]]
+                        lent[k] = lent[k][: len(o)]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32())), b.column(4), pa.array(lent, pa.list_(pa.int32())), pa.array(body, pa.binary())], names=["medium", "chunks", "own", "sizes", "whole", "lent", "data"])
 
     lists = rows.mapInArrow(listed, f"`{key}` {df.schema[key].dataType.simpleString()}, n_bytes long, medium binary, chunks array<binary>, sizes array<int>")
@@ -185,14 +185,12 @@ def put(df: DataFrame, *, key: str = "doc_id", text: str = "text", store: DataFr
     refs = media.select("id", F.posexplode("chunks").alias("at", "name"))
     if store is not None:
         refs = refs.join(store.select(F.explode(F.expr(_OWNED)).alias("name")), "name", "left_anti")
-    owner = refs.groupBy("name").agg(F.min(F.struct("id", "at")).alias("o")).select("name", "o.id", "o.at")
-    owner = written(owner, "owner")
-    own = owner.groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("own"))
-    none = F.array().cast("array<int>")
-    plan = media.join(own, "id", "left").withColumn("own", F.coalesce("own", none)).withColumn("whole", F.size("own") == F.size("chunks"))
-    asked = plan.filter("not whole").select(F.explode("chunks").alias("name")).distinct()
-    lent = owner.join(asked, "name").groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("lent"))
-    plan = plan.join(lent, "id", "left").withColumn("lent", F.coalesce("lent", none))
+    owner = refs.groupBy("name").agg(F.min(F.struct("id", "at")).alias("o"), (F.count("*") > 1).alias("shared"))
+    own = owner.groupBy("o.id").agg(F.sort_array(F.collect_list(F.struct("o.at", "shared"))).alias("held"))
+    plan = media.join(own, "id", "left").withColumn("held", F.coalesce("held", F.expr("filter(array(named_struct('at', 0, 'shared', true)), x -> false)")))
+    plan = plan.withColumn("own", F.expr("transform(held, x -> x.at)")).withColumn("whole", F.size("own") == F.size("chunks"))
+    # a name that another place holds too is asked for there, for what isn't its owner isn't whole; and a medium that isn't whole asks for its own
+    plan = plan.withColumn("lent", F.expr("if(whole, transform(filter(held, x -> x.shared), x -> x.at), sequence(0, size(own)))"))
     found = rows.select(text).mapInArrow(bodies, "id binary, body binary").groupBy("id").agg(F.first("body").alias("body"))
     packs = plan.hint("merge").join(found, "id").select("medium", "chunks", "sizes", "own", "whole", "lent", "body").mapInArrow(packed, _PACK)
     packs = written(packs, "packs", compression="none")
