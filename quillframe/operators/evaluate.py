@@ -29,7 +29,7 @@ def rank_mapping(docs: DataFrame) -> DataFrame:
     cl = clusters(docs).join(docs.select("doc_id", "lang"), "doc_id")
     syms = cl.groupBy("lang", "c").agg(F.sum("n").alias("n"))
     syms = syms.select("lang", F.col("c").alias("sym"), F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "c")).alias("clust"))
-    return cl.join(F.broadcast(syms), ["lang", "clust"]).select("doc_id", "lang", "clust", "c", "n", "sym")
+    return cl.join(syms, ["lang", "clust"]).select("doc_id", "lang", "clust", "c", "n", "sym")
 
 
 def accuracy(mapping: DataFrame, *by: str, right: Column | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def by_length(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
     p = docs.select("doc_id", "lang", "text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length")).filter(F.length("text") >= F.col("length"))
     p = p.select(F.struct("doc_id", "length").alias("doc_id"), "lang", F.expr("substring(text, 1, length)").alias("text"))
     syms = rank_mapping(docs).groupBy("lang", "clust").agg(F.first("sym").alias("sym"))
-    m = clusters(p).join(p.select("doc_id", "lang"), "doc_id").join(F.broadcast(syms), ["lang", "clust"])
+    m = clusters(p).join(p.select("doc_id", "lang"), "doc_id").join(syms, ["lang", "clust"])
     a = accuracy(m, "doc_id")
     return a.groupBy(F.col("doc_id.length").alias("length")).agg(F.count("*").alias("docs"), F.round(F.avg("acc"), 9).alias("acc"))
 

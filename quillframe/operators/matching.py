@@ -81,7 +81,7 @@ def masked(words: DataFrame, by: str, known: int) -> DataFrame:
     s = words.select(by, "n", F.explode(F.split("word", "")).alias("c")).groupBy(by, "c").agg(F.sum("n").alias("k"))
     top = s.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("k"), "c"))).filter(F.col("r") <= known)
     key = top.groupBy(by).agg(F.collect_set("c").alias("key"))  # `known` symbols
-    x = words.join(F.broadcast(key), by).withColumn("s", F.split("word", ""))
+    x = words.join(key, by).withColumn("s", F.split("word", ""))
     return x.withColumn("mask", F.transform("s", lambda c: F.when(F.array_contains("key", c), c)))
 
 
@@ -141,12 +141,14 @@ VOTE = """, lp AS (SELECT len, sig, i, c AS letter, sum(n) AS n FROM (SELECT p.l
   k AS (SELECT *, (row_number() OVER (PARTITION BY lang, c ORDER BY votes DESC, letter))::INT AS rank FROM v)
   SELECT lang, c, rank, letter, votes, round(CASE WHEN votes > 0 THEN 1 / votes ELSE 1 / 2.220446049250313e-16 END, 9) AS dist FROM k WHERE rank <= 3"""
 
+IMPLIED = """, a AS (SELECT len, sig, any_value(rs) AS rs, count(*)::BIGINT AS n_words FROM wp GROUP BY ALL), b AS (SELECT len, sig, any_value(rs) AS rs, count(*) AS m FROM xp GROUP BY ALL)
+      SELECT a.len, a.sig, n_words, coalesce(sum(m) FILTER (WHERE len(list_filter(range(1, a.len + 1), lambda i: b.rs[i] <> b.rs[list_position(a.rs, a.rs[i])])) = 0), 0)::BIGINT AS n_matches
+      FROM a LEFT JOIN b ON a.len = b.len GROUP BY ALL"""
+
 QUERIES = {
     "isomorph_join": (lambda s, d: isomorphs(_word(s, d), _lex(s, d)), BASE + ", l AS (SELECT len, sig, count(*)::BIGINT AS n_matches, sum(n)::BIGINT AS n_tokens FROM xp GROUP BY ALL) SELECT word, len, sig, n_matches, n_tokens FROM wp JOIN l USING (len, sig)"),
-    "implied_equality_join": (lambda s, d: implied(_word(s, d), _lex(s, d)), BASE + """, a AS (SELECT len, sig, any_value(rs) AS rs, count(*)::BIGINT AS n_words FROM wp GROUP BY ALL), b AS (SELECT len, sig, any_value(rs) AS rs, count(*) AS m FROM xp GROUP BY ALL)
-      SELECT a.len, a.sig, n_words, coalesce(sum(m) FILTER (WHERE len(list_filter(range(1, a.len + 1), lambda i: b.rs[i] <> b.rs[list_position(a.rs, a.rs[i])])) = 0), 0)::BIGINT AS n_matches
-      FROM a LEFT JOIN b ON a.len = b.len GROUP BY ALL"""),
-    "simul_step0": (lambda s, d: implied(_word(s, d), extended(_lex(s, d))), None),
+    "implied_equality_join": (lambda s, d: implied(_word(s, d), _lex(s, d)), BASE + IMPLIED),
+    "simul_step0": (lambda s, d: implied(_word(s, d), extended(_lex(s, d))), EXT + f", {_tok('w', 'documents')}, {_sig('w')}, {_sig('x')}" + IMPLIED),
     "lexicon_extended": (lambda s, d: extended(_lex(s, d)), EXT + " SELECT word, n FROM x"),
     "vote_scores": (lambda s, d: vote_ranking(votes(words_by(_docs(s, d), "lang"), _lex(s, d), "lang"), "lang"), f"WITH {_tok('ql', 'documents', 'lang, ')}, w AS (SELECT word, n FROM ql), {_tok('x', 'conversations')}, {_sig('w')}, {_sig('x')}" + VOTE),
     "vote_scores_ext": (lambda s, d: vote_ranking(votes(words_by(_docs(s, d), "lang"), extended(_lex(s, d)), "lang"), "lang"), EXT + f", {_tok('ql', 'documents', 'lang, ')}, w AS (SELECT word, n FROM ql), {_sig('w')}, {_sig('x')}" + VOTE),

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import table
+from .components import W
 from .components import positions as cluster_positions
-from .lexicon import LONGEST, positions, word_counts
+from .lexicon import LONGEST, POS, positions, word_counts
 
 COLUMNS = LONGEST * (LONGEST + 1) // 2
+#: Distances halfway between two roundings, which small binary fractions often are, all go up.
+NUDGE = 1e-12
 
 
 def column(len_, pos):
@@ -88,7 +91,7 @@ def rank(clusters: DataFrame, symbols: DataFrame, *, metric: str = "euc", wp: fl
                     d = (x * x) @ w.T - 2 * x @ (w * share).T + (w * share * share).sum(axis=1)
                 else:
                     d = np.stack([(np.abs(x - share[j]) * w[j]).sum(axis=1) for j in range(len(syms))], axis=1)
-                d = np.round(d, 9) + 0.0
+                d = np.round(d + NUDGE, 9) + 0.0
                 order = np.argsort(d, axis=1, kind="stable")[:, :best]
                 rows = np.arange(len(p))[:, None]
                 yield pd.DataFrame({key: np.repeat(p[key].to_numpy(), order.shape[1]), "c": np.repeat(p["c"].to_numpy(), order.shape[1]), "rank": np.tile(np.arange(1, order.shape[1] + 1), len(p)), "sym": np.array(syms, object)[order].ravel(), "dist": d[rows, order].ravel()})
@@ -100,9 +103,24 @@ def _query(**how):
     return lambda s, d: rank(cluster_positions(table(s, d, "documents")), positions(word_counts(table(s, d, "documents"))), **how)
 
 
+RANKED = f"""WITH {W}, {POS}, x0 AS (SELECT doc_id, length(word)::INT AS len, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1)::INT AS pos FROM w1 WHERE length(word) <= 15),
+  x1 AS (SELECT doc_id, c, len, pos, count(*) AS n FROM x0 GROUP BY ALL), x AS (SELECT doc_id, c, len, pos, n / sum(n) OVER (PARTITION BY doc_id, c, len) AS x FROM x1),
+  y AS (SELECT c AS sym, len, pos, n / sum(n) OVER (PARTITION BY c, len) AS y FROM pc), ms AS (SELECT len, sum(n) / (SELECT sum(n) FROM pc) AS mass FROM pc GROUP BY 1),
+  wt AS (SELECT l::INT AS len, WP * coalesce(mass, 0) + (1 - WP) * 0.125::DOUBLE AS w FROM range(1, 16) t(l) LEFT JOIN ms ON ms.len = l),
+  a AS (SELECT doc_id, c, sum(w * AX) AS a FROM x JOIN wt USING (len) GROUP BY ALL), b AS (SELECT sym, sum(w * AY) AS b FROM y JOIN wt USING (len) GROUP BY ALL),
+  z AS (SELECT doc_id, c, sym, sum(w * (AXY)) AS z FROM x JOIN y USING (len, pos) JOIN wt USING (len) GROUP BY ALL),
+  r AS (SELECT a.doc_id, a.c, b.sym, round(a + b + coalesce(z, 0) + 1e-12, 9) + 0.0 AS dist FROM a CROSS JOIN b LEFT JOIN z ON z.doc_id = a.doc_id AND z.c = a.c AND z.sym = b.sym),
+  k AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, c ORDER BY dist, sym))::INT AS rank FROM r) SELECT doc_id, c, rank, sym, dist FROM k WHERE rank <= 3"""
+
+
+def _sql(wp: float = 0.0, manhattan: bool = False) -> str:
+    parts = ("abs(x - y) - x - y", "x", "y") if manhattan else ("-2 * x * y", "x * x", "y * y")
+    return RANKED.replace("WP", f"{wp}::DOUBLE").replace("AXY", parts[0]).replace("AX", parts[1]).replace("AY", parts[2])
+
+
 QUERIES = {
-    "pos_rank_euc": (_query(), None),
-    "pos_rank_manhattan": (_query(metric="manhattan"), None),
-    "pos_rank_weighted": (_query(wp=0.85), None),
+    "pos_rank_euc": (_query(), _sql()),
+    "pos_rank_manhattan": (_query(metric="manhattan"), _sql(manhattan=True)),
+    "pos_rank_weighted": (_query(wp=0.85), _sql(0.85)),
     "pos_rank_prior": (_query(prior=5.0), None),
 }

@@ -21,6 +21,7 @@ MODULES = (
     "quillframe.operators.ranking",
     "quillframe.operators.raster",
     "quillframe.operators.decode",
+    "quillframe.operators.reports",
 )
 
 

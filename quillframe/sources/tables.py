@@ -24,16 +24,26 @@ def alphabet(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("pos") + 1).alias("sym_id"), F.col("col").alias("val"))
 
 
-def capped(docs: DataFrame, cap: int, key: str = "doc_id", text: str = "text", width: int = 1024) -> DataFrame:
-    """Texts in order of key up to cap symbols in all: the last one is cut, those behind get none.
+def running_before(df: DataFrame, key: str, amount: str, to: str, width: int = 1024) -> DataFrame:
+    """df with the sum of amount over all rows before this one in order of an integer key (unique).
 
-    Two-level running sum: per range of keys first, so no task sees all rows.
+    Running sums on three levels: inside ranges of width keys, over the ranges of width ranges,
+    and over those, of which a thousand billion keys make a million. No task sees all rows.
     """
-    d = docs.select(key, text, F.length(text).cast("long").alias("n"), F.floor(F.col(key) / width).alias("part"))
-    parts = d.groupBy("part").agg(F.sum("n").alias("m"))
-    parts = parts.select("part", (F.sum("m").over(Window.orderBy("part")) - F.col("m")).alias("before"))
-    inner = F.sum("n").over(Window.partitionBy("part").orderBy(key)) - F.col("n")
-    d = d.join(parts, "part").withColumn("left", F.greatest(F.lit(0), cap - F.col("before") - inner))
+    d = df.withColumn("_part", F.floor(F.col(key) / width)).withColumn("_top", F.floor(F.col(key) / width**2))
+    parts = d.groupBy("_top", "_part").agg(F.sum(amount).alias("_m"))
+    tops = parts.groupBy("_top").agg(F.sum("_m").alias("_m"))
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tops = tops.select("_top", before("_m", Window.orderBy("_top")).alias("_t"))
+    parts = parts.select("_top", "_part", before("_m", Window.partitionBy("_top").orderBy("_part")).alias("_p")).join(tops, "_top").select("_part", (F.col("_t") + F.col("_p")).alias("_b"))
+    inner = before(amount, Window.partitionBy("_part").orderBy(key))
+    return d.join(parts, "_part").withColumn(to, F.col("_b") + inner).drop("_part", "_top", "_b")
+
+
+def capped(docs: DataFrame, cap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Texts in order of key up to cap symbols in all: the last one is cut, those behind get none."""
+    d = running_before(docs.select(key, text, F.length(text).cast("long").alias("n")), key, "n", "before")
+    d = d.withColumn("left", F.greatest(F.lit(0), cap - F.col("before")))
     return d.select(key, F.expr(f"substring({text}, 1, int(least(left, n)))").alias("text"), F.least("left", "n").alias("kept"))
 
 

@@ -10,8 +10,8 @@ import pytest
 from quillframe.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-#: Grouped decoders that take long; they have tests of their own on small texts.
-SLOW = {"hmm_viterbi", "word_lookup_map", "simul_map", "bnb_map", "implied_equality_join", "simul_step0"}
+#: Grouped decoders that take long: run on small tables below, and tested on small texts of their own.
+SLOW = {"hmm_viterbi", "word_lookup_map", "simul_map", "bnb_map"}
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +40,13 @@ def test_query(spark, duck, name):
         names = [x[0] for x in r.description]
         assert sorted(names) == cols
         assert got == sorted(tuple(_plain(row[names.index(c)]) for c in cols) for row in r.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(SLOW))
+def test_slow_query(spark, tmp_path_factory, name):
+    folder = str(tmp_path_factory.mktemp("small"))
+    spark.read.parquet(f"{SF}/documents.parquet").filter("length(text) between 40 and 400").orderBy("doc_id").limit(4).write.parquet(f"{folder}/documents.parquet")
+    for other in ("conversations", "benchmark"):
+        spark.read.parquet(f"{SF}/{other}.parquet").limit(40).write.parquet(f"{folder}/{other}.parquet")
+    df = catalog.queries()[name](spark, folder)
+    assert df.columns and df.collect()
