@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import per_text
 from ..sources.tables import table
 from .lexicon import LONGEST
 
@@ -22,10 +27,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, clust (1 the largest; equal sizes by first place), c, n and class: each text's distinct symbols, line ends left out."""
-    s = docs.select(key, F.posexplode(T.symbols(F.col(text))).alias("at", "c")).filter("c <> '\\n'")
-    g = s.groupBy(key, "c").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("n"), "first"))
-    return g.select(key, rank.alias("clust"), "c", "n", T.symbol_class(F.col("c")).alias("class"))
+    fields = [("clust", "int", pa.int32()), ("c", "string", pa.string()), ("n", "long", pa.int64())]
+    return per_text(docs, key, text, fields, _ranked).select("*", T.symbol_class(F.col("c")).alias("class"))
+
+
+def _ranked(text: str) -> tuple[list, ...]:
+    n = Counter(text)  # in order of first places, which the sort keeps
+    n.pop("\n", None)
+    c = sorted(n, key=n.__getitem__, reverse=True)
+    return list(range(1, len(c) + 1)), c, [n[x] for x in c]
 
 
 def cluster_bigrams(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -57,11 +67,22 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def positions(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: int = LONGEST) -> DataFrame:
     """key, c, len, pos, n, norm, p: positional counts of clusters, as shares of their symbol and length."""
-    w = words(docs, key, text).filter(F.length("word") <= longest)
-    x = w.select(key, "n", F.length("word").alias("len"), F.posexplode(F.split("word", "")).alias("pos", "c"))
-    x = x.groupBy(key, "c", "len", (F.col("pos") + 1).alias("pos")).agg(F.sum("n").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(key, "c", "len"))
-    return x.select(key, "c", "len", "pos", "n", total.alias("norm"), F.round(F.col("n") / total, 12).alias("p"))
+    fields = [("c", "string", pa.string()), ("len", "int", pa.int32()), ("pos", "int", pa.int32()), ("n", "long", pa.int64()), ("norm", "long", pa.int64())]
+    x = per_text(docs, key, text, fields, lambda t: _placed(t, longest))
+    return x.select("*", F.round(F.col("n") / F.col("norm"), 12).alias("p"))
+
+
+def _placed(text: str, longest: int) -> tuple[list, ...]:
+    n: Counter = Counter()
+    norm: Counter = Counter()
+    for word, k in Counter(re.split("[ \n]+", text)).items():
+        size = len(word)
+        if size <= longest:
+            for at, c in enumerate(word, 1):
+                n[c, size, at] += k
+                norm[c, size] += k
+    c, size, at = ([x[i] for x in n] for i in range(3))
+    return c, size, at, list(n.values()), [norm[x[:2]] for x in n]
 
 
 def merge_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, share: float = 0.85) -> DataFrame:

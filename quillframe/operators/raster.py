@@ -5,14 +5,19 @@ Boxes are (l, t, r, b), ends included; distances between boxes are gaps clamped
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.rows import per_text
 from ..sources.tables import table
 
+_INK = re.compile("[^ \\t\\r\\f]+")
 #: Least and most height and width of a component, and its least and most width over height.
 SIZES, RATIOS = (2, 100), (0.1, 10.0)
 
@@ -37,12 +42,24 @@ def cropped(px: DataFrame, regions: DataFrame, on: list[str]) -> DataFrame:
     return x.filter(F.col("_q").isNull() | inside).drop("_q")
 
 
-def words(docs: DataFrame, blanks: int = 1, key: str = "doc_id") -> DataFrame:
+def words(docs: DataFrame, blanks: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word (from 0 along each line) and box: ink runs of a line with fewer than `blanks` blank columns inside."""
-    w = Window.partitionBy(key, "r").orderBy("c")
-    x = pixels(docs).withColumn("new", F.when(F.col("c") - F.lag("c").over(w) > blanks, 1).otherwise(0))
-    x = x.withColumn("word", F.sum("new").over(w))
-    return x.groupBy(key, F.col("r").alias("line"), "word").agg(F.min("c").alias("l"), F.max("c").alias("r"))
+
+    def made(t: str) -> tuple[list, ...]:
+        out: tuple[list, ...] = ([], [], [], [])
+        for line, x in enumerate(t.split("\n")):
+            runs: list[list[int]] = []
+            for m in _INK.finditer(x):
+                if runs and m.start() - runs[-1][1] <= blanks:
+                    runs[-1][1] = m.end() - 1
+                else:
+                    runs.append([m.start(), m.end() - 1])
+            for word, (a, b) in enumerate(runs):
+                for c, v in zip(out, (line, word, a, b), strict=True):
+                    c.append(v)
+        return out
+
+    return per_text(docs, key, text, [("line", "int", pa.int32()), ("word", "long", pa.int64()), ("l", "int", pa.int32()), ("r", "int", pa.int32())], made)
 
 
 def neighbours(w: DataFrame, key: str = "doc_id") -> DataFrame:
