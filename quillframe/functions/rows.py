@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,24 +13,28 @@ from pyspark.sql import functions as F
 TEXTS = 200
 
 
-def per_text(docs: DataFrame, key: str, text: str, fields: list[tuple[str, str, pa.DataType]], made: Callable[[str], tuple[list, ...]]) -> DataFrame:
-    """key and fields: for each text the columns of its rows; none for a null text."""
+def _column(parts: list, kind: pa.DataType) -> pa.Array:
+    if not isinstance(parts[0], np.ndarray):
+        return pa.array([x for p in parts for x in p], kind)
+    x = np.concatenate(parts)
+    if kind != pa.string():
+        return pa.array(x, kind, from_pandas=False)
+    codes, at = np.unique(x, return_inverse=True)
+    return pa.array(list(map(chr, codes.tolist())), kind).take(pa.array(at))
+
+
+def per_text(docs: DataFrame, key: str, text: str, fields: list[tuple[str, str, pa.DataType]], made: Callable[[str], tuple]) -> DataFrame:
+    """key and fields: for each text the columns of its rows (lists or arrays; symbols' code points for a string); none for a null text."""
     names = [key, *(n for n, *_ in fields)]
 
     def over(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in it:
             for at in range(0, whole.num_rows, TEXTS):
                 b = whole.slice(at, TEXTS)
-                rows: list[int] = []
-                columns: list[list] = [[] for _ in fields]
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    if t is not None:
-                        own = made(t)
-                        rows += [i] * len(own[0])
-                        for c, x in zip(columns, own, strict=True):
-                            c += x
-                if rows:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(pa.array(c, f[2]) for c, f in zip(columns, fields, strict=True))], names=names)
+                found = [(i, own) for i, t in enumerate(b.column(1).to_pylist()) if t is not None and len((own := made(t))[0])]
+                if found:
+                    rows = np.repeat([i for i, _ in found], [len(own[0]) for _, own in found])
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), *(_column([own[k] for _, own in found], f[2]) for k, f in enumerate(fields))], names=names)
 
     schema = ", ".join([f"`{key}` {docs.schema[key].dataType.simpleString()}", *(f"{n} {t}" for n, t, _ in fields)])
     return docs.select(F.col(key), F.col(text)).mapInArrow(over, schema)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -72,17 +72,18 @@ def positions(docs: DataFrame, key: str = "doc_id", text: str = "text", longest:
     return x.select("*", F.round(F.col("n") / F.col("norm"), 12).alias("p"))
 
 
-def _placed(text: str, longest: int) -> tuple[list, ...]:
-    n: Counter = Counter()
-    norm: Counter = Counter()
-    for word, k in Counter(re.split("[ \n]+", text)).items():
-        size = len(word)
-        if size <= longest:
-            for at, c in enumerate(word, 1):
-                n[c, size, at] += k
-                norm[c, size] += k
-    c, size, at = ([x[i] for x in n] for i in range(3))
-    return c, size, at, list(n.values()), [norm[x[:2]] for x in n]
+def _placed(text: str, longest: int) -> tuple[np.ndarray, ...]:
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    gaps = np.flatnonzero(np.concatenate([[True], (x == 32) | (x == 10), [True]]))
+    size = np.diff(gaps) - 1
+    kept = (size > 0) & (size <= longest)
+    begin, size = gaps[:-1][kept], size[kept]
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    key, n = np.unique(x[np.repeat(begin, size) + at] << 32 | np.repeat(size, size) << 16 | at + 1, return_counts=True)
+    group = key >> 16
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    norm = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key)))) if len(key) else n
+    return key >> 32, group & 0xFFFF, key & 0xFFFF, n, norm
 
 
 def merge_candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 3, share: float = 0.85) -> DataFrame:
