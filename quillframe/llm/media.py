@@ -42,7 +42,7 @@ from .common import bounded_batches, partitions, sliced, strings, written
 BLOCK, PAD, COLUMNS = 576, b"\xff", 24
 #: Chunks have 256 bytes at least, some 1.3 kB on average and 8 KiB at most.
 LEAST, BITS, MOST = 256, 10, 8 << 10
-DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 1000, 64 << 10, 15
+DICTIONARY_ROWS, DICTIONARY_BYTES, LEVEL = 2000, 112 << 10, 15
 
 #: The gear table: 256 numbers of a fixed generator.
 GEAR = np.random.Generator(np.random.PCG64(20_240_607)).integers(0, 2**64, 256, dtype=np.uint64)
