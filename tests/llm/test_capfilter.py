@@ -1,4 +1,6 @@
 import numpy as np
+import pandas as pd
+import pyarrow.parquet as pq
 
 from quillframe.llm import capfilter as C
 
@@ -80,3 +82,30 @@ def test_rows_against_brute_force(spark, monkeypatch):
         want = {k: (n[i], comp[i], None if k is None else k == comp[i]) for i, (k, _) in enumerate(rows)}
         assert got == want
     assert C.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_sketches_stay_within_reach():
+    r = np.random.default_rng(4)
+    x, y = r.normal(size=(2, 20000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    z = 0.95 * x + np.sqrt(1 - 0.95**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    planes = np.random.default_rng([4, 64]).normal(size=(64, C.SKETCH))
+    assert ((x @ planes > 0) != (z @ planes > 0)).sum(1).max() <= C.reach(0.95) < C.SKETCH / 3
+
+
+def test_recall_of_the_query_against_all_pairs(spark):
+    """All vectors of sf0.1, with one more at a cosine of 0.95 to 0.96 beside each, by brute force over every pair in blocks."""
+    t = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    x = np.array([v for v in t["embedding"] if v and all(a is not None and np.isfinite(a) for a in v) and any(v)], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r = np.random.default_rng(5)
+    y, c = r.normal(size=x.shape), r.uniform(0.95, 0.96, (len(x), 1))
+    y -= (x * y).sum(1, keepdims=True) * x
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)])
+    n = np.concatenate([(x[at : at + 1024] @ x.T >= 0.95).sum(1) - 1 for at in range(0, len(x), 1024)])
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    got = {k.vec_id: k.n_links for k in C.near_duplicates(df).collect()}
+    assert all(got[i] <= k for i, k in enumerate(n.tolist()))
+    print("recall", sum(got.values()) / n.sum())
+    assert sum(got.values()) >= 0.99 * n.sum() > 0
