@@ -104,7 +104,7 @@ def test_recall_of_the_query_against_all_pairs(spark):
     y -= (x * y).sum(1, keepdims=True) * x
     x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y, axis=1, keepdims=True)])
     n = np.concatenate([(x[at : at + 1024] @ x.T >= 0.95).sum(1) - 1 for at in range(0, len(x), 1024)])
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": list(x)}), "vec_id long, embedding array<double>")
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<double>")
     got = {k.vec_id: k.n_links for k in C.near_duplicates(df).collect()}
     assert all(got[i] <= k for i, k in enumerate(n.tolist()))
     print("recall", sum(got.values()) / n.sum())
