@@ -41,6 +41,7 @@ CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 ENCODINGS = (("^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 0.10), ("^[A-Z2-7]+$", 32, 0.075), ("^[A-Za-z0-9]+$", 62, 0.066), ("", 64, 0.060))
 ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"
 CHANGE, BLOCKS = 0.12, 0.35
+BLOCK = 128
 
 _SPAN = "array<struct<start:int,end:int,s:string>>"
 
@@ -49,14 +50,24 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """body with name bound to value, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def _placed(name: str) -> str:
-    """The matches {name}_m between the pieces {name}_p of the text, with their places."""
+    """The matches {name}_m between the pieces {name}_p of the text, with their places.
+
+    Ends are running sums on two levels, blocks of BLOCK matches and matches of a block, so many matches
+    of one text take neither a growing array nor a sum over all before each.
+    """
     m, p = f"{name}_m", f"{name}_p"
-    return f"""CASE WHEN size({m}) = 0 THEN cast(array() AS {_SPAN}) ELSE
-      aggregate(sequence(0, size({m}) - 1), named_struct('at', 0, 'out', cast(array() AS {_SPAN})),
-        (a, i) -> named_struct('at', a.at + length({p}[i]) + length({m}[i]),
-          'out', concat(a.out, array(named_struct('start', a.at + length({p}[i]), 'end', a.at + length({p}[i]) + length({m}[i]), 's', {m}[i])))),
-        a -> a.out) END"""
+    end = f"z + aggregate(slice(l, b * {BLOCK} + 1, i + 1), 0, (a, y) -> a + y)"
+    span = _let(end, "e", f"named_struct('start', e - length({m}[b * {BLOCK} + i]), 'end', e, 's', {m}[b * {BLOCK} + i])")
+    block = _let("aggregate(slice(s, 1, b), 0, (a, y) -> a + y)", "z", f"transform(slice(l, b * {BLOCK} + 1, {BLOCK}), (x, i) -> {span})")
+    sums = f"transform(sequence(0, int((size(l) - 1) / {BLOCK})), b -> aggregate(slice(l, b * {BLOCK} + 1, {BLOCK}), 0, (a, y) -> a + y))"
+    spans = _let(_let(p, "q", f"transform({m}, (x, i) -> length(q[i]) + length(x))"), "l", _let(sums, "s", f"flatten(transform(sequence(0, size(s) - 1), b -> {block}))"))
+    return f"CASE WHEN size({m}) = 0 THEN cast(array() AS {_SPAN}) ELSE {spans} END"
 
 
 def _by_encoding(k: int) -> str:

@@ -81,3 +81,14 @@ def test_rows(spark):
     assert S.query(df.limit(0)).count() == 0
     plan = S.query(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_places_of_many_matches(spark):
+    """Ends are summed in blocks: counts around a block's length, and a text of some thousand matches."""
+    unit = "ünd AKIA" + "A1" * 9 + " password=abcdef "
+    texts = [unit * n + "x" for n in (0, 1, 127, 128, 129, 256, 257, 3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in S.find(df).collect():
+        t = texts[r.doc_id]
+        want = sorted([(m.start(), "assign", m.end()) for m in re.finditer("password=abcdef", t)] + [(m.start(), "access", m.end()) for m in re.finditer("AKIA[A1]+", t)])
+        assert r.spans.split(",") == ([f"{k}:{a}:{b}" for a, k, b in want] or [""])
