@@ -22,6 +22,7 @@ MODULES = (
     "quillframe.operators.raster",
     "quillframe.operators.decode",
     "quillframe.operators.reports",
+    "quillframe.operators.refine",
 )
 
 
