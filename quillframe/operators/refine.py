@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.rows import per_text
 from ..sources.tables import regions, table
 from .components import components
+from .decode import solve_line
 from .raster import WD, crop, words
-from .vectors import SIDE, images, searched
+from .reports import side_by_side
+from .vectors import SIDE, images, label_means, searched
 
 
 def merge_rounds(text: str, least: int = 3, share: float = 0.85) -> list[list[str]]:
@@ -181,8 +183,31 @@ def sub_matches(pairs: DataFrame, on: float, window: int, most: float, side: int
     return x.select("q_id", "id", "p.r", "p.c", F.round("p.d", 9).alias("d"))
 
 
+def line_decode(lines: DataFrame, shapes: DataFrame, slack: int = 2) -> DataFrame:
+    """grp, path (labels from left to right), widths and cost of lines of images by segmental decoding with a bilevel model of each label.
+
+    shapes holds label, at and mean, a row a pixel of each class; its classes are the model's alphabet and stand in one row.
+    """
+    model = shapes.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "mean"))).alias("v"))
+    model = model.agg(F.array_sort(F.collect_list(F.struct("label", F.col("v.mean").alias("v")))).alias("models"))
+    columns = ["grp", "width", "height", "image"]
+
+    def over(it):
+        for b in it:
+            out = []
+            for g, w, h, image, models in zip(*(b[c] for c in [*columns, "models"]), strict=True):
+                made = [(np.asarray(m["v"], float).reshape(h, -1) > 0).astype(float) for m in models]
+                even = np.full((len(made), len(made)), 1 / len(made))
+                path, widths, cost = solve_line((np.asarray(image, float).reshape(h, w) > 0).astype(float), made, even, most=slack)
+                out.append((g, ",".join(str(models[k]["label"]) for k in path), ",".join(map(str, widths)), round(cost, 6)))
+            yield pd.DataFrame(out, columns=["grp", "path", "widths", "cost"])
+
+    return lines.select(*columns).crossJoin(F.broadcast(model)).mapInPandas(over, "grp long, path string, widths string, cost double")
+
+
 _docs = lambda s, d: table(s, d, "documents")
-_img = lambda s, d: images(table(s, d, "embeddings").filter(f"size(embedding) = {SIDE * SIDE}"))
+_emb = lambda s, d: table(s, d, "embeddings").filter(f"size(embedding) = {SIDE * SIDE}")
+_img = lambda s, d: images(_emb(s, d))
 ON = 0.2
 
 
@@ -219,5 +244,6 @@ QUERIES = {
     ),
     "vec_conv_euclid": (lambda s, d: cropped_pairs(searched(_img(s, d)), conv_euclid, ON), None),
     "vec_soft_hausdorff": (lambda s, d: cropped_pairs(searched(_img(s, d)), lambda a, b: soft_hausdorff(a > 0, b > 0, 0.9), ON), None),
+    "line_decode": (lambda s, d: line_decode(side_by_side(_emb(s, d), F.floor(F.col("vec_id") / 4), "vec_id", "embedding", SIDE, SIDE), label_means(_img(s, d))), None),
     "vec_sub_hausdorff": (lambda s, d: sub_matches(searched(_img(s, d)), ON, 4, 1.0), None),
 }
