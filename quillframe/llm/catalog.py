@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import capfilter, chat, media, mixing, pii, secrets, sentencepiece, simhash, toxicity, urlfilter
+from . import capfilter, centroids, chat, collocations, forest, media, mixing, pii, secrets, sentencepiece, simhash, toxicity, urlfilter
 from .common import table
 
 
@@ -50,9 +50,21 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.query(table(spark, sf_dir, "documents"))
 
 
+def op11_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", nearest=5)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, size=64)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": urlfilter.SQL, "op5_cap_filters": capfilter.SQL}
+    return {"op1_url_filters": urlfilter.SQL, "op5_cap_filters": capfilter.SQL, "op12_collocations": collocations.SQL, "op13_centroids": centroids.sql()}
