@@ -226,24 +226,35 @@ def test_hmm_decodes_every_printable_symbol(spark, tmp_path):
     assert len(got) == len(texts) and (got[0].lines, got[0].correct) == (300, 300)
 
 
-def test_line_map_against_all_maps():
+@pytest.mark.parametrize("depth", [None, 3])
+def test_branch_and_bound_against_all_maps(depth):
     r = random.Random(22)
     g = np.random.default_rng(22)
-    for _ in range(30):
+    for n in range(30):
         pairs, start = np.log(g.dirichlet(np.full(7, 0.3), 7) + 1e-9), np.log(g.dirichlet(np.ones(7)))
-        k = r.randint(1, 6)
+        k = 8 if n < 3 else r.randint(1, 6)
         lines = [[r.randrange(k) for _ in range(r.randint(0, 12))] for _ in range(4)] + [list(range(k))]
-        candidates = [r.sample(range(7), 3) for _ in range(k)]
+        candidates = [sorted(r.sample(range(7), 3)) for _ in range(k)] if n % 2 else None
+        mapped = k if depth is None else min(k, depth)
 
         def score(m):
-            return sum(start[m[x[0]]] + sum(pairs[m[a], m[b]] for a, b in zip(x, x[1:], strict=False)) for x in lines if x)
+            first = sum(start[m[x[0]]] if x[0] < len(m) else -3.0 for x in lines if x)
+            return first + sum(pairs[m[a], m[b]] if max(a, b) < len(m) else -3.0 for x in lines for a, b in zip(x, x[1:], strict=False))
 
-        m, v = decode.line_map(lines, candidates, start, pairs)
-        assert v == pytest.approx(max(map(score, itertools.product(*candidates)))) and v == pytest.approx(score(m))
+        search = decode.Assigning(lines, k, start, pairs, depth, -3.0, candidates)
+        best = max(map(score, itertools.product(*(candidates or [range(3)] * k)[:mapped]))) if candidates or k < 8 else None
+        if not candidates:  # three symbols in all
+            search = decode.Assigning(lines, k, start[:3], pairs[:3, :3], depth, -3.0)
+            best = max(map(score, itertools.product(range(3), repeat=mapped)))
+        m, v, bound = search.best(10**6)
+        assert v == pytest.approx(best) and v == pytest.approx(score(m.tolist())) and bound == pytest.approx(v)
+        _, early, limit = search.best(2)
+        assert early <= best + 1e-9 <= limit + 1e-6  # a search that is cut short says how far it may be off
 
 
 def test_bnb_map_maps_all_clusters(spark, tmp_path):
     _docs(spark, "abcdefg").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, "xxx")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     r = decode.QUERIES["bnb_map"][0](spark, str(tmp_path)).first()
-    assert (r.correct, r.score) == (0, round(math.log(2 / 96) + 6 * math.log(3 / 97), 3))
+    assert (r.clusters, r.correct, r.score) == (7, 0, round(math.log(2 / 96) + 6 * math.log(3 / 97), 3))
+    assert r.bound >= r.score
