@@ -2,12 +2,16 @@
 
 1. Texts are cut into pieces and pieces into words, in Arrow columns. Identical pieces of a language
    become one row with a multiplicity, first inside a batch, then by Spark.
-2. Each distinct piece's n-grams (1 to ``longest`` words) carry its multiplicity. A task ranks
-   them by numpy (an n-gram's rank is that of its first n - 1 words and its last word), adds equal
-   ones, and sends a row per hash bucket with its phrases packed. A bucket's task adds the
-   weights in duckdb, which spills into the task's own scratch folder beyond MEMORY, and keeps phrases of
-   ``least`` occurrences or more. Parts of a candidate occur at least as often as it does,
-   so nothing that is asked for later is lost. The empty phrase counts a language's words.
+2. Distinct pieces are stored in chunks of some WORDS words. In a chunk numpy ranks n-grams (an n-gram's
+   rank is that of its first n - 1 words and its last word) and adds the multiplicities of equal
+   ones; a row per hash bucket carries what the chunk has for it, packed. A bucket's task adds the
+   weights in duckdb, which spills into the task's own scratch folder beyond MEMORY. First bigrams are
+   counted by a 40-bit hash, and each bucket answers every chunk with those of its hashes
+   that have ``least`` occurrences or more (a collision answers yes once too often, never no).
+   Then phrases of 1 to ``longest`` words are counted by their words: longer ones only where all their
+   bigrams had that answer, which no phrase of ``least`` occurrences fails. Phrases of ``least``
+   occurrences stay; parts of a candidate occur at least as often as it does, so nothing that is
+   asked for later is lost. The empty phrase counts a language's words.
 3. Each candidate sends a lookup request per part. Requests and counts meet by a shuffle on
    (lang, part); a part that more than a fair share of requests ask for is joined by broadcast (at
    most 4 x partitions such parts, see ``graph.joined_back``). Scores are exact decimals.
@@ -28,20 +32,22 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, partitions, sliced, trimmed, written
 from .graph import joined_back
 
-#: Words whose n-grams are ranked together; memory of duckdb in a task; buckets for each shuffle partition.
-WORDS = 600_000
+#: Words of a chunk; memory of duckdb in a task; buckets for each shuffle partition.
+WORDS = 1_000_000
 MEMORY = "256MB"
 BUCKETS = 4
 #: A-Z are lowered, what ends a piece becomes a line feed, and a tab a space; all are single bytes of UTF-8.
@@ -78,73 +84,161 @@ def _ranked(key: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray
     rank = np.empty(len(k), np.int64)
     rank[order] = np.cumsum(new) - 1
     at = np.flatnonzero(new)
-    return order[at], rank, np.add.reduceat(weight[order], at)
-
-
-def ngrams(t: pa.Table, longest: int) -> Iterator[tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]]:
-    """For each length lang, phrase, weight and a 64-bit hash of the distinct n-grams of lang, piece, m; then the empty phrases."""
-    t = t.combine_chunks()
-    words = pc.split_pattern(t["piece"], " ")
-    words = words.chunk(0) if isinstance(words, pa.ChunkedArray) else words
-    flat, size = words.flatten(), np.diff(words.offsets.to_numpy())
-    enc, by = flat.dictionary_encode(), t["lang"].combine_chunks().dictionary_encode()
-    enc, by = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (enc, by))
-    n_words = max(len(enc.dictionary), 1)
-    word, own = enc.indices.to_numpy().astype(np.int64), np.repeat(by.indices.to_numpy().astype(np.int64), size)
-    hashes = np.array([xxhash.xxh64_intdigest(w) for w in enc.dictionary.to_pylist()], np.uint64)
-    seeds = np.array([xxhash.xxh64_intdigest(w, 1) for w in by.dictionary.to_pylist()], np.uint64)
-    weight = np.repeat(t["m"].to_numpy(), size)
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))  # words from here to the piece's end
-    at, rank, h = np.arange(len(flat)), own, seeds[own]
-    for n in range(1, longest + 1):
-        here = left[at] >= n
-        at, rank, h = at[here], rank[here], h[here]
-        if not len(at):
-            return
-        last = word[at + n - 1]
-        with np.errstate(over="ignore"):
-            h = (h ^ hashes[last]) * _STEP
+    return order[at], rank, np.add.reduceat(weight[order], at) if len(at) else weight[:0]
+
+
+class Chunk:
+    """The words of pieces side by side: number, language, multiplicity, and words from here to the piece's end."""
+
+    def __init__(self, t: pa.Table):
+        t = t.combine_chunks()
+        words = _one(pc.split_pattern(t["piece"], " "))
+        flat, size = words.flatten(), np.diff(words.offsets.to_numpy())
+        self.words, self.langs = _one(flat.dictionary_encode()), _one(t["lang"].dictionary_encode())
+        self.word, self.lang = self.words.indices.to_numpy().astype(np.int64), np.repeat(self.langs.indices.to_numpy().astype(np.int64), size)
+        self.weight = np.repeat(t["m"].to_numpy(), size)
+        self.left = np.repeat(np.cumsum(size), size) - np.arange(len(flat))
+        self.hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words.dictionary.to_pylist()], np.uint64)
+        self.seeds = np.array([xxhash.xxh64_intdigest(w, 1) for w in self.langs.dictionary.to_pylist()], np.uint64)
+
+    def hashed(self, at: np.ndarray, n: int) -> np.ndarray:
+        """64-bit hashes of the n words (and the language) from each place on."""
+        h = self.seeds[self.lang[at]]
+        for k in range(n):
+            with np.errstate(over="ignore"):
+                h = (h ^ self.hashes[self.word[at + k]]) * _STEP
             h ^= h >> np.uint64(29)
-        first, rank, sums = _ranked(rank * n_words + last, weight[at])
+        return h
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the bigrams and their 40-bit hashes."""
+        at = np.flatnonzero(self.left >= 2)
+        return at, (self.hashed(at, 2) >> np.uint64(24)).astype(np.int64)
+
+    def phrases(self, at: np.ndarray, n: int) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """lang, phrase, weight and hash of the distinct n-grams at these places."""
+        rank, sums = self.lang[at], self.weight[at]
+        for k in range(n):
+            first, rank, sums = _ranked(rank * len(self.hashes) + self.word[at + k], self.weight[at])
         i = at[first]
-        parts = [enc.dictionary.take(enc.indices.take(pa.array(i + k))) for k in range(n)]
-        yield by.dictionary.take(pa.array(own[i])), pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0], sums, h[first]
-        if n == 1:
-            langs, _, total = _ranked(own, weight)
-            yield by.dictionary.take(pa.array(own[langs])), pa.array([""] * len(langs), pa.string()), total, seeds[own[langs]]
+        parts = [self.words.dictionary.take(self.words.indices.take(pa.array(i + k))) for k in range(n)]
+        return self.langs.dictionary.take(pa.array(self.lang[i])), pc.binary_join_element_wise(*parts, " ") if n > 1 else parts[0], sums, self.hashed(i, n)
 
+    def totals(self) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+        """The empty phrase of each language: its words."""
+        first, _, sums = _ranked(self.lang, self.weight)
+        own = self.lang[first]
+        return self.langs.dictionary.take(pa.array(own)), pa.array([""] * len(own), pa.string()), sums, self.seeds[own]
 
-def _packed(it: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """bucket and body: the phrases of a bucket with their weights, as a compressed Arrow stream."""
+
+def _one(x):
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) and x.num_chunks != 1 else x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+
+
+def _body(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(body) -> pa.Table:
+    with pa.ipc.open_stream(body.as_buffer()) as r:
+        return r.read_all()
+
+
+def _chunks(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """src (a number of its own) and body of each chunk."""
     held: list[pa.RecordBatch] = []
-    held_bytes = 0
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        kinds = list(ngrams(pa.Table.from_batches(held), longest))
-        t = pa.table({"lang": pa.concat_arrays([k[0] for k in kinds]), "phrase": pa.concat_arrays([k[1] for k in kinds]), "n": pa.array(np.concatenate([k[2] for k in kinds]))})
-        bucket = (np.concatenate([k[3] for k in kinds]) >> np.uint64(20)) % np.uint64(buckets)
-        order = np.argsort(bucket.astype(np.uint32), kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-        t = t.take(pa.array(order)).combine_chunks()
-        names, bodies = [], []
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            part = t.slice(edges[k], edges[k + 1] - edges[k])
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(part)
-            names.append(k)
-            bodies.append(sink.getvalue().to_pybytes())
-        for at in range(0, len(names), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 64], pa.int32()), pa.array(bodies[at : at + 64], pa.binary())], names=["bucket", "body"])
+    size, src = 0, TaskContext.get().partitionId() << 32
+
+    def sent() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([src], pa.int64()), pa.array([_body(pa.Table.from_batches(held))], pa.binary())], names=["src", "body"])
 
     for b in it:
         held.append(b)
-        held_bytes += b.column(1).nbytes
-        if held_bytes > 6 * WORDS:
-            yield from sent()
-            held, held_bytes = [], 0
-    if held_bytes:
-        yield from sent()
+        size += b.column(1).nbytes
+        if size > 6 * WORDS:
+            yield sent()
+            held, size, src = [], 0, src + 1
+    if size:
+        yield sent()
+
+
+def _dealt(t: pa.Table, bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, body) of a table's rows."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    t = t.take(pa.array(order)).combine_chunks()
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        yield k, _body(t.slice(edges[k], edges[k + 1] - edges[k]))
+
+
+def _asked(it: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket, src and body: a chunk's bigram hashes (sorted, as differences) and their weights."""
+    for b in it:
+        for src, body in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            c = Chunk(_opened(body))
+            at, h = c.bigrams()
+            first, _, sums = _ranked(h, c.weight[at])
+            h = h[first]
+            bucket = h % buckets
+            order = np.argsort(bucket, kind="stable")
+            step = np.diff(h[order], prepend=0)
+            step[np.flatnonzero(np.diff(bucket[order], prepend=-1))] = h[order][np.flatnonzero(np.diff(bucket[order], prepend=-1))]
+            out = list(_dealt(pa.table({"step": step, "n": sums[order]}), bucket[order], buckets))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([src] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "src", "body"])
+
+
+@contextmanager
+def _duck():
+    with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as c:
+        yield c
+
+
+def _answered(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """src and body: those of a chunk's hashes in a bucket that have least occurrences or more."""
+    schema = pa.schema([("src", pa.int64()), ("h", pa.int64()), ("n", pa.int64())])
+
+    def opened() -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for src, body in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                t = _opened(body)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(t.num_rows, src)), pa.array(np.cumsum(t["step"].to_numpy())), t["n"].combine_chunks()], schema=schema)
+
+    with _duck() as c:
+        packed = pa.RecordBatchReader.from_batches(schema, opened())  # noqa: F841  read by name below
+        c.execute("CREATE TEMP TABLE t AS SELECT * FROM packed")
+        found = c.sql(f"SELECT src, h FROM t SEMI JOIN (SELECT h FROM t GROUP BY h HAVING sum(n) >= {int(least)}) f USING (h)").to_arrow_reader(100_000)
+        for b in found:
+            src, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            order = np.lexsort((h, src))
+            src, h = src[order], h[order]
+            at = np.flatnonzero(np.diff(src, prepend=-1))
+            yield pa.RecordBatch.from_arrays([pa.array(src[at]), pa.array([_body(pa.table({"h": x})) for x in np.split(h, at[1:])], pa.binary())], names=["src", "answer"])
+
+
+def _packed(it: Iterator[pa.RecordBatch], longest: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """bucket and body: a chunk's phrases with their weights; columns: body, answers."""
+    for b in it:
+        for body, answers in zip(b.column(0), b.column(1), strict=True):
+            c = Chunk(_opened(body))
+            kinds = [c.totals(), c.phrases(np.arange(len(c.word)), 1)]
+            often = [_opened(x)["h"].to_numpy() for x in answers.values] if answers.is_valid else []
+            at, h = c.bigrams()
+            good = np.zeros(len(c.word) + longest, bool)
+            good[at[np.isin(h, np.concatenate(often))] if often else []] = True
+            at = np.flatnonzero(good)
+            for n in range(2, longest + 1):
+                at = at[good[at + n - 2]]
+                if not len(at):
+                    break
+                kinds.append(c.phrases(at, n))
+            t = pa.table({"lang": pa.concat_arrays([k[0] for k in kinds]), "phrase": pa.concat_arrays([k[1] for k in kinds]), "n": pa.array(np.concatenate([k[2] for k in kinds]))})
+            bucket = ((np.concatenate([k[3] for k in kinds]) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            out = list(_dealt(t, bucket, buckets))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "body"])
 
 
 def _counted(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -154,10 +248,9 @@ def _counted(it: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatc
     def opened() -> Iterator[pa.RecordBatch]:
         for b in it:
             for body in b.column(1):
-                with pa.ipc.open_stream(body.as_buffer()) as r:
-                    yield from r
+                yield from _opened(body).to_batches()
 
-    with tempfile.TemporaryDirectory() as scratch, duckdb.connect(config={"threads": 1, "memory_limit": MEMORY, "temp_directory": scratch, "preserve_insertion_order": False}) as c:
+    with _duck() as c:
         packed = pa.RecordBatchReader.from_batches(schema, opened())  # noqa: F841  read by name below
         found = c.sql(f"SELECT lang, phrase, sum(n)::BIGINT AS n FROM packed GROUP BY ALL HAVING sum(n) >= {int(least)} OR phrase = ''")
         yield from (b.cast(schema) for b in found.to_arrow_reader(20_000))
@@ -169,9 +262,12 @@ def counts(docs: DataFrame, *, longest: int = 4, least: int = 30, text: str = "t
     bounded_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     cut = rows.mapInArrow(_cut, "lang string, piece string, m long").groupBy("lang", "piece").agg(F.sum("m").alias("m"))
+    chunks = written(cut.mapInArrow(trimmed(_chunks), "src long, body binary"), "chunks")
     p = partitions(spark)
     buckets = BUCKETS * p
-    packed = cut.mapInArrow(trimmed(lambda it: _packed(it, longest, buckets)), "bucket int, body binary").repartition(p, "bucket")
+    asked = chunks.mapInArrow(trimmed(lambda it: _asked(it, buckets)), "bucket int, src long, body binary").repartition(p, "bucket")
+    answers = asked.mapInArrow(trimmed(lambda it: _answered(it, least)), "src long, answer binary").groupBy("src").agg(F.collect_list("answer").alias("answers"))  # a few a bucket
+    packed = chunks.join(answers.hint("merge"), "src", "left").select("body", "answers").mapInArrow(trimmed(lambda it: _packed(it, longest, buckets)), "bucket int, body binary").repartition(p, "bucket")
     return packed.mapInArrow(trimmed(lambda it: _counted(it, least)), "lang string, phrase string, n long")
 
 
