@@ -14,9 +14,10 @@ medium are one row, each name has one owner (the least medium and place that hol
 ``groupBy``), and names that an existing store holds are left out by an anti-join. Only then do
 bytes move, once: media to their owners' plan. The store has a pack for each distinct medium: the ordered list of
 its chunks' names, and one compressed frame of the chunks it owns, so a stream's chunks stay
-together. ``get`` reads a medium that owns all of its chunks where its pack lies; for the others
-the chunks that they ask for (a pack knows which it lends) are joined by name, put in order, one
-medium at a time. Both ways every medium is verified by its own SHA-256.
+together. ``get`` rebuilds every medium from its ordered list: chunks are cut out of the frame that holds
+them and each is checked against its name. A medium that owns all of its chunks needs no
+shuffle for that; for the others the chunks that they ask for (a pack knows which it lends) are joined by name, put
+in order, one medium at a time. Then every medium is verified by its own SHA-256.
 
 Frames are compressed with a dictionary that is trained on a bounded sample of payloads
 (DICTIONARY_ROWS); that changes the size of the store, never a result.
@@ -216,12 +217,22 @@ def get(store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
             raise ValueError(f"the stored bytes of {name.hex()} differ or are missing")
         return m
 
+    def walked(name: bytes, chunks: list[bytes], own: list[int], sizes: list[int], frame: bytes) -> bytes:
+        """The medium from its ordered list: each chunk is cut from the frame that holds it and checked against its name."""
+        parts, at = {}, 0
+        for k, n in zip(own, sizes, strict=True):
+            parts[k] = frame[at : at + n]
+            at += n
+            if _sha(parts[k])[:16] != chunks[k]:
+                raise ValueError(f"a chunk of {name.hex()} differs")
+        return verified(b"".join([parts[k] for k in range(len(chunks))]), name)
+
     def alone(it):
         _, unpress = _codec(shipped.value)
         for b in sliced(it, 200):
             if b.num_rows:
-                names = b.column(0).to_pylist()
-                yield made(names, [verified(unpress.decompress(d), n) for n, d in zip(names, b.column(1).to_pylist(), strict=True)])
+                rows = list(zip(*(c.to_pylist() for c in b.columns), strict=True))
+                yield made([r[0] for r in rows], [walked(*r[:4], unpress.decompress(r[4])) for r in rows])
 
     def lending(it):
         press, unpress = _codec(shipped.value)
@@ -230,8 +241,11 @@ def get(store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
             for own, sizes, lent, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 m, ends = unpress.decompress(d), np.cumsum(sizes).tolist()
                 for k in lent:
+                    part = m[ends[k] - sizes[k] : ends[k]]
+                    if _sha(part)[:16] != own[k]:
+                        raise ValueError(f"the chunk {own[k].hex()} differs")
                     names.append(own[k])
-                    data.append(press.compress(m[ends[k] - sizes[k] : ends[k]]))
+                    data.append(press.compress(part))
             if names:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], names=["name", "data"])
 
@@ -250,7 +264,7 @@ def get(store: DataFrame, dictionary: bytes, features=None) -> DataFrame:
         if now is not None:
             yield made([now], [verified(b"".join(parts), now)])
 
-    alike = store.filter("whole").select("medium", "data").mapInArrow(alone, schema)
+    alike = store.filter("whole").select("medium", "chunks", "own", "sizes", "data").mapInArrow(alone, schema)
     refs = store.filter("not whole").select("medium", F.posexplode("chunks").alias("at", "name"))
     lent = store.filter("size(lent) > 0").select(F.expr(_OWNED).alias("names"), "sizes", "lent", "data").mapInArrow(lending, "name binary, data binary")
     # a chunk that more than one in 4 x partitions of all references ask for is broadcast: 4 x partitions of MOST bytes at most
