@@ -120,47 +120,43 @@ def _sorted(t: pa.Table) -> tuple[np.ndarray, ...]:
     return tree[order], string[order], node[order], order
 
 
-COUNTS = pa.schema([("node", pa.int64()), ("level", pa.int32()), ("total", pa.int64()), ("most", pa.int64())])
+#: Levels of the longest ladder.
+LEVELS = 24
+COUNTS = pa.schema([("node", pa.int64()), ("total", pa.list_(pa.int64())), ("most", pa.list_(pa.int64()))])
 
 
 def _levels(t: pa.Table, trees: int, wanted: int) -> pa.Table:
-    """node, level, and the further strings of a part that share so many bits with an asked one: summed and at most over its trees."""
+    """node, and by place in the ladder the further strings of a part that share so many bits with an asked one: summed and at most over its trees."""
     tree, string, node, order = _sorted(t)
     asked = t["asked"].to_numpy(zero_copy_only=False)[order]
-    found = []
+    names, place = np.unique(node[asked], return_inverse=True)
+    total, most, rank = np.zeros((len(names), LEVELS), np.int64), np.zeros((len(names), LEVELS), np.int64), np.zeros(len(node), np.int64)
+    rank[asked] = place
     for a, b in _segments(tree):
         at = a + np.flatnonzero(asked[a:b])
         if not len(at):
             continue
         bits, levels = ladder(int(tree[a]) // trees)
-        s, own, who = string[a:b], string[at], node[at]
-        for level in levels.tolist():
+        s, own, who = string[a:b], string[at], rank[at]
+        for k, level in enumerate(levels.tolist()):
             low = (own >> (bits - level)) << (bits - level)
             n = np.searchsorted(s, low + (1 << (bits - level)), "left") - np.searchsorted(s, low, "left") - 1
-            some = n > 0
-            found.append((who[some], np.full(some.sum(), level), n[some]))
+            total[who, k] += n
+            most[who, k] = np.maximum(most[who, k], n)
             go = n < wanted  # a shorter prefix isn't needed where this one has enough
             own, who = own[go], who[go]
-    if not found:
-        return COUNTS.empty_table()
-    who, level, n = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.lexsort((level, who))
-    who, level, n = who[order], level[order], n[order]
-    new = np.ones(len(who), bool)
-    new[1:] = (who[1:] != who[:-1]) | (level[1:] != level[:-1])
-    at = np.flatnonzero(new)
-    if not len(at):
-        return COUNTS.empty_table()
-    return pa.table([who[at], level[at].astype(np.int32), np.add.reduceat(n, at), np.maximum.reduceat(n, at)], schema=COUNTS)
+    lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(len(names) + 1) * LEVELS, pa.int32()), pa.array(x.ravel()))
+    return pa.table([pa.array(names, pa.int64()), lists(total), lists(most)], schema=COUNTS)
 
 
 def _requests(it, trees: int, first_tree: np.ndarray, first: np.ndarray, parts: np.ndarray):
-    """part, node, tree, low, high: the runs of each asked vector in the parts they touch; columns: node, level, v."""
+    """part, node, tree, low, high: the runs of each asked vector in the parts they touch; columns: node, level (a place in its ladder), v."""
     made: dict = {}
     for b in it:
         node, level = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         for rows, size, tree, s in _hashed(b, 2, trees, made):
-            drop = ladder(size)[0] - level[rows].astype(np.int64)
+            bits, levels = ladder(size)
+            drop = bits - np.append(levels, 0)[np.minimum(level[rows], len(levels))]
             low = (s >> drop) << drop
             high = low + (np.int64(1) << drop) - 1
             a, z = np.searchsorted(first_tree, tree, "left"), np.searchsorted(first_tree, tree, "right")
@@ -295,11 +291,12 @@ def search(df: DataFrame, asked: str = "vec_id % 50 = 0", *, nearest: int = 5, t
     index = written(index, "forest")
     begins = index.groupBy("part").agg(F.min(F.struct("tree", "string")).alias("b")).select("part", "b.tree", "b.string").orderBy("part").collect()  # a row a part
     first_tree, first_string, parts = (np.array(c, np.int64) for c in zip(*[(r.tree, r.string, r.part) for r in begins], strict=True))
-    counts = index.groupBy("part").applyInArrow(lambda t: _levels(t, trees, wanted), "node long, level int, total long, most long")
-    enough = counts.groupBy("node", "level").agg(F.sum("total").alias("total"), F.max("most").alias("most")).filter((F.col("total") >= wanted) & (F.col("most") >= nearest))
-    enough = enough.groupBy("node").agg(F.max("level").alias("level"))
+    counts = index.groupBy("part").applyInArrow(lambda t: _levels(t, trees, wanted), "node long, total array<long>, most array<long>")
+    counts = counts.groupBy("node").agg(*[F.sum(F.col("total")[k]).alias(f"t{k}") for k in range(LEVELS)], *[F.max(F.col("most")[k]).alias(f"m{k}") for k in range(LEVELS)])
+    level = F.coalesce(*[F.when((F.col(f"t{k}") >= wanted) & (F.col(f"m{k}") >= nearest), F.lit(k)) for k in range(LEVELS)], F.lit(LEVELS))  # else the whole tree
+    enough = counts.select("node", level.alias("level"))
     vectors = classes.filter("asked").select("node", "v")
-    asking = vectors.join(enough, "node", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"), "v")
+    asking = vectors.join(enough, "node").select("node", "level", "v")
     requests = asking.mapInArrow(lambda it: _requests(it, trees, first_tree, first_string, parts), "part long, node long, tree long, low long, high long")
     lists = index.groupBy("part").cogroup(requests.groupBy("part")).applyInArrow(_found, "node long, near array<long>")
     # 64 queries a group, and blocks of BLOCK vectors or PAIRS pairs
