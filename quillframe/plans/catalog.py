@@ -23,6 +23,10 @@ MODULES = (
     "quillframe.operators.decode",
     "quillframe.operators.reports",
     "quillframe.operators.refine",
+    "quillframe.operators.chains",
+    "quillframe.operators.agglomerate",
+    "quillframe.operators.pages",
+    "quillframe.operators.splits",
 )
 
 
