@@ -1,19 +1,20 @@
 """Secret scans: fixed patterns, and a randomness test battery that adds spans. DataFrame functions only.
 
 Candidates are runs of 20 or more symbols of the base-64 alphabets. The narrowest alphabet that
-holds a candidate is its encoding (hex, base-32, base-62, base-64, URL base-64; runs of decimal
-digits alone are numbers, not candidates). Three tests ask how far it is from ordinary text of
-that alphabet, towards random symbols:
+holds a candidate is its encoding (hex, base-32, lower- or upper-case alphanumerics, base-62, base-64 of either
+kind; runs of decimal digits alone are numbers, not candidates). Three tests ask how far it is from clean
+identifiers of that encoding (words put together in the usual styles), towards random symbols:
 
-* chi-squared statistic of uniformity over the alphabet, against the non-central chi-squared
-  distribution that the symbol coincidences of text give;
-* runs of lower case, upper case and digits (signs left out), against text that changes class at 12 % of places;
-* lag-1 serial correlation of symbol values, against the blocks of neighbouring values that
-  names and counters make.
+* the chi-squared statistic of uniformity over the alphabet, per symbol;
+* runs of lower case, upper case and digits: the share of places where the class changes (signs left out);
+* lag-1 serial correlation of symbol values.
 
-Their normal scores are combined (Stouffer), and a document's candidates are judged together:
-Benjamini-Hochberg at a false-discovery rate of RATE, with p-values weighted by candidate
-length, for longer runs carry more evidence. Judging is per document, so nothing is shuffled.
+Each statistic x of n symbols has a null mean a + b / n and deviation s / sqrt(n), fitted per encoding on 60,000 clean
+identifiers of 20 to 48 symbols, and a weight (the linear discriminant against random strings of the encoding, over
+the tests' joint covariances, scaled so that the weighted sum has deviation 1 on clean identifiers). The sum is the
+candidate's score. A document's candidates are judged together: Benjamini-Hochberg at a
+false-discovery rate of RATE, with p-values weighted by candidate length, for longer runs carry
+more evidence. Judging is per document, so nothing is shuffled.
 
 Base spans, leftmost and not overlapping per kind, always stay; found spans are added, as kind
 ``random``, where they overlap no base span.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex", "random")
-RATE = 1e-4
+RATE = 7.5e-3
 
 #: Fixed patterns. A shorter match of access or hex is dropped whole, so their least lengths can stand in the pattern.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -37,10 +38,15 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
 
-#: Of each encoding: its pattern, its number of symbols, and the chance that two symbols of text in it are equal.
-ENCODINGS = (("^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 0.10), ("^[A-Z2-7]+$", 32, 0.075), ("^[A-Za-z0-9]+$", 62, 0.066), ("", 64, 0.060))
+#: Of each encoding: its pattern and number of symbols; of each test (uniformity, runs, serial correlation) a, b and s; the tests' weights.
+ENCODINGS = (
+    ("^(?:[0-9a-f]+|[0-9A-F]+)$", 16, ((1.2146, 20.4351, 5.3083), (0.1075, -0.0990, 0.2317), (0.7416, -2.1871, 0.6646)), (-0.670, 0.447, -0.454)),
+    ("^[A-Z2-7]+$", 32, ((1.6204, 28.7379, 3.3642), (0.0432, -0.2623, 0.2839), (-0.0625, -1.0178, 0.9836)), (-0.797, 0.407, 0.119)),
+    ("^(?:[a-z0-9]+|[A-Z0-9]+)$", 36, ((1.6598, 31.9407, 4.1157), (0.0448, -0.0949, 0.2579), (0.2563, -3.2193, 1.7608)), (-0.827, 0.626, -0.545)),
+    ("^[A-Za-z0-9]+$", 62, ((2.7950, 57.6078, 6.1545), (0.2287, -0.4755, 0.1926), (0.2006, -3.0866, 1.7587)), (-0.736, 0.591, -0.177)),
+    ("", 64, ((3.6448, 52.7148, 6.5618), (0.0447, -0.0299, 0.4393), (0.0230, -1.6641, 1.3531)), (-0.321, 0.797, 0.038)),
+)
 ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"
-CHANGE, BLOCKS = 0.12, 0.35
 BLOCK = 128
 
 _SPAN = "array<struct<start:int,end:int,s:string>>"
@@ -70,8 +76,20 @@ def _placed(name: str) -> str:
     return f"CASE WHEN size({m}) = 0 THEN cast(array() AS {_SPAN}) ELSE {spans} END"
 
 
-def _by_encoding(k: int) -> str:
-    return "CASE " + " ".join(f"WHEN c.s RLIKE {_sql(e[0])} THEN {e[k]}D" for e in ENCODINGS[:-1]) + f" ELSE {ENCODINGS[-1][k]}D END"
+def _encoding() -> str:
+    """The place of the candidate c.s in ENCODINGS."""
+    return "CASE " + " ".join(f"WHEN c.s RLIKE {_sql(e[0])} THEN {k}" for k, e in enumerate(ENCODINGS[:-1])) + f" ELSE {len(ENCODINGS) - 1} END"
+
+
+def _of(values) -> str:
+    """The value of the candidate's encoding c.e."""
+    return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")[c.e]"
+
+
+def _score(tests: tuple[str, str, str]) -> str:
+    """The weighted sum of the standardised tests of a candidate c of c.n symbols."""
+    z = [f"{_of(e[3][k] for e in ENCODINGS)} * ({x} - {_of(e[2][k][0] for e in ENCODINGS)} - {_of(e[2][k][1] for e in ENCODINGS)} / c.n) * sqrt(c.n) / {_of(e[2][k][2] for e in ENCODINGS)}" for k, x in enumerate(tests)]
+    return " + ".join(z)
 
 
 def _tail(z: str) -> str:
@@ -98,22 +116,20 @@ def find(df: DataFrame, *, key: str = "doc_id", text: str = "text", rate: float
     # the battery, on the few rows with candidates
     t = t.selectExpr(
         "_key", "n_a", "n_k", "n_h", "base",
-        f"""transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', double(length(c.s)), 'k', {_by_encoding(1)}, 'same', {_by_encoding(2)},
+        f"""transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', double(length(c.s)), 'e', {_encoding()},
           'squares', aggregate(array_distinct(split(c.s, '')), 0D, (a, x) -> a + pow(length(c.s) - length(replace(c.s, x, '')), 2)),
           'runs', length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c.s, '[+/_-]+', ''), '[a-z]+', 'a'), '[A-Z]+', 'A'), '[0-9]+', '0')),
           'v', transform(split(c.s, ''), x -> double(instr('{ORDER}', x))))) AS c""",
     )
-    t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", "transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'k', c.k, 'same', c.same, 'squares', c.squares, 'runs', c.runs, 'v', c.v, 'm', aggregate(c.v, 0D, (a, x) -> a + x) / c.n)) AS c")
+    t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", "transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'e', c.e, 'squares', c.squares, 'runs', c.runs, 'v', c.v, 'm', aggregate(c.v, 0D, (a, x) -> a + x) / c.n)) AS c")
+    serial = """coalesce(try_divide(aggregate(zip_with(slice(c.v, 1, size(c.v) - 1), slice(c.v, 2, size(c.v) - 1), (x, y) -> (x - c.m) * (y - c.m)), 0D, (a, x) -> a + x),
+                 aggregate(c.v, 0D, (a, x) -> a + (x - c.m) * (x - c.m))), 1D)"""
+    tests = (f"(({_of(e[1] for e in ENCODINGS)} * c.squares / c.n - c.n) / c.n)", "(greatest(c.runs - 1, 0) / (c.n - 1))", serial)
     t = t.selectExpr(
         "_key", "n_a", "n_k", "n_h", "base",
-        f"""transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n,
-          'z1', ((c.k - 1 + c.n * (c.k * c.same - 1)) - (c.k * c.squares / c.n - c.n)) / sqrt(2 * (c.k - 1 + 2 * c.n * (c.k * c.same - 1))),
-          'z2', (c.runs - (1 + (c.n - 1) * {CHANGE}D)) / sqrt((c.n - 1) * {CHANGE}D * {1 - CHANGE}D),
-          'z3', ({BLOCKS}D - coalesce(try_divide(aggregate(zip_with(slice(c.v, 1, size(c.v) - 1), slice(c.v, 2, size(c.v) - 1), (x, y) -> (x - c.m) * (y - c.m)), 0D, (a, x) -> a + x),
-                 aggregate(c.v, 0D, (a, x) -> a + (x - c.m) * (x - c.m))), 1D)) * sqrt(c.n))) AS c""",
+        f"transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'z', {_score(tests)})) AS c",
         "aggregate(c, 0D, (a, x) -> a + x.n) / greatest(size(c), 1) AS mean",
     )
-    t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", "mean", "transform(c, c -> named_struct('start', c.start, 'end', c.end, 'n', c.n, 'z', (c.z1 + c.z2 + c.z3) / sqrt(3D))) AS c")
     t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", f"array_sort(transform(c, c -> named_struct('p', CASE WHEN c.z >= 0 THEN {_tail('c.z')} ELSE 1 - ({_tail('(-c.z)')}) END * mean / c.n, 'start', c.start, 'end', c.end))) AS c")
     t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", f"CASE WHEN size(c) = 0 THEN c ELSE slice(c, 1, aggregate(sequence(1, size(c)), 0, (a, k) -> CASE WHEN c[k - 1].p <= {rate!r}D * k / size(c) THEN k ELSE a END)) END AS c")
     t = t.selectExpr("_key", "n_a", "n_k", "n_h", "base", "array_sort(concat(base, transform(filter(c, x -> NOT exists(base, b -> x.start < b.end AND b.start < x.end)), x -> named_struct('start', x.start, 'kind', 3, 'end', x.end)))) AS spans")
