@@ -31,6 +31,9 @@ tiles that meet pairwise. Nothing is capped.
 
 ``similar`` asks for texts instead of fingerprints: the index only finds candidates, by a radius
 and trees that let few pairs go, and what it links loosely is compared shingle by shingle. A
+Components of more than SETS texts are first searched again by prints of FINER lanes, whose radius ends
+where similarities are some 0.69 instead of 0.55, so texts that only resemble each other (templates, chains of
+versions) fall apart before any of them is fetched in tiles. A
 link is then a Jaccard similarity (of the sets of shingles, as XXH64 values) of at least the
 threshold, whatever the fingerprints say, and components are those of such links.
 
@@ -48,7 +51,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh, partitions, strings, trimmed, written
@@ -61,8 +64,10 @@ FAN, NODE = (4, 16), (4096, 512)
 MEET = 0.998
 
 
+#: Lanes of the prints that large loose components are searched with again.
+FINER = 16
 #: Odd multipliers that make further lanes of a shingle's hash: a fixed sequence (multiples of the golden ratio's fraction).
-_ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(16)]
+_ODD = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(FINER + 1)]
 
 
 def _lane(h: np.ndarray, k: int) -> np.ndarray:
@@ -405,6 +410,17 @@ def _verified(it, similarity: float):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u), pa.int64()), pa.array(np.concatenate(v), pa.int64())], names=["u", "v"])
 
 
+def _finer(asked: DataFrame, df: DataFrame, similarity: float, words: int, key: str, text: str) -> DataFrame:
+    """node, set and component_id of the asked nodes, by FINER lanes: what 256 bits chain together at lower similarities falls apart."""
+    names = lane_names(FINER)
+    texts = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    rows = asked.select("node").distinct().hint("merge").join(texts, F.col("node") == F.col("_key")).select("node", "_text")
+    prints = set_prints(rows, words=words, lanes=FINER, key="node", text="_text")
+    prints = written(prints.join(asked, ["node", "set"], "left_semi").distinct(), "finer")
+    found = linked(prints.select("node", *names), radius=radius_for(similarity, FINER, 5), similarity=similarity, key="node")
+    return joined_back(prints, found, names, "rows").select("node", "set", "component_id")
+
+
 def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and component_id for every row: the smallest key that links of at least that Jaccard similarity of shingles reach."""
     spark = df.sparkSession
@@ -414,8 +430,14 @@ def similar(df: DataFrame, *, similarity: float, words: int, lanes: int, radius:
     sets = fps.groupBy(*names, "set").agg(F.min(key).alias("node"), F.count("*").alias("rows")).join(loose.drop("rows"), names)
     sets = written(sets.select(*names, "set", "component_id", F.col("node").cast("long").alias("node"), "rows"), "sets")
     known = sets.filter("node is not null")
-    many = known.groupBy("component_id").count().filter("count > 1").select("component_id")
-    asked = written(known.select("component_id", "node", "set").join(many, "component_id"), "asked")
+    size = written(known.groupBy("component_id").count().filter("count > 1"), "sizes")
+    large = size.filter(F.col("count") > SETS).select("component_id")
+    if not large.isEmpty():
+        again = _finer(known.join(large, "component_id").select("node", "set"), df, similarity, words, key, text)
+        sets = written(sets.withColumnRenamed("component_id", "loose").join(again, ["node", "set"], "left").select(*names, "set", F.coalesce("component_id", "loose").alias("component_id"), "node", "rows"), "sets")
+        known = sets.filter("node is not null")
+        size = known.groupBy("component_id").count().filter("count > 1")
+    asked = written(known.select("component_id", "node", "set").join(size.select("component_id"), "component_id"), "asked")
     asked = tiled(asked, ["component_id"], F.xxhash64("node", "set"), SETS)
     by = ["component_id", "lo", "hi"]
     asked = asked.select(*by, "node", "set")
@@ -445,13 +467,19 @@ SIMILAR = {"similarity": 0.8, "words": 5, "lanes": 4, "radius": radius_for(0.8,
 
 
 def one_each(df: DataFrame, *, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """df with one row of each component of similar texts: that of the smallest key. Rows without a key stay; of repeated rows of that key one stays."""
-    found = similar(df, key=key, text=text, **(how or SIMILAR))
-    id_, n, k = fresh(df.columns, "kept", "n", "k")
-    kept = found.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias(id_)).agg(F.count("*").alias(n))
-    kept = written(kept, "kept")
-    out = df.join(kept.hint("merge"), F.col(key) == F.col(id_))  # both sides grow with the input: never broadcast
-    if not kept.filter(F.col(n) > 1).isEmpty():
-        again = out.filter(F.col(n) > 1).withColumn(k, F.row_number().over(Window.partitionBy(key).orderBy(text)))
-        out = out.filter(F.col(n) == 1).select(*df.columns).union(again.filter(F.col(k) == 1).select(*df.columns))
-    return out.select(*df.columns).union(df.filter(F.col(key).isNull()))
+    """df with one row of each component of similar texts: that of the smallest key. Rows without a key stay.
+
+    Where rows share a key they get numbers of their own, in the order of key and text, so rows of one key
+    stay apart unless their texts are similar, and of repeated rows one stays.
+    """
+    id_, row_ = fresh(df.columns, "kept", "row")
+    rows = df.filter(F.col(key).isNotNull())
+    if rows.groupBy(key).count().filter("count > 1").isEmpty():
+        row_ = key
+    else:
+        rows = rows.repartitionByRange(partitions(df.sparkSession), key, text).sortWithinPartitions(key, text)
+        rows = written(rows.withColumn(row_, F.monotonically_increasing_id()), "numbered")
+    found = similar(rows, key=row_, text=text, **(how or SIMILAR))
+    kept = written(found.filter(F.col(row_) == F.col("component_id")).select(F.col(row_).alias(id_)), "kept")
+    out = rows.join(kept.hint("merge"), F.col(row_) == F.col(id_)).select(*df.columns)  # both sides grow with the input: never broadcast
+    return out.union(df.filter(F.col(key).isNull()))

@@ -247,3 +247,29 @@ def test_recall_at_the_similarity(spark):
 def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "a b", 1, 2, 3, 4), (2, "a b", 1, 2, 3, 4), (2, "a b", 1, 2, 3, 5), (3, "c", 1, 2, 3, 4)], "doc_id long, text string, _n int, _kept int, __kept int, _k int")
     assert sorted(tuple(x) for x in S.one_each(df).collect()) == [(1, "a b", 1, 2, 3, 4), (3, "c", 1, 2, 3, 4)]
+
+
+def test_rows_that_share_a_key_stay_apart(spark):
+    r = random.Random(15)
+    a, b = (" ".join("w%d" % r.randrange(10**6) for _ in range(60)) for _ in range(2))
+    of = lambda rows: sorted((x.doc_id, x.text) for x in S.one_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert of([(7, a), (7, b)]) == sorted([(7, a), (7, b)])
+    assert of([(3, a), (7, a), (7, b)]) == [(3, a), (7, b)]
+    assert of([(7, a), (7, b), (8, b), (7, a)]) == sorted([(7, a), (7, b)])
+
+
+def test_chains_under_the_similarity_are_not_fetched(spark, monkeypatch):
+    """Texts that each overlap the next by a similarity of 0.6 are one loose component, which finer prints take apart; a copy at its end is found."""
+    r = random.Random(16)
+    w = ["w%d" % r.randrange(10**7) for _ in range(75 * 404)]
+    rows = [(i, " ".join(w[75 * i : 75 * i + 304])) for i in range(400)]
+    assert 0.59 < _similarity(rows[0][1].split(), rows[1][1].split()) < 0.61
+    rows.append((1000, rows[399][1] + " more"))
+    held, real = {}, S.written
+    monkeypatch.setattr(S, "written", lambda df, name: held.setdefault(name, real(df, name)))
+    monkeypatch.setattr(S, "SETS", 10)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in S.similar(df, **S.SIMILAR).collect()}
+    assert got == {i: i for i in range(400)} | {1000: 399}
+    assert held["sizes"].agg({"count": "max"}).first()[0] > 20
+    assert held["asked"].count() < 60
