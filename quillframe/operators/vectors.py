@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.images import distance_transform, farthest
 from ..sources.tables import table
 
 SIDE, EVERY = 8, 50
+#: Images, and queries, that meet in a tile.
+TILE = 2000
 
 
 def images(vectors: DataFrame) -> DataFrame:
@@ -19,9 +25,18 @@ def images(vectors: DataFrame) -> DataFrame:
 
 
 def searched(img: DataFrame) -> DataFrame:
-    """Pairs of each image whose id EVERY divides with all others: the stated query set, in blocks."""
-    q = img.filter(F.col("id") % EVERY == 0).select(*[F.col(c).alias(f"q_{c}") for c in ("id", "v", "norm")])
-    return img.crossJoin(q).filter("id <> q_id")
+    """Pairs of each image whose id EVERY divides with all others: the stated query set, in tiles of TILE queries by TILE images.
+
+    Both sides are dealt into slabs by a hash of the id, and a slab of one meets each of the other by an
+    equi-join, so no side is broadcast, whatever its size.
+    """
+    q = img.filter(F.col("id") % EVERY == 0).select(*[F.col(c).alias(f"q_{c}") for c in img.columns if c != "label"])
+    n, m = (max(1, math.ceil(x.count() / TILE)) for x in (img, q))
+    slab = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    left = img.withColumn("_i", slab("id", n)).withColumn("_q", every(m))
+    right = q.withColumn("_q", slab("q_id", m)).withColumn("_i", every(n))
+    return left.join(right.hint("shuffle_hash"), ["_i", "_q"]).filter("id <> q_id").drop("_i", "_q")
 
 
 def euclid(pairs: DataFrame) -> DataFrame:
@@ -41,25 +56,30 @@ def nearest(found: DataFrame, most: int = 3) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def transformed(img: DataFrame) -> DataFrame:
+    """id, v (its on-pixels as 0 and 1) and dt (each pixel's distance to the nearest one): made once an image, before any pairs."""
+
+    def over(it):
+        for b in it:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                on = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIDE, SIDE) > 0
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), SIDE * SIDE).cast(pa.list_(kind)) for x, kind in ((on.astype(np.int8), pa.int8()), (distance_transform(on), pa.float64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], names=["id", "v", "dt"])
+
+    return img.select("id", "v").mapInArrow(over, "id long, v array<tinyint>, dt array<double>")
+
+
 def hausdorff(pairs: DataFrame, share: float = 1.0) -> DataFrame:
-    """The larger of the two directed distances between on-pixels: the ceil(n * share)-th smallest distance to the other's nearest; blank with blank 0, else infinite."""
-    r, c = np.divmod(np.arange(SIDE * SIDE), SIDE)
-    apart = np.hypot(r[:, None] - r[None], c[:, None] - c[None])
-
-    @F.pandas_udf("double")
-    def d(a: pd.Series, b: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(a, b, strict=True):
-            i, j = np.flatnonzero(np.asarray(x) > 0), np.flatnonzero(np.asarray(y) > 0)
-            if not len(i) or not len(j):
-                out.append(0.0 if len(i) == len(j) else float("inf"))
-                continue
-            m = apart[np.ix_(i, j)]
-            one, two = np.sort(m.min(1)), np.sort(m.min(0))
-            out.append(max(one[max(0, int(np.ceil(len(one) * share)) - 1)], two[max(0, int(np.ceil(len(two) * share)) - 1)]))
-        return pd.Series(out)
-
-    return pairs.select("q_id", "id", F.round(d("v", "q_v"), 9).alias("d"))
+    """The larger of the two directed distances between on-pixels: the ceil(n * share)-th smallest distance to the other's nearest; blank with blank 0, else infinite. pairs are of transformed images."""
+
+    def over(it):
+        for b in it:
+            v, dt, q_v, q_dt = (b.column(k).flatten().to_numpy(zero_copy_only=False).reshape(-1, SIDE, SIDE) for k in range(2, 6))
+            d = np.maximum(farthest(v > 0, q_dt, share), farthest(q_v > 0, dt, share))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(d, 9))], names=["q_id", "id", "d"])
+
+    return pairs.select("q_id", "id", "v", "dt", "q_v", "q_dt").mapInArrow(over, "q_id long, id long, d double")
 
 
 def label_means(img: DataFrame) -> DataFrame:
@@ -122,7 +142,7 @@ QUERIES = {
     "vec_euc_pairs": (lambda s, d: euclid(searched(_img(s, d))), f"{IMG} SELECT q_id, id, {EUC} AS d FROM pr"),
     "vec_ham_pairs": (lambda s, d: hamming(searched(_img(s, d))), f"{IMG} SELECT q_id, id, {HAM} AS d FROM pr"),
     "vec_match_candidates": (lambda s, d: nearest(euclid(searched(_img(s, d)))), f"{IMG}, e AS (SELECT q_id, id, {EUC} AS d FROM pr) SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY d, id))::INT AS rank FROM e QUALIFY rank <= 3"),
-    "vec_hausdorff": (lambda s, d: hausdorff(searched(_img(s, d))), f"{IMG}, px AS (SELECT id, v[i] AS x, ((i - 1) // 8) AS r, ((i - 1) % 8) AS c FROM nm, range(1, 65) t(i)), p AS (SELECT id, r, c FROM px WHERE x > 0), m AS (SELECT q.id AS q_id, q.r AS qr, q.c AS qc, a.id, a.r, a.c, sqrt(pow(q.r - a.r, 2) + pow(q.c - a.c, 2)) AS d FROM p q JOIN p a ON q.id % 50 = 0 AND a.id <> q.id), f AS (SELECT q_id, id, max(d) AS d FROM (SELECT q_id, id, r, c, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL), g AS (SELECT q_id, id, max(d) AS d FROM (SELECT q_id, id, qr, qc, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL) SELECT q_id, id, round(greatest(f.d, g.d), 9) AS d FROM f JOIN g USING (q_id, id)"),
+    "vec_hausdorff": (lambda s, d: hausdorff(searched(transformed(_img(s, d).filter(f"size(v) = {SIDE * SIDE}")))), f"{IMG}, px AS (SELECT id, v[i] AS x, ((i - 1) // 8) AS r, ((i - 1) % 8) AS c FROM nm, range(1, 65) t(i)), p AS (SELECT id, r, c FROM px WHERE x > 0), m AS (SELECT q.id AS q_id, q.r AS qr, q.c AS qc, a.id, a.r, a.c, sqrt(pow(q.r - a.r, 2) + pow(q.c - a.c, 2)) AS d FROM p q JOIN p a ON q.id % 50 = 0 AND a.id <> q.id), f AS (SELECT q_id, id, max(d) AS d FROM (SELECT q_id, id, r, c, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL), g AS (SELECT q_id, id, max(d) AS d FROM (SELECT q_id, id, qr, qc, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL) SELECT q_id, id, round(greatest(f.d, g.d), 9) AS d FROM f JOIN g USING (q_id, id)"),
     "vec_cluster_mean": (lambda s, d: label_means(_img(s, d)), "WITH x AS (SELECT label, embedding[i]::DOUBLE AS x, (i - 1)::INT AS \"at\" FROM embeddings, range(1, 65) t(i)) SELECT label, \"at\", round(avg(x), 9) AS mean, count(*)::BIGINT AS n FROM x GROUP BY ALL"),
     "vec_mode_member": (lambda s, d: mode_member(_img(s, d)), f"{IMG} SELECT label, id, round(norm, 9) AS norm FROM nm QUALIFY row_number() OVER (PARTITION BY label ORDER BY norm DESC, id) = 1"),
     "vec_density": (lambda s, d: density(_img(s, d)), f"{IMG}, m AS (SELECT id, list_sum(v) / 64 AS m FROM im) SELECT id, round(m, 9) AS density, round((m - avg(m) OVER ()) / stddev_samp(m) OVER (), 6) AS z FROM m"),
