@@ -7,17 +7,21 @@ loses or adds symbols, lines are aligned by edit distance.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import per_text
 from ..sources.tables import table
 from .components import CL, W, clusters, positions, words
-from .lexicon import word_counts
+from .lexicon import LONGEST, word_counts
 
-#: Prefix lengths of the length sweep.
-LENGTHS = (100, 200, 500, 1000, 2000, 5000, 20_000)
+#: Prefix lengths of the length sweep, a fixed grid: by 100 to 2000, by 1000 to 50,000, by 50,000 to a million.
+LENGTHS = (*range(100, 2001, 100), *range(3000, 50_001, 1000), *range(100_000, 1_000_001, 50_000))
 
 
 def kind(c: Column) -> Column:
@@ -61,14 +65,79 @@ def spread(acc: DataFrame) -> DataFrame:
     return acc.agg(F.count("*").alias("docs"), F.min("acc").alias("low"), F.round(F.percentile("acc", F.lit(0.5)), 6).alias("median"), F.round(F.avg("acc"), 6).alias("mean"), F.max("acc").alias("high"))
 
 
+def prefix_accuracy(text: str, symbols: list[str], lengths: tuple[int, ...]) -> tuple[list[int], list[float]]:
+    """(lengths, accuracies) of a text's prefixes, of those lengths that it has.
+
+    A prefix's clusters are its symbols without line ends by number, then first place; the k-th is read as symbols[k].
+    Counts are carried from one length to the next, so the text is passed once.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    seen, first, at = np.unique(code, return_index=True, return_inverse=True)
+    read = np.array([ord(c) for c in symbols[: len(seen)]], np.int64)
+    n, done, out = np.zeros(len(seen), np.int64), 0, ([], [])
+    for length in lengths:
+        if length > len(code):
+            break
+        n += np.bincount(at[done:length], minlength=len(seen))
+        done = length
+        some = np.flatnonzero((n > 0) & (seen != 10))
+        order = some[np.lexsort((first[some], -n[some]))][: len(read)]
+        total = int(n[order].sum())
+        if total:
+            out[0].append(length)
+            out[1].append(round(int(n[order][seen[order] == read[: len(order)]].sum()) / total, 9))
+    return out
+
+
 def by_length(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
-    """length, docs and mean accuracy of each prefix of the texts that are long enough."""
-    p = docs.select("doc_id", "lang", "text", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("length")).filter(F.length("text") >= F.col("length"))
-    p = p.select(F.struct("doc_id", "length").alias("doc_id"), "lang", F.expr("substring(text, 1, length)").alias("text"))
+    """length, docs and mean accuracy of each prefix of the texts that are long enough, read by the symbols of their language in order of frequency."""
     syms = rank_mapping(docs).groupBy("lang", "clust").agg(F.first("sym").alias("sym"))
-    m = clusters(p).join(p.select("doc_id", "lang"), "doc_id").join(syms, ["lang", "clust"])
-    a = accuracy(m, "doc_id")
-    return a.groupBy(F.col("doc_id.length").alias("length")).agg(F.count("*").alias("docs"), F.round(F.avg("acc"), 9).alias("acc"))
+    syms = syms.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("clust", "sym"))).alias("s")).select("lang", F.col("s.sym").alias("symbols"))  # an alphabet a language
+
+    def over(it):
+        for b in it:
+            found = [prefix_accuracy(t, s, lengths) for t, s in zip(b["text"], b["symbols"], strict=True)]
+            yield pd.DataFrame({"length": [x for f in found for x in f[0]], "acc": [x for f in found for x in f[1]]})
+
+    rows = docs.filter("text is not null").select("lang", "text").join(syms, "lang").select("text", "symbols").mapInPandas(over, "length int, acc double")
+    return rows.groupBy("length").agg(F.count("*").alias("docs"), F.round(F.avg("acc"), 9).alias("acc"))
+
+
+def prefix_places(text: str, symbol: str, lengths: tuple[int, ...], longest: int = LONGEST) -> tuple[np.ndarray, ...]:
+    """(length, len, pos, p) for a text's prefixes, of those lengths that it has: the share of each place among the symbol's places in words of that length, where it occurs.
+
+    A word that a prefix cuts counts by what is left of it. Whole words are counted once, and carried on.
+    """
+    words = [(m.start(), m.end()) for m in re.finditer("[^ \n]+", text)]
+    n, k, out = np.zeros((longest + 1, longest + 1), np.int64), 0, []
+    for length in lengths:
+        if length > len(text):
+            break
+        while k < len(words) and words[k][1] <= length:
+            a, b = words[k]
+            if b - a <= longest:
+                for i, c in enumerate(text[a:b], 1):
+                    n[b - a, i] += c == symbol
+            k += 1
+        now = n
+        if k < len(words) and words[k][0] < length and (size := length - words[k][0]) <= longest:
+            now = n.copy()
+            for i, c in enumerate(text[words[k][0] : length], 1):
+                now[size, i] += c == symbol
+        size, pos = np.nonzero(now)
+        p = now[size, pos] / now.sum(axis=1)[size]
+        out.append((np.full(len(size), length), size, pos, np.round(p, 12)))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else tuple(np.zeros(0, kind) for kind in (int, int, int, float))
+
+
+def variance_by_length(docs: DataFrame, symbol: str, lengths: tuple[int, ...] = LENGTHS) -> DataFrame:
+    """length, len, pos, docs, seen and var: over all texts that have a prefix length, the sample variance of a symbol's share of each place, 0 where it doesn't occur."""
+    fields = [("length", "int", pa.int32()), ("len", "int", pa.int32()), ("pos", "int", pa.int32()), ("p", "double", pa.float64())]
+    x = per_text(docs.filter("doc_id is not null"), "doc_id", "text", fields, lambda t: prefix_places(t, symbol, lengths))
+    grid = F.explode(F.expr(f"filter(array({', '.join(map(str, lengths))}), x -> x <= length(text))")).alias("length")
+    n = docs.filter("doc_id is not null").select(grid).groupBy("length").agg(F.count("*").alias("docs"))  # one row a length
+    g = x.groupBy("length", "len", "pos").agg(F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"), F.count("*").alias("seen")).join(F.broadcast(n), "length").filter("docs > 1")
+    return g.select("length", "len", "pos", "docs", "seen", F.round((F.col("q") - F.col("s") * F.col("s") / F.col("docs")) / (F.col("docs") - 1), 9).alias("var"))
 
 
 def misplaced(members: DataFrame, cluster: str, label: str) -> DataFrame:
@@ -144,5 +213,13 @@ QUERIES = {
     "doc_stats": (lambda s, d: spread(accuracy(rank_mapping(_docs(s, d)), "doc_id")), f"{MAP}, a AS (SELECT doc_id, {ACC} FROM mp GROUP BY 1) SELECT count(*)::BIGINT AS docs, min(acc) AS low, round(median(acc), 6) AS median, round(avg(acc), 6) AS mean, max(acc) AS high FROM a"),
     "accuracy_by_length": (lambda s, d: by_length(_docs(s, d)), f"{MAP}, pf AS (SELECT doc_id, lang, text, unnest([{', '.join(map(str, LENGTHS))}])::INT AS length FROM documents), pd AS (SELECT doc_id, lang, length, unnest(string_split(text[1:length], '')) AS c, generate_subscripts(string_split(text[1:length], ''), 1) AS i FROM pf WHERE length(text) >= length), pe AS (SELECT doc_id, lang, length, c, count(*) AS n, min(i) AS f FROM pd WHERE c <> chr(10) GROUP BY ALL), pg AS (SELECT *, row_number() OVER (PARTITION BY doc_id, length ORDER BY n DESC, f) AS clust FROM pe), sx AS (SELECT DISTINCT lang, clust, sym FROM mp), ph AS (SELECT doc_id, length, {ACC.replace('sum(n)::BIGINT AS total, ', '').split(', round')[0]}, round(coalesce(sum(n) FILTER (WHERE c = sym), 0) / sum(n), 9) AS acc FROM pg JOIN sx USING (lang, clust) GROUP BY ALL) SELECT length, count(*)::BIGINT AS docs, round(avg(acc), 9) AS acc FROM ph GROUP BY 1"),
     "cluster_purity": (lambda s, d: misplaced(_docs(s, d), "source", "lang"), "WITH g AS (SELECT source, lang, count(*)::BIGINT AS n FROM documents GROUP BY ALL), h AS (SELECT *, (sum(n) OVER (PARTITION BY source))::BIGINT AS total FROM g) SELECT source, total, lang AS modal, total - n AS misplaced FROM h QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1"),
+    "pos_variance_by_length": (
+        lambda s, d: variance_by_length(_docs(s, d), "e"),
+        f"""WITH g AS (SELECT unnest([{', '.join(map(str, LENGTHS))}])::INT AS length), pf AS (SELECT doc_id, g.length, text[1:g.length] AS t FROM documents JOIN g ON length(text) >= g.length),
+      n AS (SELECT length, count(*) AS docs FROM pf GROUP BY 1), wd AS (SELECT doc_id, length, unnest(regexp_extract_all(t, '[^ \n]+')) AS w FROM pf),
+      c AS (SELECT doc_id, length, length(w)::INT AS len, unnest(string_split(w, '')) AS c, generate_subscripts(string_split(w, ''), 1)::INT AS pos FROM wd WHERE length(w) <= 15 AND contains(w, 'e')),
+      k AS (SELECT doc_id, length, len, pos, count(*) AS k FROM c WHERE c = 'e' GROUP BY ALL), p AS (SELECT *, round(k / sum(k) OVER (PARTITION BY doc_id, length, len), 12) AS p FROM k)
+      SELECT length, len, pos, docs, count(*)::BIGINT AS seen, round((sum(p * p) - sum(p) * sum(p) / docs) / (docs - 1), 9) AS var FROM p JOIN n USING (length) WHERE docs > 1 GROUP BY length, len, pos, docs""",
+    ),
     "pos_variance": (lambda s, d: position_variance(_docs(s, d)), f"WITH {W}, x AS (SELECT doc_id, length(word)::INT AS len, unnest(string_split(word, '')) AS c, generate_subscripts(string_split(word, ''), 1)::INT AS pos FROM w1 WHERE length(word) <= 15), q AS (SELECT doc_id, c, len, pos, count(*) AS n FROM x GROUP BY ALL), r AS (SELECT *, round(n / sum(n) OVER (PARTITION BY doc_id, c, len), 12) AS p FROM q), z AS (SELECT count(*) AS docs FROM documents) SELECT c, len, pos, count(*)::BIGINT AS seen, round((sum(p * p) - sum(p) * sum(p) / any_value(docs)) / (any_value(docs) - 1), 9) AS var FROM r, z GROUP BY c, len, pos"),
 }

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,27 +26,23 @@ def alphabet(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("pos") + 1).alias("sym_id"), F.col("col").alias("val"))
 
 
-def running_before(df: DataFrame, key: str, amount: str, to: str, width: int = 1024) -> DataFrame:
-    """df with the sum of amount over all rows before this one in order of an integer key (unique).
+def running_before(df: DataFrame, key: str, amount: str, to: str) -> DataFrame:
+    """df with the sum of amount over all rows before this one in order of key (unique, of any type that sorts).
 
-    Running sums on three levels: inside ranges of width keys, over the ranges of width ranges,
-    and over those, of which a thousand billion keys make a million. No task sees all rows.
+    Keys are dealt into ranges of about equal numbers of rows, which are written with their number, so gaps
+    between keys don't matter: sums inside a range, and a running sum over the ranges, one row each.
     """
-    d = df.withColumn("_part", F.floor(F.col(key) / width)).withColumn("_top", F.floor(F.col(key) / width**2))
-    parts = d.groupBy("_top", "_part").agg(F.sum(amount).alias("_m"))
-    tops = parts.groupBy("_top").agg(F.sum("_m").alias("_m"))
+    d = stored(df.repartitionByRange(key).withColumn("_part", F.spark_partition_id()), "ranges")
     before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    tops = tops.select("_top", before("_m", Window.orderBy("_top")).alias("_t"))
-    parts = parts.select("_top", "_part", before("_m", Window.partitionBy("_top").orderBy("_part")).alias("_p")).join(tops, "_top").select("_part", (F.col("_t") + F.col("_p")).alias("_b"))
-    inner = before(amount, Window.partitionBy("_part").orderBy(key))
-    return d.join(parts, "_part").withColumn(to, F.col("_b") + inner).drop("_part", "_top", "_b")
+    parts = d.groupBy("_part").agg(F.sum(amount).alias("_m")).select("_part", before("_m", Window.orderBy("_part")).alias("_b"))
+    return d.join(F.broadcast(parts), "_part").withColumn(to, F.col("_b") + before(amount, Window.partitionBy("_part").orderBy(key))).drop("_part", "_b")
 
 
 def capped(docs: DataFrame, cap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts in order of key up to cap symbols in all: the last one is cut, those behind get none."""
-    d = running_before(docs.select(key, text, F.length(text).cast("long").alias("n")), key, "n", "before")
-    d = d.withColumn("left", F.greatest(F.lit(0), cap - F.col("before")))
-    return d.select(key, F.expr(f"substring({text}, 1, int(least(left, n)))").alias("text"), F.least("left", "n").alias("kept"))
+    d = running_before(docs.select(key, F.length(text).cast("long").alias("n")), key, "n", "before")
+    d = d.withColumn("left", F.greatest(F.lit(0), cap - F.col("before"))).select(key, "left", "n")
+    return docs.select(key, text).join(d, key).select(key, F.expr(f"substring({text}, 1, int(least(left, n)))").alias("text"), F.least("left", "n").alias("kept"))
 
 
 def regions(lines: DataFrame, classes: list[str], page: str = "page", text: str = "text") -> DataFrame:
