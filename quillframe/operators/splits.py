@@ -50,6 +50,36 @@ def grown(split: DataFrame, known: DataFrame) -> DataFrame:
     return known.join(parts, "shape").select("shape", F.col("n").alias("own"), "taken")
 
 
+def inner_shapes(shapes: DataFrame, least: int) -> DataFrame:
+    """shape, part and at (from 1) for shapes that hold another one of `least` columns or more: the one with the most occurrences (equal ones: the least), at its first place.
+
+    A shape's windows, of the lengths that shapes have, meet the shapes by equality.
+    """
+    lengths = shapes.select(F.length("shape").alias("w")).filter(F.col("w") >= least).distinct().agg(F.array_sort(F.collect_list("w")).alias("lengths"))  # one row
+    x = shapes.filter(F.length("shape") > least).select("shape").crossJoin(F.broadcast(lengths))
+    x = x.select("shape", F.explode(F.expr("filter(lengths, w -> w < length(shape))")).alias("w"))
+    x = x.select("shape", "w", F.explode(F.expr("sequence(1, length(shape) - w + 1)")).alias("at")).withColumn("part", F.expr("substring(shape, at, w)"))
+    found = x.join(shapes.select(F.col("shape").alias("part"), F.col("n").alias("often")), "part")
+    best = found.groupBy("shape").agg(F.min(F.struct(-F.col("often"), F.col("part"), F.col("at"))).alias("b"))
+    return best.select("shape", "b.part", "b.at")
+
+
+def refine_inner(shapes: DataFrame, least: int = 4, edge: int = 1) -> DataFrame:
+    """shape and n once no shape holds another: in each round every shape that holds one (see inner_shapes) becomes that one and what is left and right of it, with its occurrences.
+
+    What is left over of `edge` columns or fewer counts as covered by the match. All shapes of a round are judged
+    by the same table; rounds are written tables, and shapes only get shorter, so rounds end.
+    """
+    now = stored(shapes.select("shape", "n"), "shapes")
+    while True:
+        hit = stored(inner_shapes(now, least), "inner")
+        if hit.isEmpty():
+            return now
+        x = now.join(hit, "shape", "left")
+        parts = F.when(F.col("part").isNull(), F.array("shape")).otherwise(F.filter(F.array("part", F.expr("substring(shape, 1, at - 1)"), F.expr("substring(shape, at + length(part))")), lambda p: (p == F.col("part")) | (F.length(p) > edge)))
+        now = stored(x.select("n", F.explode(parts).alias("shape")).groupBy("shape").agg(F.sum("n").alias("n")), "shapes")
+
+
 # -- queries -----------------------------------------------------------------------------
 
 
@@ -78,6 +108,7 @@ _SQL = r"""WITH RECURSIVE x AS (SELECT unnest(regexp_split_to_array(text, '[ \t\
       e AS (SELECT o.shape, min({'cuts': list_append(cuts, 0), 'pieces': list_append(pieces, rest)}) AS best FROM o JOIN k ON k.shape = o.rest GROUP BY o.shape)"""
 
 QUERIES = {
+    "subimage_refine": (lambda s, d: refine_inner(word_counts(table(s, d, "documents")).select(F.col("word").alias("shape"), "n")), None),
     "split_refine": (_split, f"{_SQL} SELECT e.shape, q.n, array_to_string(best.pieces, '+') AS pieces FROM e JOIN q USING (shape)"),
     "split_counts": (_grown, f"{_SQL}, p AS (SELECT unnest(best.pieces) AS shape, q.n FROM e JOIN q USING (shape)) SELECT p.shape, k.n AS own, sum(p.n)::BIGINT AS taken FROM p JOIN k ON k.shape = p.shape GROUP BY ALL"),
 }

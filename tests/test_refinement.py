@@ -151,3 +151,27 @@ def test_splits_against_plain_recursion(spark, cuts):
     shapes = sorted({word(1, 14) for _ in range(400)} | {"".join(r.choice(known) for _ in range(3)) for _ in range(50)})
     got = splits.split_shapes(spark.createDataFrame([(s, 2) for s in shapes], "shape string, n long"), spark.createDataFrame([(k,) for k in known], "shape string"), 2, cuts)
     assert {x.shape: x.pieces for x in got.collect()} == {s: plain_split(s, set(known), 2, cuts) for s in shapes}
+
+
+@pytest.mark.parametrize("edge", [0, 1, 2])
+def test_inner_shapes_are_split_until_none_is_left(spark, edge):
+    r = np.random.default_rng(6)
+    word = lambda a, b: "".join(r.choice(list("abcd")) for _ in range(r.integers(a, b)))
+    counts = {word(2, 9): int(r.integers(1, 50)) for _ in range(300)}
+    now = dict(counts)
+    while True:
+        new, split = {}, False
+        for s, n in now.items():
+            inside = [(-now[s[i : i + w]], s[i : i + w], i) for w in range(3, len(s)) for i in range(len(s) - w + 1) if s[i : i + w] in now]
+            parts = [s]
+            if inside:
+                _, p, i = min(inside)
+                parts, split = [p] + [x for x in (s[:i], s[i + len(p) :]) if len(x) > edge], True
+            for x in parts:
+                new[x] = new.get(x, 0) + n
+        now = new
+        if not split:
+            break
+    got = splits.refine_inner(spark.createDataFrame(list(counts.items()), "shape string, n long"), 3, edge)
+    assert {x.shape: x.n for x in got.collect()} == now and len(now) < len(counts)
+    assert splits.refine_inner(spark.createDataFrame([], "shape string, n long")).count() == 0
