@@ -61,6 +61,19 @@ def word_accuracy(docs: DataFrame, mapping: DataFrame, valid: DataFrame | None =
     return g.select("doc_id", "total", "correct", F.round(F.col("correct") / F.col("total"), 9).alias("acc"))
 
 
+def valid_cluster_accuracy(docs: DataFrame, mapping: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """doc_id, c, seen, correct: over the occurrences in a text's valid words, how often each symbol's cluster is read right.
+
+    A word is valid if the lexicon has it, or if all of its clusters occur in words of the same text that the lexicon has.
+    """
+    w = words(docs)
+    known = w.join(lexicon.select("word"), "word", "left_semi")
+    good = known.select("doc_id", F.explode(F.array_distinct(F.split("word", ""))).alias("c")).groupBy("doc_id").agg(F.collect_set("c").alias("good"))  # an alphabet a text
+    valid = w.join(good, "doc_id").filter(F.size(F.array_except(F.split("word", ""), F.col("good"))) == 0)
+    seen = valid.select("doc_id", "n", F.explode(F.split("word", "")).alias("c")).groupBy("doc_id", "c").agg(F.sum("n").alias("seen"))
+    return seen.join(mapping.select("doc_id", "c", "sym"), ["doc_id", "c"]).select("doc_id", "c", "seen", F.when(F.col("c") == F.col("sym"), F.col("seen")).otherwise(0).cast("long").alias("correct"))
+
+
 def spread(acc: DataFrame) -> DataFrame:
     return acc.agg(F.count("*").alias("docs"), F.min("acc").alias("low"), F.round(F.percentile("acc", F.lit(0.5)), 6).alias("median"), F.round(F.avg("acc"), 6).alias("mean"), F.max("acc").alias("high"))
 
@@ -208,6 +221,14 @@ QUERIES = {
     "mapping_inverse": (lambda s, d: rank_mapping(_docs(s, d)).groupBy("lang", "sym").agg(F.countDistinct("c").alias("truths"), F.count("*").alias("clusters")), f"{MAP} SELECT lang, sym, count(DISTINCT c)::BIGINT AS truths, count(*)::BIGINT AS clusters FROM mp GROUP BY ALL"),
     "decode_text": (lambda s, d: decoded(_docs(s, d), rank_mapping(_docs(s, d))), f"{MAP} SELECT doc_id, replace(string_agg(coalesce(sym, c0.c), '' ORDER BY i), '_', ' ') AS decoded FROM c0 LEFT JOIN mp USING (doc_id, c) GROUP BY doc_id"),
     "word_accuracy": (lambda s, d: word_accuracy(_docs(s, d), rank_mapping(_docs(s, d))), f"{WACC} {WSEL} GROUP BY 1"),
+    "valid_cluster_accuracy": (
+        lambda s, d: valid_cluster_accuracy(_docs(s, d), rank_mapping(_docs(s, d)), word_counts(table(s, d, "conversations"))),
+        MAP + r""", vw AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS word FROM conversations),
+      w0 AS (SELECT doc_id, unnest(list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '')) AS word FROM documents), w AS (SELECT doc_id, word, count(*) AS n FROM w0 GROUP BY ALL),
+      gd AS (SELECT DISTINCT doc_id, unnest(string_split(word, '')) AS c FROM w WHERE word IN (SELECT word FROM vw WHERE word <> '')), ga AS (SELECT doc_id, list(c) AS good FROM gd GROUP BY 1),
+      ch AS (SELECT w.doc_id, n, unnest(string_split(word, '')) AS c FROM w JOIN ga USING (doc_id) WHERE list_has_all(good, string_split(word, ''))), sn AS (SELECT doc_id, c, sum(n)::BIGINT AS seen FROM ch GROUP BY ALL)
+      SELECT sn.doc_id, sn.c, seen, CASE WHEN mp.c = mp.sym THEN seen ELSE 0 END::BIGINT AS correct FROM sn JOIN mp ON mp.doc_id = sn.doc_id AND mp.c = sn.c""",
+    ),
     "valid_word_accuracy": (lambda s, d: word_accuracy(_docs(s, d), rank_mapping(_docs(s, d)), word_counts(table(s, d, "conversations"))), WACC + r", vw AS (SELECT DISTINCT unnest(string_split_regex(text, '[ \t\n\r\f]+')) AS word FROM conversations) " + WSEL + " WHERE word IN (SELECT word FROM vw WHERE word <> '') GROUP BY 1"),
     "aligned_accuracy": (lambda s, d: aligned_accuracy(_docs(s, d).select("doc_id", "text").join(squeezed(decoded(_docs(s, d), rank_mapping(_docs(s, d)))), "doc_id")), None),
     "doc_stats": (lambda s, d: spread(accuracy(rank_mapping(_docs(s, d)), "doc_id")), f"{MAP}, a AS (SELECT doc_id, {ACC} FROM mp GROUP BY 1) SELECT count(*)::BIGINT AS docs, min(acc) AS low, round(median(acc), 6) AS median, round(avg(acc), 6) AS mean, max(acc) AS high FROM a"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..sources.tables import accuracy_report, running_before, squeezed_lines, table
-from .evaluate import ACC, KIND, MAP, accuracy, kind, rank_mapping
+from ..sources.tables import accuracy_report, running_before, squeezed_lines, table, word_report
+from .evaluate import ACC, KIND, MAP, WACC, accuracy, kind, rank_mapping, word_accuracy
 from .lexicon import symbol_counts
 from .matching import VOTE, _lex, _sig, _tok, vote_ranking, votes, words_by
 from .models import CLASS
@@ -62,6 +62,29 @@ def report_text(reports: DataFrame, by: str, name: str = "kind") -> DataFrame:
     return reports.groupBy(by).agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
 
 
+def pair_report(pairs: DataFrame, by: str, truth: str = "c", read: str = "sym", fold: bool = False) -> DataFrame:
+    """by and text: a report of the symbols of n occurrences each, read as another: totals, errors and their share, then a line for each confusion (most errors first, then by symbol). fold: case is ignored."""
+    t, r = (F.lower(c) if fold else F.col(c) for c in (truth, read))
+    x = pairs.select(by, t.alias("t"), r.alias("r"), "n").groupBy(by, "t", "r").agg(F.sum("n").alias("n"))
+    wrong = F.when(F.col("t") != F.col("r"), F.col("n"))
+    line = F.when(F.col("t") != F.col("r"), F.struct((-F.col("n")).alias("n"), F.col("t"), F.col("r")))
+    g = x.groupBy(by).agg(F.sum("n").alias("total"), F.coalesce(F.sum(wrong), F.lit(0)).alias("errors"), F.array_sort(F.collect_list(line)).alias("lines"))  # pairs of symbols
+    head = F.format_string("%d characters\n%d errors\n%.2f%% accuracy", F.col("total"), F.col("errors"), 100.0 * (F.col("total") - F.col("errors")) / F.col("total"))
+    rows = F.transform("lines", lambda v: F.concat((-v["n"]).cast("string"), F.lit(" {"), v["t"], F.lit("}-{"), v["r"], F.lit("}")))
+    return g.select(by, F.array_join(F.concat(F.array(head), rows), "\n").alias("text"))
+
+
+def cluster_report(mapping: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by and text: a line for each cluster in order: its number, members, truth, reading and whether they agree."""
+    line = F.concat_ws(" ", F.col("clust").cast("string"), F.col("n").cast("string"), "c", "sym", F.when(F.col("c") == F.col("sym"), "right").otherwise("wrong"))
+    return mapping.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("clust", line.alias("line")))), lambda v: v["line"]), "\n").alias("text"))  # an alphabet a text
+
+
+def word_report_text(words: DataFrame, by: str = "doc_id") -> DataFrame:
+    """by and text of word accuracies (total, correct): two heading lines, then words and misrecognized words, which the word report scan reads."""
+    return words.select(by, F.format_string("Word Accuracy Report\n--------------------\n%8d   Words\n%8d   Misrecognized", F.col("total"), F.col("total") - F.col("correct")).alias("text"))
+
+
 def reading_order(boxes: DataFrame, key: str = "doc_id") -> DataFrame:
     """boxes with seq: from 1 along each text's lines, left to right."""
     return boxes.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy("line", "l", "word")))
@@ -139,6 +162,20 @@ def _acc(sym: str) -> str:
 CLASSED = VOTE.replace("v AS (SELECT lang, vf.c", "v0 AS (SELECT lang, vf.c").replace(", k AS", "").replace("k AS (SELECT *,", f"v AS (SELECT * FROM v0 WHERE {CLASS} = {CLASS.replace(', c)', ', letter)')}), k AS (SELECT *,")
 
 QUERIES = {
+    "confusion_report": (
+        lambda s, d: pair_report(_map(s, d), "lang", fold=True),
+        f"""{MAP}, x AS (SELECT lang, lower(c) AS t, lower(sym) AS r, sum(n) AS n FROM mp GROUP BY ALL),
+      g AS (SELECT lang, sum(n) AS total, coalesce(sum(n) FILTER (WHERE t <> r), 0) AS errors, string_agg(n || ' {{' || t || '}}-{{' || r || '}}', chr(10) ORDER BY n DESC, t, r) FILTER (WHERE t <> r) AS rows FROM x GROUP BY 1)
+      SELECT lang, concat_ws(chr(10), total || ' characters', errors || ' errors', printf('%.2f', (100.0 * (total - errors) / total)::DOUBLE) || '% accuracy', rows) AS text FROM g""",
+    ),
+    "cluster_report": (
+        lambda s, d: cluster_report(_map(s, d)),
+        f"{MAP} SELECT doc_id, string_agg(clust || ' ' || n || ' ' || c || ' ' || sym || ' ' || CASE WHEN c = sym THEN 'right' ELSE 'wrong' END, chr(10) ORDER BY clust) AS text FROM mp GROUP BY 1",
+    ),
+    "word_report_round_trip": (
+        lambda s, d: word_report(word_report_text(word_accuracy(_docs(s, d), _map(s, d)))),
+        f"{WACC} SELECT doc_id, count(*)::BIGINT AS total, (count(*) FILTER (WHERE NOT ok))::BIGINT AS wrong FROM wa GROUP BY 1",
+    ),
     "included_accuracy": (lambda s, d: accuracy(included(_map(s, d), 0.01), "doc_id"), f"{MAP}, i AS (SELECT doc_id, c, n, CASE WHEN n >= 0.01::DOUBLE * sum(n) OVER (PARTITION BY doc_id) THEN sym ELSE '~' END AS sym FROM mp) SELECT doc_id, {ACC} FROM i GROUP BY 1"),
     "included_count_accuracy": (lambda s, d: accuracy(included(_map(s, d), 5), "lang"), f"{MAP} SELECT lang, {_acc('CASE WHEN n >= 5 THEN sym ELSE chr(126) END')} FROM mp GROUP BY 1"),
     "best_fraction": (lambda s, d: best_fraction(accuracy(_map(s, d), "lang", "doc_id"), "lang", "acc", 0.3), f"{MAP}, a AS (SELECT lang, doc_id, {ACC} FROM mp GROUP BY ALL), b AS (SELECT *, (row_number() OVER (PARTITION BY lang ORDER BY acc DESC, doc_id))::INT AS place, count(*) OVER (PARTITION BY lang) AS k FROM a) SELECT lang, doc_id, total, correct, acc, place FROM b WHERE place <= floor(0.3::DOUBLE * k)"),
