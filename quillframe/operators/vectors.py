@@ -24,19 +24,24 @@ def images(vectors: DataFrame) -> DataFrame:
     return v.withColumn("norm", F.expr("aggregate(v, 0D, (a, x) -> a + x * x)"))
 
 
-def searched(img: DataFrame) -> DataFrame:
-    """Pairs of each image whose id EVERY divides with all others: the stated query set, in tiles of TILE queries by TILE images.
+def tiles(img: DataFrame, q: DataFrame) -> DataFrame:
+    """Each row of img beside each of q (an `id` in both; q's columns begin with q_), in tiles of TILE by TILE rows.
 
     Both sides are dealt into slabs by a hash of the id, and a slab of one meets each of the other by an
     equi-join, so no side is broadcast, whatever its size.
     """
-    q = img.filter(F.col("id") % EVERY == 0).select(*[F.col(c).alias(f"q_{c}") for c in img.columns if c != "label"])
+    q = q.select(*[F.col(c).alias(f"q_{c}") for c in q.columns])
     n, m = (max(1, math.ceil(x.count() / TILE)) for x in (img, q))
     slab = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k))
     every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
     left = img.withColumn("_i", slab("id", n)).withColumn("_q", every(m))
     right = q.withColumn("_q", slab("q_id", m)).withColumn("_i", every(n))
-    return left.join(right.hint("shuffle_hash"), ["_i", "_q"]).filter("id <> q_id").drop("_i", "_q")
+    return left.join(right.hint("shuffle_hash"), ["_i", "_q"]).drop("_i", "_q")
+
+
+def searched(img: DataFrame) -> DataFrame:
+    """Pairs of each image whose id EVERY divides with all others: the stated query set."""
+    return tiles(img, img.filter(F.col("id") % EVERY == 0).select(*[c for c in img.columns if c != "label"])).filter("id <> q_id")
 
 
 def euclid(pairs: DataFrame) -> DataFrame:
@@ -82,6 +87,13 @@ def hausdorff(pairs: DataFrame, share: float = 1.0) -> DataFrame:
     return pairs.select("q_id", "id", "v", "dt", "q_v", "q_dt").mapInArrow(over, "q_id long, id long, d double")
 
 
+def short_lists(img: DataFrame, templates: DataFrame, least: int = 3, within: float = 1.5) -> DataFrame:
+    """id, rank, label and d: the templates (id, v) that an image may be, by Hausdorff distance: all within that much, and the `least` nearest in any case; ties by label."""
+    found = hausdorff(tiles(transformed(img), transformed(templates)))
+    w = Window.partitionBy("id").orderBy("d", "q_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter((F.col("rank") <= least) | (F.col("d") <= within)).select("id", "rank", F.col("q_id").alias("label"), "d")
+
+
 def label_means(img: DataFrame) -> DataFrame:
     """label, at, mean, n: the mean image of each group, pixel by pixel."""
     return img.select("label", F.posexplode("v").alias("at", "x")).groupBy("label", "at").agg(F.round(F.avg("x"), 9).alias("mean"), F.count("*").alias("n"))
@@ -133,12 +145,30 @@ def match_refine(img: DataFrame, threshold: float = 0.019) -> DataFrame:
     return img.select("id", "label", "v").groupBy("label").applyInPandas(merge, "id long, label int, clust long")
 
 
+def _templates(img: DataFrame) -> DataFrame:
+    """Each label's mean image; blank where a pixel's mean is 0.02 or less."""
+    m = label_means(img).withColumn("x", F.when(F.col("mean") > 0.02, F.col("mean")).otherwise(0.0))
+    return m.groupBy(F.col("label").cast("long").alias("id")).agg(F.expr("transform(array_sort(collect_list(struct(at, x))), p -> p.x)").alias("v"))
+
+
+def _short(s, d) -> DataFrame:
+    img = _img(s, d).filter(f"size(v) = {SIDE * SIDE}")
+    return short_lists(img, _templates(img))
+
+
 _img = lambda s, d: images(table(s, d, "embeddings"))
 IMG = "WITH im AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings), nm AS (SELECT *, list_sum(list_transform(v, lambda x: x * x)) AS norm FROM im), pr AS (SELECT a.id, a.v, a.norm, q.id AS q_id, q.v AS q_v, q.norm AS q_norm FROM nm a JOIN nm q ON q.id % 50 = 0 AND a.id <> q.id)"
 EUC = "round(sqrt(greatest(0, norm + q_norm - 2 * list_dot_product(v, q_v))) / 64, 9)"
 HAM = "round(len(list_filter(list_zip(v, q_v), lambda z: (z[1] > 0) <> (z[2] > 0))) / 64, 9)"
 
 QUERIES = {
+    "template_short_list": (
+        _short,
+        f"""{IMG}, px AS (SELECT id, label, i, v[i] AS x, (i - 1) // 8 AS r, (i - 1) % 8 AS c FROM im, range(1, 65) t(i)), p AS (SELECT id, r, c FROM px WHERE x > 0), tp AS (SELECT label, r, c FROM px GROUP BY ALL HAVING round(avg(x), 9) > 0.02),
+      m AS (SELECT t.label, t.r AS tr, t.c AS tc, p.id, p.r, p.c, sqrt(pow(t.r - p.r, 2) + pow(t.c - p.c, 2)) AS d FROM tp t, p), f AS (SELECT label, id, max(d) AS d FROM (SELECT label, id, r, c, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL),
+      g AS (SELECT label, id, max(d) AS d FROM (SELECT label, id, tr, tc, min(d) AS d FROM m GROUP BY ALL) GROUP BY ALL), h AS (SELECT label, id, round(greatest(f.d, g.d), 9) AS d FROM f JOIN g USING (label, id))
+      SELECT id, (row_number() OVER (PARTITION BY id ORDER BY d, label))::INT AS rank, label::BIGINT AS label, d FROM h QUALIFY rank <= 3 OR d <= 1.5""",
+    ),
     "vec_euc_pairs": (lambda s, d: euclid(searched(_img(s, d))), f"{IMG} SELECT q_id, id, {EUC} AS d FROM pr"),
     "vec_ham_pairs": (lambda s, d: hamming(searched(_img(s, d))), f"{IMG} SELECT q_id, id, {HAM} AS d FROM pr"),
     "vec_match_candidates": (lambda s, d: nearest(euclid(searched(_img(s, d)))), f"{IMG}, e AS (SELECT q_id, id, {EUC} AS d FROM pr) SELECT *, (row_number() OVER (PARTITION BY q_id ORDER BY d, id))::INT AS rank FROM e QUALIFY rank <= 3"),
