@@ -117,23 +117,57 @@ def word_boxes(text: str) -> np.ndarray:
     return np.array(at, np.int64).reshape(-1, 4)
 
 
+def _frames(box: np.ndarray, line: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """The frame of each line, in order of their numbers."""
+    if not len(box):
+        return []
+    at = np.argsort(line, kind="stable")
+    cut = np.flatnonzero(np.diff(line[at], prepend=-1))
+    return list(zip(*(np.minimum.reduceat(box[at, k], cut).tolist() for k in (0, 1)), *(np.maximum.reduceat(box[at, k], cut).tolist() for k in (2, 3)), strict=True))
+
+
 def found_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and, for each line found on a page, its frame l, t, r, b and its number of boxes."""
 
     def made(t: str) -> tuple:
         box = word_boxes(t)
         line = page_lines(box)
-        at = np.argsort(line, kind="stable")
-        cut = np.flatnonzero(np.diff(line[at], prepend=-1))
-        if not len(box):
-            return tuple(np.zeros(0, np.int64) for _ in range(5))
-        low = [np.minimum.reduceat(box[at, k], cut) for k in (0, 1)]
-        return (*low, *(np.maximum.reduceat(box[at, k], cut) for k in (2, 3)), np.diff(np.append(cut, len(box))))
+        return (*([f[k] for f in _frames(box, line)] for k in range(4)), np.bincount(line) if len(box) else [])
 
     kinds = [(c, "int", pa.int32()) for c in ("l", "t", "r", "b")] + [("n", "long", pa.int64())]
     return per_text(docs, key, text, kinds, made)
 
 
+def cut_image(rows: list[str], frame: tuple[int, int, int, int]) -> tuple[str, str]:
+    """(image, truth) of a frame l, t, r, b of a page: its pixels, # for ink and . for none, a row a line, and the symbols there.
+
+    Words that go on beyond the frame's sides are another label's: they are dropped from both.
+    """
+    l, t, r, b = frame  # noqa: E741
+    image, truth = [], []
+    for row in rows[t : b + 1]:
+        ink = [False] * (r - l + 1)
+        for m in _INK.finditer(row):
+            if m.start() >= l and m.end() - 1 <= r:
+                ink[m.start() - l : m.end() - l] = [True] * (m.end() - m.start())
+        image.append("".join(".#"[x] for x in ink))
+        truth.append("".join(c if x else " " for c, x in zip(row[l : r + 1].ljust(r - l + 1), ink, strict=True)))
+    return "\n".join(image), "\n".join(truth)
+
+
+def line_images(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, l, t, r, b, image and truth of each line found on a page: training data of lines. A page's rows are cut once for all of them."""
+
+    def made(t: str) -> tuple:
+        box = word_boxes(t)
+        rows, line = t.split("\n"), page_lines(box)
+        frames = _frames(box, line)
+        cut = [cut_image(rows, f) for f in frames]
+        return (*([f[k] for f in frames] for k in range(4)), [c[0] for c in cut], [c[1] for c in cut])
+
+    return per_text(docs, key, text, [(c, "int", pa.int32()) for c in ("l", "t", "r", "b")] + [("image", "string", pa.string()), ("truth", "string", pa.string())], made)
+
+
 def side_gaps(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and how many of a page's words have a nearest box on each side, with the summed gaps above and below."""
 
@@ -149,6 +183,11 @@ _docs = lambda s, d: table(s, d, "documents")
 
 QUERIES = {
     "page_lines": (lambda s, d: found_lines(_docs(s, d)), f"WITH {WD} SELECT doc_id, min(l)::INT AS l, line AS t, max(r)::INT AS r, line AS b, count(*)::BIGINT AS n FROM wd GROUP BY doc_id, line"),
+    "line_images": (
+        lambda s, d: line_images(_docs(s, d)),
+        f"""WITH {WD}, f AS (SELECT doc_id, line, min(l) AS l, max(r) AS r FROM wd GROUP BY ALL), x AS (SELECT f.*, substr(l1.l, f.l::INT + 1, (f.r - f.l + 1)::INT) AS s FROM f JOIN l1 ON l1.doc_id = f.doc_id AND l1.r = f.line)
+      SELECT doc_id, l::INT AS l, line AS t, r::INT AS r, line AS b, regexp_replace(regexp_replace(s, '[^ \t\r\f]', '#', 'g'), '[ \t\r\f]', '.', 'g') AS image, regexp_replace(s, '[ \t\r\f]', ' ', 'g') AS truth FROM x""",
+    ),
     "four_nearest": (
         lambda s, d: side_gaps(_docs(s, d)),
         f"""WITH {WD}, c AS (SELECT doc_id, line, word, unnest(range(l, r + 1)) AS c FROM wd),

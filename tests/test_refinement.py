@@ -133,6 +133,13 @@ def test_lines_of_a_page():
     assert pages.outermost(np.array([1, 0, 1])).tolist()[2] in (0, 1)
 
 
+def test_images_of_frames_drop_what_goes_on_beyond_them():
+    rows = ["ab cde  f", "", "xyz", "  long_one"]
+    assert pages.cut_image(rows, (0, 0, 8, 0)) == ("##.###..#", "ab cde  f")
+    assert pages.cut_image(rows, (1, 0, 5, 0)) == ("..###", "  cde")  # ab begins left of the frame
+    assert pages.cut_image(rows, (0, 1, 3, 3)) == ("....\n###.\n....", "    \nxyz \n    ")
+
+
 def plain_split(shape, known, least, cuts):
     if shape in known:
         return [shape]
