@@ -10,7 +10,7 @@ identifiers of that encoding (words put together in the usual styles), towards r
 * lag-1 serial correlation of symbol values.
 
 Each statistic x of n symbols has a null mean a + b / n and deviation s / sqrt(n), fitted per encoding on some 70,000 clean
-identifiers of 20 to 48 symbols (base-62: a fifth of them of words of two to five letters with capitals, which change class most), and a weight (the linear discriminant against random strings of the encoding, over
+identifiers of 20 to 48 symbols (base-62: a ninth of them of words of two to five letters with capitals, which change class most), and a weight (the linear discriminant against random strings of the encoding, over
 the tests' joint covariances, scaled so that the weighted sum has deviation 1 on clean identifiers). The sum is the
 candidate's score. A document's candidates are judged together: Benjamini-Hochberg at a
 false-discovery rate of RATE, with p-values weighted by candidate length, for longer runs carry
@@ -43,7 +43,7 @@ ENCODINGS = (
     ("^(?:[0-9a-f]+|[0-9A-F]+)$", 16, ((1.2146, 20.4351, 5.3083), (0.1075, -0.0990, 0.2317), (0.7416, -2.1871, 0.6646)), (-0.670, 0.447, -0.454)),
     ("^[A-Z2-7]+$", 32, ((1.6204, 28.7379, 3.3642), (0.0432, -0.2623, 0.2839), (-0.0625, -1.0178, 0.9836)), (-0.797, 0.407, 0.119)),
     ("^(?:[a-z0-9]+|[A-Z0-9]+)$", 36, ((1.6598, 31.9407, 4.1157), (0.0448, -0.0949, 0.2579), (0.2563, -3.2193, 1.7608)), (-0.827, 0.626, -0.545)),
-    ("^[A-Za-z0-9]+$", 62, ((2.8640, 57.5930, 6.2669), (0.2894, -0.8017, 0.6563), (0.0961, -2.1670, 1.7924)), (-0.694, 0.673, 0.049)),
+    ("^[A-Za-z0-9]+$", 62, ((2.8370, 57.2660, 6.1767), (0.2631, -0.6732, 0.5243), (0.1642, -3.2873, 1.7776)), (-0.657, 0.693, 0.013)),
     ("", 64, ((3.6448, 52.7148, 6.5618), (0.0447, -0.0299, 0.4393), (0.0230, -1.6641, 1.3531)), (-0.321, 0.797, 0.038)),
 )
 ORDER = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"
