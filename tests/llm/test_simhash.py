@@ -266,8 +266,14 @@ def test_chains_under_the_similarity_are_not_fetched(spark, monkeypatch):
     assert 0.59 < _similarity(rows[0][1].split(), rows[1][1].split()) < 0.61
     rows.append((1000, rows[399][1] + " more"))
     held, real = {}, S.written
-    monkeypatch.setattr(S, "written", lambda df, name: held.setdefault(name, real(df, name)))
-    monkeypatch.setattr(S, "SETS", 10)
+
+    def spy(df, name):
+        out = real(df, name)
+        held.setdefault(name, out)
+        return out
+
+    monkeypatch.setattr(S, "written", spy)
+    monkeypatch.setattr(S, "SETS", 2)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {x.doc_id: x.component_id for x in S.similar(df, **S.SIMILAR).collect()}
     assert got == {i: i for i in range(400)} | {1000: 399}
