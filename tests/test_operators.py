@@ -258,3 +258,12 @@ def test_bnb_map_maps_all_clusters(spark, tmp_path):
     r = decode.QUERIES["bnb_map"][0](spark, str(tmp_path)).first()
     assert (r.clusters, r.correct, r.score) == (7, 0, round(math.log(2 / 96) + 6 * math.log(3 / 97), 3))
     assert r.bound >= r.score
+
+
+def test_short_lists_leave_blank_templates_out(spark):
+    pix = lambda *on: [1.0 if i in on else -1.0 for i in range(64)]
+    img = spark.createDataFrame([(1, pix(0)), (2, pix(63)), (3, pix())], "id long, v array<double>")
+    templates = spark.createDataFrame([(0, pix()), (1, pix(1)), (2, pix(62))], "id long, v array<double>")
+    got = sorted((r.id, r["rank"], r.label, r.d) for r in vectors.short_lists(img, templates).collect())
+    far = round(math.hypot(7, 6), 9)
+    assert got == [(1, 1, 1, 1.0), (1, 2, 2, far), (2, 1, 2, 1.0), (2, 2, 1, far)]
