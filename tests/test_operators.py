@@ -267,3 +267,19 @@ def test_short_lists_leave_blank_templates_out(spark):
     got = sorted((r.id, r["rank"], r.label, r.d) for r in vectors.short_lists(img, templates).collect())
     far = round(math.hypot(7, 6), 9)
     assert got == [(1, 1, 1, 1.0), (1, 2, 2, far), (2, 1, 2, 1.0), (2, 2, 1, far)]
+
+
+def test_block_searches_give_what_pairs_give(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=64)], 0) for i in range(60)]
+    rows += [(60, rows[0][1], 1), (61, [-1.0] * 63 + [1.0], 1)]
+    img = vectors.images(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).cache()
+    pairs = vectors.searched(img)
+    monkeypatch.setattr(vectors, "BLOCK", 20)  # several blocks of images
+    found = lambda df: sorted((r.q_id, r.id, r.d) for r in df.collect())
+    assert found(vectors.euclid_search(img)) == found(vectors.euclid(pairs))
+    assert found(vectors.hamming_search(img)) == found(vectors.hamming(pairs))
+    assert found(vectors.hausdorff_search(img)) == found(vectors.hausdorff(vectors.searched(vectors.transformed(img))))
+    assert found(vectors.nearest(vectors.euclid_search(img, 3))) == found(vectors.nearest(vectors.euclid(pairs)))
+    odd = vectors.images(spark.createDataFrame([(0, [1.0, 2.0], 0), (1, None, 0), (2, [1.0, None], 0)], "vec_id long, embedding array<float>, label int"))
+    assert [(r.id, r.d) for r in vectors.hamming_search(odd).orderBy("id").collect()] == [(1, None), (2, None)]
