@@ -117,3 +117,20 @@ def test_boxes(spark):
     assert got == {(0, 0): 0, (0, 1): 0, (0, 2): 2, (1, 0): 0, (1, 1): 1}
     parts = sorted((r.line, r.word, r.part, r.l, r.r) for r in R.split_boxes(b, 3).collect())
     assert parts == [(0, 0, 0, 0, 2), (0, 0, 1, 3, 4), (0, 1, 0, 6, 6), (0, 2, 0, 8, 10), (0, 2, 1, 11, 12), (1, 0, 0, 0, 0), (1, 1, 0, 2, 3)]
+
+
+def test_searches_give_what_single_pairs_give(spark):
+    from quillframe.functions.stored import stored
+    from quillframe.operators import vectors as V
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in np.where(rng.random(64) < 0.2, rng.random(64), 0)], 0) for i in range(52)]
+    rows.append((52, rows[3][1], 0))
+    img = stored(V.images(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")), "images")
+    at = {i: np.array(v).reshape(8, 8) for i, v, _ in rows}
+    cut = lambda i: R.crop(np.where(at[i] >= 0.2, at[i], 0.0))
+    pairs = [(q, i) for q in (0, 50) for i in at if i != q]
+    got = {(r.q_id, r.id): r.d for r in R.cropped_search(img, R.conv_euclid, 0.2).collect()}
+    assert got == {(q, i): pytest.approx(R.conv_euclid(cut(q), cut(i)), abs=1e-9) for q, i in pairs}
+    got = sorted(tuple(r) for r in R.sub_search(img, 0.2, 4, 3.0).collect())
+    assert got == sorted((q, i, r, c, round(d, 9)) for q, i in pairs for r, c, d in R.sub_hausdorff(at[q][:4, :4] >= 0.2, at[i] >= 0.2, 3.0))
