@@ -1,11 +1,16 @@
 """Words of unknown symbols against a lexicon: by pattern, by implied equalities, by partial decoding, and votes.
 
 Lexicons are aggregated by pattern before anything is joined, so a join's rows grow with
-patterns, not with pairs of words.
+patterns, not with pairs of words. Patterns and partly decoded words meet a length's whole lexicon at once
+in numpy: each condition (two places are equal, or a place has a letter) is one column of truth values over it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,23 +43,55 @@ def isomorphs(words: DataFrame, lexicon: DataFrame) -> DataFrame:
 
 
 def implied(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """sig, len, n_words, n_matches: lexicon words that are equal wherever a pattern repeats; other letters may coincide.
+    """sig, len, n_words, n_matches: lexicon words that are equal wherever a pattern repeats; other letters may coincide."""
+    sig = patterns(words).groupBy("len", "sig").agg(F.count("*").alias("n_words"))
+    lex = patterns(lexicon).groupBy("len", "sig").agg(F.count("*").alias("n"))
+
+    def needs(sig: str) -> list[tuple[int, int]]:
+        first: dict[str, int] = {}
+        return [(j, i) for i, x in enumerate(sig.split(".")) if (j := first.setdefault(x, i)) < i]
+
+    found = met(sig.withColumnRenamed("sig", "form"), lex.select("len", F.split("sig", "\\.").cast("array<int>").alias("t"), "n"), needs)
+    return sig.join(found.withColumnRenamed("form", "sig"), ["len", "sig"], "left").select("len", "sig", "n_words", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
+
+
+#: Slabs that the forms of a length are dealt into, parts that they are spread over, and lexicon rows that conditions are held for at once.
+SLABS, PARTS, ROWS = 32, 256, 1 << 15
+
 
-    Patterns are joined on the length and the pair of places of the first repeat, which every
-    match has; patterns without a repeat match all of their length.
+def met(forms: DataFrame, lexicon: DataFrame, needs: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
+    """len, form and n_matches: the summed n of a length's lexicon rows (len, t: symbols as numbers, n) that meet all needs of a form (distinct).
+
+    A need (j, i) asks that places j and i are equal, (-x, i) that place i has symbol x (x > 0).
     """
-    sig = patterns(words).groupBy("len", "sig").agg(F.count("*").alias("n_words")).withColumn("s", F.split("sig", "\\."))
-    lex = patterns(lexicon).groupBy("len", "sig").agg(F.count("*").alias("m")).withColumn("t", F.split("sig", "\\.")).drop("sig")
-    # each repeat with its symbol's first place; patterns name symbols by first occurrence
-    sig = sig.withColumn("need", F.expr("filter(transform(s, (x, i) -> struct(array_position(s, x) - 1 AS f, bigint(i) AS i)), p -> p.f < p.i)"))
-    whole = lex.groupBy("len").agg(F.sum("m").alias("n_matches"))
-    free = sig.filter("size(need) = 0").join(whole, "len", "left").select("len", "sig", "n_words", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
-    equal = "flatten(transform(t, (x, i) -> transform(filter(sequence(0, i), j -> j < i AND t[j] = x), j -> struct(bigint(j) AS f, bigint(i) AS i))))"
-    lex = lex.select("len", "m", "t", F.explode(F.expr(equal)).alias("key"))
-    bound = sig.filter("size(need) > 0").withColumn("key", F.element_at("need", -1))
-    hit = bound.join(lex, ["len", "key"]).filter("forall(need, p -> t[int(p.f)] = t[int(p.i)])").groupBy("len", "sig").agg(F.sum("m").alias("n_matches"))
-    bound = bound.select("len", "sig", "n_words").join(hit, ["len", "sig"], "left").select("len", "sig", "n_words", F.coalesce("n_matches", F.lit(0)).alias("n_matches"))
-    return free.union(bound)
+    slab = F.pmod(F.xxhash64("form"), F.lit(SLABS)).cast("int").alias("slab")
+    left = forms.select("len", slab, "form")
+    right = lexicon.join(left.select("len").distinct(), "len", "left_semi").select("len", F.explode(F.sequence(F.lit(0), F.lit(SLABS - 1))).alias("slab"), "t", F.col("n").cast("long").alias("n"))
+
+    def count(a: pa.Table, b: pa.Table) -> pa.Table:
+        asked = [needs(x) for x in a.column("form").to_pylist()]
+        total = np.zeros(len(asked), np.int64)
+        for at in range(0, b.num_rows, ROWS):
+            part = b.slice(at, ROWS)
+            t = np.ascontiguousarray(part.column("t").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).T)
+            columns: dict[tuple[int, int], np.ndarray] = {}  # eight rows a byte
+            n = np.pad(part.column("n").to_numpy(), (0, -part.num_rows % 8)).reshape(-1, 8)
+            all_ = np.packbits(np.ones(part.num_rows, bool))
+            for k, own in enumerate(asked):
+                ok = all_
+                for need in own:
+                    if need not in columns:
+                        if len(columns) * part.num_rows > 1 << 29:
+                            columns.clear()
+                        columns[need] = np.packbits(t[need[1]] == (t[need[0]] if need[0] >= 0 else -need[0]))
+                    ok = ok & columns[need]
+                some = np.flatnonzero(ok)
+                if len(some):
+                    total[k] += (n[some] * np.unpackbits(ok[some]).reshape(-1, 8)).sum()
+        return pa.table({"len": a.column("len"), "form": a.column("form"), "n_matches": pa.array(total)})
+
+    left, right = (x.repartition(PARTS, "len", "slab") for x in (left, right))
+    return left.groupBy("len", "slab").cogroup(right.groupBy("len", "slab")).applyInArrow(count, "len int, form string, n_matches long")
 
 
 def votes(words: DataFrame, lexicon: DataFrame, by: str) -> DataFrame:
@@ -86,26 +123,18 @@ def masked(words: DataFrame, by: str, known: int) -> DataFrame:
 
 
 def vp_matches(words: DataFrame, lexicon: DataFrame, by: str, known: int = 12) -> DataFrame:
-    """by, word, n, matched: whether a lexicon word of the word's length has its known letters in place and repeats letters where unknown symbols repeat.
-
-    Candidates meet on length and the first and last known letter with their places; a word
-    of one known letter meets on that, and one of none on its length alone, where any
-    lexicon pattern decides.
-    """
+    """by, word, n, matched: whether a lexicon word of the word's length has its known letters in place and repeats letters where unknown symbols repeat."""
     m = masked(words, by, known).withColumn("len", F.size("s"))
-    places = F.expr("filter(sequence(0, len - 1), i -> mask[i] IS NOT NULL)")
-    m = m.withColumn("at", places).withColumn("a", F.when(F.size("at") > 0, F.col("at")[0])).withColumn("b", F.when(F.size("at") > 0, F.element_at("at", -1)))
-    m = m.withColumn("la", F.expr("mask[a]")).withColumn("lb", F.expr("mask[b]"))
-    sym = "concat_ws(' ', transform(sequence(0, len - 1), i -> coalesce(mask[i], concat('?', array_position(s, s[i])))))"
+    sym = "concat_ws(' ', transform(s, (x, i) -> coalesce(mask[i], concat('?', array_position(s, x)))))"
     m = m.withColumn("form", F.expr(sym))
-    forms = m.groupBy("form").agg(*[F.first(c).alias(c) for c in ("len", "s", "mask", "a", "b", "la", "lb")])
-    lex = lexicon.select("word").distinct().withColumn("t", F.split("word", "")).withColumn("len", F.size("t")).drop("word")
-    fits = F.expr("forall(sequence(0, len - 1), i -> if(mask[i] IS NOT NULL, t[i] = mask[i], t[i] = t[array_position(s, s[i]) - 1]))")
-    pairs = lex.select("len", "t", F.explode(F.expr("flatten(transform(sequence(0, len - 1), i -> transform(sequence(i, len - 1), j -> named_struct('a', i, 'b', j, 'la', t[i], 'lb', t[j]))))")).alias("p")).select("len", "t", "p.*")
-    hit = forms.filter("a is not null").join(pairs, ["len", "a", "b", "la", "lb"]).filter(fits).select("form").distinct()
-    # without a known letter only the pattern counts
-    sig = lex.select("len", "t", F.expr("array_join(transform(t, x -> string(array_position(t, x))), '.')").alias("sig")).groupBy("len", "sig").agg(F.first("t").alias("t"))
-    hit = hit.union(forms.filter("a is null").join(sig, "len").filter(fits).select("form").distinct())
+    lex = lexicon.select("word").distinct().withColumn("t", F.transform(F.split("word", ""), F.ascii))
+    lex = lex.select(F.size("t").alias("len"), "t", F.lit(1).alias("n"))
+
+    def needs(form: str) -> list[tuple[int, int]]:
+        parts = enumerate(form.split(" "))
+        return [need for i, x in parts if (need := (int(x[1:]) - 1, i) if len(x) > 1 else (-ord(x), i))[0] != i]
+
+    hit = met(m.select("len", "form").distinct(), lex, needs).filter("n_matches > 0").select("form")
     return m.join(hit.withColumn("hit", F.lit(1)), "form", "left").select(by, "word", "n", F.col("hit").isNotNull().alias("matched"), "s")
 
 

@@ -283,3 +283,13 @@ def test_block_searches_give_what_pairs_give(spark, monkeypatch):
     assert found(vectors.nearest(vectors.euclid_search(img, 3))) == found(vectors.nearest(vectors.euclid(pairs)))
     odd = vectors.images(spark.createDataFrame([(0, [1.0, 2.0], 0), (1, None, 0), (2, [1.0, None], 0)], "vec_id long, embedding array<float>, label int"))
     assert [(r.id, r.d) for r in vectors.hamming_search(odd).orderBy("id").collect()] == [(1, None), (2, None)]
+
+
+def test_forms_meet_a_lexicon_as_plain_loops_do(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abc") for _ in range(r.randrange(1, 6))) for _ in range(60)] + ["ab" * 400]
+    lexicon = spark.createDataFrame([(w, k + 1) for k, w in enumerate(sorted(set(words[30:])))], "word string, n long")
+    found = matching.met(spark.createDataFrame([(3, "1=2"), (3, "a"), (2, ""), (4, "")], "len int, form string"), lexicon.select(F.length("word").alias("len"), F.transform(F.split("word", ""), F.ascii).alias("t"), "n"), lambda f: {"1=2": [(1, 2)], "a": [(-97, 0)], "": []}[f])
+    rows = [(x.word, x.n) for x in lexicon.collect()]
+    want = {(3, "1=2"): sum(n for w, n in rows if len(w) == 3 and w[1] == w[2]), (3, "a"): sum(n for w, n in rows if len(w) == 3 and w[0] == "a"), (2, ""): sum(n for w, n in rows if len(w) == 2), (4, ""): sum(n for w, n in rows if len(w) == 4)}
+    assert {(x.len, x.form): x.n_matches for x in found.collect()} == want
