@@ -134,3 +134,11 @@ def test_searches_give_what_single_pairs_give(spark):
     assert got == {(q, i): pytest.approx(R.conv_euclid(cut(q), cut(i)), abs=1e-9) for q, i in pairs}
     got = sorted(tuple(r) for r in R.sub_search(img, 0.2, 4, 3.0).collect())
     assert got == sorted((q, i, r, c, round(d, 9)) for q, i in pairs for r, c, d in R.sub_hausdorff(at[q][:4, :4] >= 0.2, at[i] >= 0.2, 3.0))
+
+
+def test_searches_without_a_query_find_nothing(spark):
+    from quillframe.operators import vectors as V
+
+    img = V.images(spark.createDataFrame([(1, [1.0] * 64, 0), (2, [0.5] * 64, 0)], "vec_id long, embedding array<double>, label int"))
+    for found in (V.euclid_search(img), V.euclid_search(img, 3), V.hamming_search(img), V.hausdorff_search(img), R.cropped_search(img, R.conv_euclid, 0.2), R.sub_search(img, 0.2, 4, 1.0)):
+        assert found.collect() == []
