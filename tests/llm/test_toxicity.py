@@ -3,6 +3,8 @@ from zlib import crc32
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from quillframe.llm import toxicity as T
 
 
@@ -59,3 +61,38 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.query(docs, none).first().predicted == 0
     assert T.query(docs.limit(0), none).count() == 0
+
+
+def test_every_labelled_row_is_learnt(spark):
+    """A word that only rows beyond the first 3000 of a class hold, by hash of id: no sample of that size would see it."""
+    r = random.Random(2)
+    ids = spark.range(9900).filter((T.fold("id") != 1) & (F.col("id") % 2 == 1)).orderBy(F.xxhash64("id"), "id").collect()
+    late = {x.id for x in ids[3000:]}
+    assert len(late) > 200
+    text = lambda i: " ".join(["w%d" % r.randrange(500) for _ in range(8)] + (["zorn" if i in late else "fool"] if i % 2 else []))
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(9900)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9900)], "doc_id long, toxic int")
+    m = T.fit(docs, labels, shard=1500)
+    assert len(m.thresholds) == 1 and 0.5 <= m.thresholds["en"] <= 0.9
+    s = m.scores(["w1 w2 w3 zorn w4", "w1 w2 w3 fool w4", "w1 w2 w3 w4"])
+    assert s[0] > 0.7 and s[1] > 0.7 and s[2] < 0.3
+    again = T.fit(docs, labels, shard=1500)
+    assert np.array_equal(m.tables, again.tables) and np.array_equal(m.out, again.out) and m.scale == again.scale and m.thresholds == again.thresholds
+    assert T.labelled(docs, labels).count() == sum(crc32(str(i).encode()) % 3 != 1 for i in range(9900))
+
+
+def test_threshold_over_all_clean_rows(spark):
+    r = random.Random(3)
+    rows = [(g, r.random()) for g, n in (("a", 900), ("b", 400), (None, 3)) for _ in range(n)]
+    got = T.lowest(spark.createDataFrame(rows, "lang string, s double"), 0.2, "lang").collect()
+    for x in got:
+        own = [s for g, s in rows if g == x.lang]
+        t = next(i for i in range(5000, 9001) if i == 9000 or sum(s >= i / 10_000 for s in own) <= int(0.2 * len(own)))
+        assert x.t == t / 10_000
+
+
+def test_empty_labelled_text(spark):
+    docs = spark.createDataFrame([(i, "" if i % 3 else "fool x", "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    s = T.fit(docs, labels).scores(["", "fool x"])
+    assert s[0] < s[1]
