@@ -78,6 +78,29 @@ def test_perfect_cipher(spark):
     assert {r.decoded for r in evaluate.decoded(d, m).collect()} == {"aaabbc"}
 
 
+def test_viterbi_over_spans_is_that_over_all_states():
+    r = np.random.default_rng(5)
+    narrow = 0
+    for k in range(12):
+        s, n = 40, int(r.integers(1, 50))
+        z = (np.arange(n)[None] + 1 - np.ceil((np.arange(s)[:, None] + 1) * n / s)) / (0.05 * n)
+        e, t, i = np.exp(-z * z / 2), r.dirichlet(np.full(s, 0.5), s) + 1e-3, r.dirichlet(np.full(s, 0.5))
+        t = np.round(t, 2) + 1e-3 if k % 2 else t  # ties
+        obs = r.integers(0, n, 60).tolist()
+        lt, le = np.log(t + decode.EPS), np.log(e + decode.EPS)
+        narrow += sum(b - a for a, b in decode.spans(lt, le)) < 0.8 * n * s
+        v, back = np.log(i + decode.EPS) + le[:, obs[0]], []
+        for o in obs[1:]:
+            x = v[:, None] + lt
+            back.append(x.argmax(axis=0))
+            v = x.max(axis=0) + le[:, o]
+        path = [int(v.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        assert decode.viterbi(obs, t, e, i) == (path[::-1], float(v.max()))
+    assert narrow
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(1)
     t, e, i = r.random((3, 3)), r.random((3, 4)), r.random(3)
