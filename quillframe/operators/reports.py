@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.tables import accuracy_report, running_before, squeezed_lines, table, word_report
-from .evaluate import ACC, KIND, MAP, WACC, accuracy, kind, rank_mapping, word_accuracy
+from .evaluate import ACC, KIND, MAP, WACC, accuracy, kind, rank_mapping, read_word_accuracy
 from .lexicon import symbol_counts
 from .matching import VOTE, _lex, _sig, _tok, vote_ranking, votes, words_by
 from .models import CLASS
@@ -173,7 +173,7 @@ QUERIES = {
         f"{MAP} SELECT doc_id, string_agg(clust || ' ' || n || ' ' || c || ' ' || sym || ' ' || CASE WHEN c = sym THEN 'right' ELSE 'wrong' END, chr(10) ORDER BY clust) AS text FROM mp GROUP BY 1",
     ),
     "word_report_round_trip": (
-        lambda s, d: word_report(word_report_text(word_accuracy(_docs(s, d), _map(s, d)))),
+        lambda s, d: word_report(word_report_text(read_word_accuracy(_docs(s, d)))),
         f"{WACC} SELECT doc_id, count(*)::BIGINT AS total, (count(*) FILTER (WHERE NOT ok))::BIGINT AS wrong FROM wa GROUP BY 1",
     ),
     "included_accuracy": (lambda s, d: accuracy(included(_map(s, d), 0.01), "doc_id"), f"{MAP}, i AS (SELECT doc_id, c, n, CASE WHEN n >= 0.01::DOUBLE * sum(n) OVER (PARTITION BY doc_id) THEN sym ELSE '~' END AS sym FROM mp) SELECT doc_id, {ACC} FROM i GROUP BY 1"),

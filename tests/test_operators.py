@@ -64,6 +64,18 @@ def test_scans(spark):
     assert tuple(tables.word_report(word).first()) == (1, 20, 3)
 
 
+def test_reading_stays_in_the_text_s_row(spark):
+    """Texts are read where they lie: neither they nor their words are shuffled, and texts without a language or clusters stay."""
+    d = spark.createDataFrame([(1, "aab a_\n_ab", "en"), (2, "bba b", "en"), (3, "x_y", None), (4, "\n", "en"), (5, "", "en"), (6, None, "en")], "doc_id long, text string, lang string")
+    symbols = {r.lang: r.symbols for r in evaluate.language_symbols(d).collect()}
+    assert symbols == {"en": "ab _"}
+    got = {r.doc_id: r.decoded for r in evaluate.read_texts(d).collect()}
+    assert got == {1: "aab a \n ab", 2: "aab a", 3: "x y", 4: "\n"}
+    assert {(r.doc_id, r.total, r.correct) for r in evaluate.read_word_accuracy(d).collect()} == {(1, 3, 1), (2, 2, 0), (3, 1, 0)}
+    plan = evaluate.read_word_accuracy(d)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "doc_id#" not in "".join(x for x in plan.split("\n") if "hashpartitioning" in x)
+
+
 def test_implied_equalities(spark):
     w = spark.createDataFrame([("1232", 1)], "word string, n long")
     lex = spark.createDataFrame([(x, 1) for x in ("aaaa", "aaba", "abab", "abbb", "abcb", "abcd", "abca")], "word string, n long")
