@@ -214,3 +214,58 @@ def test_links_of_a_text():
         chains.resolved(np.array([1, 0]))
     assert chains.resolved(np.array([0, 0, 1, 2, 4])).tolist() == [0, 0, 0, 0, 4]
     assert chains.read_in_text(np.array([2, -1, 3, 2, 5, 4]), np.array([0, 4])).tolist() == [0, 2, 3, 4, 5]
+
+
+def test_marks_are_joined_inside_their_text_as_by_joins(spark):
+    from quillframe.operators import raster
+
+    r = random.Random(12)
+    texts = ["\n".join("".join(r.choice("ab   \t") for _ in range(r.randrange(50))) for _ in range(r.randrange(1, 30))) for _ in range(25)]
+    docs = spark.createDataFrame([*enumerate(texts), (97, "\n \n"), (98, ""), (99, None)], "doc_id long, text string")
+    got = raster.diacritics_by_text(docs)
+    rows = lambda df: sorted(map(tuple, df.select(got.columns).collect()))
+    assert rows(got) == rows(raster.diacritics(raster.lined(docs))) and any(x.parts > 2 for x in got.collect())
+    docs.write.parquet(folder := f"{chains.stored.__globals__['shared_folder'](spark)}/marks/documents.parquet", mode="overwrite")
+    plan = raster.QUERIES["diacritic_merge"][0](spark, folder.removesuffix("/documents.parquet"))._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan
+
+
+@pytest.mark.parametrize("span", [2, 64])
+def test_boxes_absorb_as_one_by_one(monkeypatch, span):
+    from quillframe.operators import raster
+
+    monkeypatch.setattr(raster, "SPAN", span)
+    g = np.random.default_rng(span)
+    for k in range(60):
+        n = int(g.integers(0, 90))
+        l, t = g.integers(0, 40, n), g.integers(0, 60, n)  # noqa: E741
+        box = np.stack([l, t, l + g.integers(0, 9, n), t + g.integers(0, 5, n)], axis=1)
+        box = box[np.argsort(t, kind="stable")] if k % 2 else box
+        want, now, left = list(range(n)), box.tolist(), [True] * n
+        for i in range(n):
+            for j in range(n) if left[i] else ():
+                (l, t, r, b), (x, y, z, w) = now[i], now[j]  # noqa: E741
+                if j != i and left[j] and ((x >= l and z <= r) or (x <= l and z >= r)) and (abs(w - t) <= 5 or abs(y - b) <= 5 or (y >= t and w <= b) or (y <= t and w >= b)):
+                    now[i], left[j] = [min(l, x), min(t, y), max(r, z), max(b, w)], False
+                    want = [i if v == j else v for v in want]
+                    break
+        assert raster.absorbed(box, 5).tolist() == want
+
+
+def test_components_come_in_small_batches(spark):
+    import pyarrow as pa
+
+    from quillframe.functions import rows
+    from quillframe.operators import raster
+
+    class Kept:
+        schema = {"doc_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "bigint"})()})()}
+
+        def select(self, *c):
+            return self
+
+        def mapInArrow(self, f, schema):
+            return list(f([pa.record_batch([pa.array(range(5000)), pa.array(["ab  c\nd"] * 5000)], names=["doc_id", "text"])]))
+
+    got = raster.runs_components(Kept())  # one Arrow batch, which was one pandas frame
+    assert sum(b.num_rows for b in got) == 10000 and max(b.num_rows for b in got) <= 2 * rows.TEXTS
