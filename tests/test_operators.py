@@ -328,3 +328,22 @@ def test_forms_meet_a_lexicon_as_plain_loops_do(spark):
     rows = [(x.word, x.n) for x in lexicon.collect()]
     want = {(3, "1=2"): sum(n for w, n in rows if len(w) == 3 and w[1] == w[2]), (3, "a"): sum(n for w, n in rows if len(w) == 3 and w[0] == "a"), (2, ""): sum(n for w, n in rows if len(w) == 2), (4, ""): sum(n for w, n in rows if len(w) == 4)}
     assert {(x.len, x.form): x.n_matches for x in found.collect()} == want
+
+
+def test_maps_climb_side_by_side_and_branches_look_ahead_as_one_by_one():
+    g = np.random.default_rng(31)
+    pairs, start = np.log(g.dirichlet(np.full(40, 0.3), 40) + 1e-6), np.log(g.dirichlet(np.ones(40)))
+    search = decode.Assigning([g.integers(0, 12, n).tolist() for n in (0, 1, 30, 60)], 12, start, pairs)
+    field = lambda d, m, others: search.alone[d] + sum((search.count[d, e] * pairs[:, m[e]] + search.count[e, d] * pairs[m[e]] for e in others), np.zeros(40))
+    starts = (np.arange(12)[None] + np.arange(8)[:, None]) % 40
+    for m, found in zip(starts, search.climbed(starts), strict=True):
+        m, before = m.tolist(), None
+        while m != before:
+            before = list(m)
+            for d in range(12):
+                f = field(d, m, [e for e in range(12) if e != d])
+                m[d] = int(f.argmax()) if f.max() > f[m[d]] + 1e-9 else m[d]
+        assert found.tolist() == m
+    symbols = g.permutation(40)[:37]
+    want = [sum((search.alone[e] + search.count[4, e] * pairs[c] + search.count[e, 4] * pairs[:, c]).max() for e in range(5, 12)) for c in symbols]
+    assert search.ahead(search.alone, 4, symbols) == pytest.approx(want)
