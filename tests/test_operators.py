@@ -347,3 +347,23 @@ def test_maps_climb_side_by_side_and_branches_look_ahead_as_one_by_one():
     symbols = g.permutation(40)[:37]
     want = [sum((search.alone[e] + search.count[4, e] * pairs[c] + search.count[e, 4] * pairs[:, c]).max() for e in range(5, 12)) for c in symbols]
     assert search.ahead(search.alone, 4, symbols) == pytest.approx(want)
+
+
+def test_lines_are_aligned_side_by_side(monkeypatch):
+    def plain(a, b):
+        row = [(j, 0) for j in range(len(b) + 1)]
+        for i, x in enumerate(a, 1):
+            now = [(i, 0)]
+            for j, y in enumerate(b, 1):
+                (d, m), ways = row[j - 1], [(v[0] + 1, v[1]) for v in (row[j], now[-1])]
+                now.append(min([(d + (x != y), m - (x == y)), *ways]))
+            row = now
+        return row[-1][0], -row[-1][1]
+
+    r = random.Random(17)
+    pairs = [tuple("".join(r.choice("abé😀") for _ in range(r.randrange(r.choice([2, 9, 40])))) for _ in range(2)) for _ in range(150)]
+    for cells in (1, 50, 32_768):
+        monkeypatch.setattr(evaluate, "CELLS", cells)
+        distance, matched = evaluate.all_edits(pairs)
+        assert list(zip(distance.tolist(), matched.tolist(), strict=True)) == [plain(*p) for p in pairs]
+    assert [x.tolist() for x in evaluate.all_edits([])] == [[], []]
