@@ -269,3 +269,26 @@ def test_components_come_in_small_batches(spark):
 
     got = raster.runs_components(Kept())  # one Arrow batch, which was one pandas frame
     assert sum(b.num_rows for b in got) == 10000 and max(b.num_rows for b in got) <= 2 * rows.TEXTS
+
+
+def test_lines_of_a_long_page_and_images_that_words_leave():
+    import time
+
+    box = np.array([(c, 2 * row, c + 2, 2 * row) for row in range(20_000) for c in (0, 4)])
+    began = time.process_time()
+    assert (pages.page_lines(box) == np.repeat(np.arange(20_000), 2)).all()
+    assert time.process_time() - began < 3  # a pass over all boxes for each line took longer
+    r = random.Random(3)
+    for _ in range(300):
+        rows = ["".join(r.choice("ab \t\ré") for _ in range(r.randrange(14))) for _ in range(3)]
+        left = r.randrange(10)
+        right = left + r.randrange(8)
+        image, truth = [], []
+        for row in rows:
+            keep = [False] * (right - left + 1)
+            for m in pages._INK.finditer(row):
+                if m.start() >= left and m.end() - 1 <= right:
+                    keep[m.start() - left : m.end() - left] = [True] * len(m[0])
+            image.append("".join(".#"[x] for x in keep))
+            truth.append("".join(c if x else " " for c, x in zip(row[left : right + 1].ljust(right - left + 1), keep, strict=True)))
+        assert pages.cut_image(rows, (left, 0, right, 2)) == ("\n".join(image), "\n".join(truth))
