@@ -374,3 +374,28 @@ def test_postings_are_counted_inside_the_text(spark):
     df = components.postings(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, df.collect())) == sorted([(1, "a", 4), (1, "b", 3), (1, "é", 1), (5, "\t", 1), (5, "a", 2), (5, "😀", 1), (5, "\r", 1)])
     assert "Generate" not in df._jdf.queryExecution().toString()  # no word is exploded and shuffled
+
+
+def test_symbols_are_counted_and_lines_scored_inside_the_text(spark):
+    from quillframe.operators import lexicon, models
+
+    r = random.Random(14)
+    texts = ["".join(r.choice("ab \né\t😀~") for _ in range(r.randrange(60))) for _ in range(30)] + ["", None, "\n", "é", "a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    for n in (2, 3):
+        want = Counter(t[i : i + n] for t in texts if t for i in range(len(t) - n + 1) if all(" " <= c <= "~" for c in t[i : i + n]))
+        g = lexicon.ngrams(docs, n)
+        assert {"".join(x[:-1]): x.n for x in g.collect()} == want
+        assert "Generate" not in g._jdf.queryExecution().toString()  # no symbol is exploded
+    assert lexicon.ngrams(docs.filter("doc_id > 30"), 2).count() == 0
+    firsts, pairs = models.smoothed_firsts(lexicon.line_firsts(docs, 1)), models.smoothed_bigrams(lexicon.ngrams(docs, 2))
+    f, p = {x.a: x.p for x in firsts.collect()}, {(x.a, x.b): x.p for x in pairs.collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        for line, x in enumerate((t or "").split("\n")):
+            if x := "".join(c for c in x if " " <= c <= "~"):
+                want[k, line] = (len(x), math.log(f[x[0]]) + sum(math.log(p[v]) for v in zip(x, x[1:], strict=False)))
+    got = models.line_scores(docs, firsts, pairs)
+    rows = {(x.doc_id, x.line): (x.n, x.logprob) for x in got.collect()}
+    assert rows.keys() == want.keys() and all(rows[k] == (want[k][0], pytest.approx(want[k][1], abs=2e-6)) for k in want)
+    assert "aggregate(" not in got._jdf.queryExecution().toString()
