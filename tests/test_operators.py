@@ -399,3 +399,17 @@ def test_symbols_are_counted_and_lines_scored_inside_the_text(spark):
     rows = {(x.doc_id, x.line): (x.n, x.logprob) for x in got.collect()}
     assert rows.keys() == want.keys() and all(rows[k] == (want[k][0], pytest.approx(want[k][1], abs=2e-6)) for k in want)
     assert "aggregate(" not in got._jdf.queryExecution().toString()
+
+
+def test_ink_inside_regions_is_counted_inside_the_text(spark):
+    q = lambda *x: dict(zip("ltrb", x, strict=True))
+    text = "ab  é\n\t cd\n\n0123456789"
+    rows = [(1, text, None), (2, text, [q(0, 0, 1, 1)]), (3, text, [q(0, 0, 3, 9), q(2, 1, 5, 3)]), (4, text, []), (5, None, None), (None, "x y", [q(0, 0, 0, 0)]), (7, " ", None), (1, "a", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, regions array<struct<l int, t int, r int, b int>>")
+    got = raster.ink_inside(df)
+    assert {x.doc_id: x.n for x in got.collect()} == {1: 16, 2: 2, 3: 10, None: 1}
+    docs = df.select("doc_id", "text")
+    plan = raster.ink_inside(raster._regions(docs))._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan  # no pixel is exploded
+    by_pixels = raster.cropped(raster.pixels(docs.filter("doc_id is not null")), raster._regions(docs).filter("regions is not null").selectExpr("doc_id", "inline(regions)"), ["doc_id"]).groupBy("doc_id").count()
+    assert sorted(map(tuple, raster.ink_inside(raster._regions(docs.filter("doc_id is not null"))).collect())) == sorted(map(tuple, by_pixels.collect()))
