@@ -53,13 +53,15 @@ def grown(split: DataFrame, known: DataFrame) -> DataFrame:
 def inner_shapes(shapes: DataFrame, least: int) -> DataFrame:
     """shape, part and at (from 1) for shapes that hold another one of `least` columns or more: the one with the most occurrences (equal ones: the least), at its first place.
 
-    A shape's windows, of the lengths that shapes have, meet the shapes by equality.
+    A shape's windows, of the lengths that shapes have, meet the shapes by a hash and are compared then, so a window's row holds its shape and place, not its own symbols.
     """
     lengths = shapes.select(F.length("shape").alias("w")).filter(F.col("w") >= least).distinct().agg(F.array_sort(F.collect_list("w")).alias("lengths"))  # one row
     x = shapes.filter(F.length("shape") > least).select("shape").crossJoin(F.broadcast(lengths))
     x = x.select("shape", F.explode(F.expr("filter(lengths, w -> w < length(shape))")).alias("w"))
-    x = x.select("shape", "w", F.explode(F.expr("sequence(1, length(shape) - w + 1)")).alias("at")).withColumn("part", F.expr("substring(shape, at, w)"))
-    found = x.join(shapes.select(F.col("shape").alias("part"), F.col("n").alias("often")), "part")
+    x = x.select("shape", "w", F.explode(F.expr("sequence(1, length(shape) - w + 1)")).alias("at"))
+    x = x.select("shape", "at", F.expr("xxhash64(substring(shape, at, w))").alias("h"))
+    found = x.join(shapes.filter(F.length("shape") >= least).select(F.xxhash64("shape").alias("h"), F.col("shape").alias("part"), F.col("n").alias("often")), "h")
+    found = found.filter("part = substring(shape, at, length(part)) and length(part) < length(shape)")
     best = found.groupBy("shape").agg(F.min(F.struct(-F.col("often"), F.col("part"), F.col("at"))).alias("b"))
     return best.select("shape", "b.part", "b.at")
 

@@ -292,3 +292,11 @@ def test_lines_of_a_long_page_and_images_that_words_leave():
             image.append("".join(".#"[x] for x in keep))
             truth.append("".join(c if x else " " for c, x in zip(row[left : right + 1].ljust(right - left + 1), keep, strict=True)))
         assert pages.cut_image(rows, (left, 0, right, 2)) == ("\n".join(image), "\n".join(truth))
+
+
+def test_windows_meet_shapes_without_their_symbols(spark):
+    shapes = spark.createDataFrame([("xabcdy", 1), ("abcd", 5), ("bcdy", 5), ("abcdabcd", 2), ("aé😀bc", 1), ("é😀b", 9), ("qrstu", 3)], "shape string, n long")
+    found = splits.inner_shapes(shapes, 3)
+    assert sorted(map(tuple, found.collect())) == [("abcdabcd", "abcd", 1), ("aé😀bc", "é😀b", 2), ("xabcdy", "abcd", 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" in plan  # what is shuffled is a hash beside the shape
