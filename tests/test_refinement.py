@@ -52,6 +52,49 @@ def test_cluster_driver_against_one_at_a_time(spark, monkeypatch, slab):
     assert empty.count() == 0 and none.count() == 0
 
 
+def test_cluster_driver_of_a_dense_chain_takes_few_tables(spark, monkeypatch):
+    v = np.round(np.arange(80)[:, None] * [0.35, 0.0] + [0.0, 1.0], 12)  # each within the threshold of the next, and ids run along it
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    made, stored = [], A.stored
+    monkeypatch.setattr(A, "stored", lambda x, name: made.append(name) or stored(x, name))
+    got = {x.id: x.clust for x in A.cluster_images(df, 0.4, 2)[0].collect()}
+    assert [got[i] for i in range(80)] == greedy(v, 0.4)
+    assert len(made) < 70  # a round for each cluster of the chain wrote five
+
+
+@pytest.mark.parametrize("together", [100_000, 20])
+def test_cluster_driver_over_slabs_and_large_groups(spark, monkeypatch, together):
+    monkeypatch.setattr(A, "TOGETHER", together)
+    monkeypatch.setattr(A, "PACK_LEAST", 10)
+    monkeypatch.setattr(A, "PACK_MOST", 25)
+    r = np.random.default_rng(8)
+    centres = 3 * r.normal(size=(15, 20))
+    v = np.round(np.concatenate([centres[r.integers(0, 15, 150)] + 0.1 * r.normal(size=(150, 20)), 3 * r.normal(size=(50, 20))]), 12)
+    v = v[r.permutation(200)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    members, clusters = A.cluster_images(df, 0.6, 20)
+    want = greedy(v, 0.6)
+    assert 60 < len(set(want)) < 150
+    assert {x.id: x.clust for x in members.collect()} == dict(enumerate(want))
+    assert {x.clust: x.n for x in clusters.collect()} == {k: want.count(k) for k in set(want)}
+
+
+def test_links_of_slabs_join_just_what_lies_near(spark, monkeypatch):
+    monkeypatch.setattr(A, "PACK_LEAST", 16)
+    monkeypatch.setattr(A, "PACK_MOST", 16)
+    r = np.random.default_rng(5)
+    v, opened = r.normal(size=(300, 4)), r.random(300) < 0.5
+    df = spark.createDataFrame([(i, x.tolist(), bool(o)) for i, (x, o) in enumerate(zip(v, opened, strict=True))], "id long, v array<double>, open boolean")
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    for radius in (0.3, 0.6):
+        want = list(range(300))
+        for i, j in zip(*np.nonzero((d <= radius) & (opened[:, None] | opened[None])), strict=True):
+            a, b = sorted((want[i], want[j]))
+            want = [a if x == b else x for x in want]
+        got = {x.id: x.least for x in A.loose_groups(A.Slabs(df, 300).links(radius)).collect()}
+        assert got == {i: k for i, k in enumerate(want) if want.count(k) > 1}
+
+
 def test_index_finds_all_within_the_radius(spark):
     r = np.random.default_rng(3)
     v = r.normal(size=(400, 3))
