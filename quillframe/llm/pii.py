@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, strings
+from .common import bounded_batches, strings, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity at most, tokens before it that are searched for a cue, and made sentences to train on.
@@ -497,4 +497,4 @@ def redact(df: DataFrame, *, text: str = "text", length: str | None = "n_chars")
                     cols[length] = pa.array([None if t is None else len(t) for t in new], b.schema.field(length).type)
                 yield pa.RecordBatch.from_arrays([cols.get(n, b.column(i)) for i, n in enumerate(names)], names=names)
 
-    return df.mapInArrow(over, df.schema)
+    return df.mapInArrow(trimmed(over), df.schema)

@@ -25,7 +25,7 @@ pieces' merges along their border, for all pairs at once.
 No piece goes on behind a U+2581 that follows another symbol (checked when compiling), so where
 a run of spaces (or of U+2581) begins N, P and L are each in one known state and the path factors there. Factors of a batch are
 distinct before they are composed, and the ids and decoded bytes of those seen before are kept
-in a bounded table per Python worker.
+in a bounded table per task.
 
 Decoding is the inverse transducer: ids to a piece's bytes or a single one, U+2581 to space, and
 from its first state without the dummy prefix. It works id by id, so factors' bytes add up.
@@ -52,10 +52,10 @@ from .common import bounded_batches, strings, trimmed
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Factors kept per Python worker (as many again while they grow old), and the longest that are kept and composed together.
+#: Factors kept per task (as many again while they grow old), and the longest that are kept and composed together.
 KEPT, KEPT_LENGTH = 100_000, 40
-#: Factors composed together, and texts whose factors are made distinct together.
-TOGETHER, TEXTS = 4096, 1000
+#: Factors composed together, and texts whose factors are made distinct together, with so many characters in all (or one text).
+TOGETHER, TEXTS, CHARACTERS = 4096, 1000, 400_000
 #: Arcs of a BPE model's L that are kept, one for each place of a table.
 ARCS = 1 << 19
 #: N's states, and what it reads: a space, or a run of other symbols.
@@ -451,8 +451,8 @@ class Model:
 
     def encoded_all(self, texts: list[str]):
         """For each text its ids as little-endian 32-bit integers and their decoded bytes, the dummy prefix on."""
-        for a in range(0, len(texts), TEXTS):
-            every = [self._parts(t) for t in texts[a : a + TEXTS]]
+        for own in self._dealt(texts):
+            every = [self._parts(t) for t in own]
             kept, old, new = self.kept, self.old, []
             for f in set().union(*every).difference(kept):
                 if f in old:
@@ -470,6 +470,22 @@ class Model:
                 ids, back = zip(*found, strict=True) if found else ((), ())
                 yield b"".join(ids), b"".join(back)
 
+    @staticmethod
+    def _dealt(texts: list[str]):
+        """texts in order, so many at a time that their factors take some 50 MB at most."""
+        begin = size = 0
+        for k, t in enumerate(texts):
+            if k > begin and (k - begin == TEXTS or size + len(t) > CHARACTERS):
+                yield texts[begin:k]
+                begin, size = k, 0
+            size += len(t)
+        yield texts[begin:]
+
+    def forget(self) -> None:
+        """Empties the tables of what was seen lately: Python workers outlive their tasks."""
+        self.kept, self.old = {}, {}
+        self.legal.clear()
+
     def _alone(self, factor) -> tuple[bytes, bytes]:
         text = self.rewritten(factor[0], BEGIN) if type(factor) is tuple else self.rewritten(factor, INSIDE)
         return self._written(text, self.shortest(text))
@@ -536,6 +552,7 @@ def encode(df: DataFrame, data: bytes, *, key: str = "doc_id", text: str = "text
             ends = np.concatenate([[0], np.cumsum(n)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), lists, pa.array(digests), pa.array(decoded), pa.array(same)], names=[key, "n_tokens", "token_ids", "ids_sha256", "decoded_sha256", "round_trip"])
+        m.forget()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text)).mapInArrow(trimmed(over), f"`{key}` {kind}, n_tokens long, token_ids array<int>, ids_sha256 string, decoded_sha256 string, round_trip boolean")

@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 
 sentencepiece = pytest.importorskip("sentencepiece")
@@ -70,6 +71,28 @@ def test_a_small_table_changes_nothing(monkeypatch):
         assert [x for x, _ in m.encoded_all(texts)] == want
 
 
+def test_few_characters_at_a_time_and_nothing_kept_behind_a_task(spark, monkeypatch):
+    m, r = S.Model(DATA), random.Random(7)
+    texts = ["", *(_random(r) for _ in range(100)), "ab " * 400, ""]
+    want = [m.encoded(t) for t in texts]
+    dealt = []
+    monkeypatch.setattr(S, "CHARACTERS", 300)
+    assert [x for x, _ in m.encoded_all(texts)] == want
+    for own in m._dealt(texts):
+        assert len(own) == 1 or sum(map(len, own)) <= 300
+        dealt += own
+    assert dealt == texts
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert S.encode(df, DATA).count() == len(texts)
+
+    def left(it):
+        yield from (b for b in it if b is None)
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.kept) + len(x.old) for x in S._COMPILED.values())], pa.int64())], names=["n"])
+
+    assert {x.n for x in spark.range(0, 40, 1, 8).mapInArrow(left, "n long").collect()} == {0}
+
+
 def _number(n):
     out = b""
     while n > 127:
