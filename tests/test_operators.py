@@ -413,3 +413,15 @@ def test_ink_inside_regions_is_counted_inside_the_text(spark):
     assert "Generate" not in plan and "Join" not in plan  # no pixel is exploded
     by_pixels = raster.cropped(raster.pixels(docs.filter("doc_id is not null")), raster._regions(docs).filter("regions is not null").selectExpr("doc_id", "inline(regions)"), ["doc_id"]).groupBy("doc_id").count()
     assert sorted(map(tuple, raster.ink_inside(raster._regions(docs.filter("doc_id is not null"))).collect())) == sorted(map(tuple, by_pixels.collect()))
+
+
+def _searched_by(spark, folder, name):
+    """What a search over vectors finds for two images, whose ids are no multiples of 50."""
+    pix = lambda n: [1.0] * n + [-1.0] * (64 - n)
+    spark.createDataFrame([(1, pix(1), 0), (2, pix(3), 0)], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return sorted((r.q_id, r.id, r.d) for r in vectors.QUERIES[name][0](spark, str(folder)).collect())
+
+
+def test_every_image_is_a_query_of_the_euclidean_search(spark, tmp_path):
+    d = round(math.sqrt(8) / 64, 9)
+    assert _searched_by(spark, tmp_path, "vec_euc_pairs") == [(1, 2, d), (2, 1, d)]
