@@ -425,3 +425,7 @@ def _searched_by(spark, folder, name):
 def test_every_image_is_a_query_of_the_euclidean_search(spark, tmp_path):
     d = round(math.sqrt(8) / 64, 9)
     assert _searched_by(spark, tmp_path, "vec_euc_pairs") == [(1, 2, d), (2, 1, d)]
+
+
+def test_every_image_is_a_query_of_the_hamming_search(spark, tmp_path):
+    assert _searched_by(spark, tmp_path, "vec_ham_pairs") == [(1, 2, 2 / 64), (2, 1, 2 / 64)]
