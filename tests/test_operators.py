@@ -429,3 +429,18 @@ def test_every_image_is_a_query_of_the_euclidean_search(spark, tmp_path):
 
 def test_every_image_is_a_query_of_the_hamming_search(spark, tmp_path):
     assert _searched_by(spark, tmp_path, "vec_ham_pairs") == [(1, 2, 2 / 64), (2, 1, 2 / 64)]
+
+
+def test_every_image_is_a_query_of_the_match_candidates(spark, tmp_path):
+    d = round(math.sqrt(8) / 64, 9)
+    assert _searched_by(spark, tmp_path, "vec_match_candidates") == [(1, 2, d), (2, 1, d)]
+
+
+def test_nearest_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(vectors, "BLOCK", 90)
+    for made in (rng.normal(size=(200, 64)), rng.integers(0, 2, (200, 64)).astype(float), 1e4 + rng.normal(size=(200, 64)) / 1e3):
+        made[20:40], made[60:63] = made[0], made[1] * np.nan if made[0, 0] > 9e3 else made[1]  # copies, and what isn't a number
+        img = vectors.images(spark.createDataFrame([(7 * i, x.tolist(), 0) for i, x in enumerate(made)], "vec_id long, embedding array<double>, label int")).cache()
+        found = lambda df: sorted((r.q_id, r.id, repr(r.d), r["rank"]) for r in vectors.nearest(df).collect())
+        assert found(vectors.euclid_search(img, 3, img)) == found(vectors.euclid_search(img, queries=img))
