@@ -444,3 +444,10 @@ def test_nearest_of_blocks_are_those_of_all_pairs(spark, monkeypatch):
         img = vectors.images(spark.createDataFrame([(7 * i, x.tolist(), 0) for i, x in enumerate(made)], "vec_id long, embedding array<double>, label int")).cache()
         found = lambda df: sorted((r.q_id, r.id, repr(r.d), r["rank"]) for r in vectors.nearest(df).collect())
         assert found(vectors.euclid_search(img, 3, img)) == found(vectors.euclid_search(img, queries=img))
+
+
+def test_bnb_map_goes_on_until_its_map_is_proven_best(spark, tmp_path):
+    _docs(spark, "she sells sea shells on the sea shore\nand they are quite sure").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog\nwhile the rain in spain stays mainly in the plain")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    r = decode.QUERIES["bnb_map"][0](spark, str(tmp_path)).first()
+    assert r.bound == r.score
