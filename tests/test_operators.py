@@ -451,3 +451,27 @@ def test_bnb_map_goes_on_until_its_map_is_proven_best(spark, tmp_path):
     spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog\nwhile the rain in spain stays mainly in the plain")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     r = decode.QUERIES["bnb_map"][0](spark, str(tmp_path)).first()
     assert r.bound == r.score
+
+
+def test_texts_of_one_file_are_dealt_to_all_cores(spark, tmp_path):
+    docs = [chr(97 + k % 7) * (k % 5) + "\nab" for k in range(450)]
+    _docs(spark, *docs).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = decode.QUERIES["hmm_viterbi"][0](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() == 5 and found.count() == 450
+
+
+def test_viterbi_traces_the_path_that_loops_find():
+    g = np.random.default_rng(14)
+    for n in (1, 2, 9):
+        trans, emit, init = g.dirichlet(np.ones(12), 12), g.dirichlet(np.full(6, 0.2), 12), g.dirichlet(np.ones(12))
+        obs = g.integers(0, 6, n).tolist()
+        lt, le = np.log(trans + decode.EPS), np.log(emit + decode.EPS)
+        v, kept = np.log(init + decode.EPS) + le[:, obs[0]], []
+        for o in obs[1:]:
+            x = v[:, None] + lt
+            kept.append(x.argmax(axis=0))
+            v = x.max(axis=0) + le[:, o]
+        path = [int(v.argmax())]
+        for best in reversed(kept):
+            path.append(int(best[path[-1]]))
+        assert decode.viterbi(obs, trans, emit, init) == (path[::-1], float(v.max()))
